@@ -81,3 +81,21 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, posi
     every group to ``n`` rows before the shuffle, so a hot key stays small."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Running totals over all rows without one global window.
+
+    ``sums`` maps new names to columns.  Rows are range-partitioned by the (distinct) order
+    and checkpointed with their partition number; totals run inside each partition and the
+    sums of the earlier partitions, one row each, are broadcast on top.  Runs one job.
+    """
+    placed = reliable_checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(parts), "_part")
+    for name, column in sums.items():
+        out = out.withColumn(name, F.sum(column).over(inside) + F.col(f"_b_{name}"))
+    return out.drop("_part", *[f"_b_{n}" for n in sums])

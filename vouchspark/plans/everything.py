@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from vouchspark.plans import corpus_queries, retrieval_queries, verify_queries  # noqa: F401
+from vouchspark.plans import corpus_queries, retrieval_queries, evaluate_queries, verify_queries  # noqa: F401
 from vouchspark.plans.registry import QUERIES, SQL  # noqa: F401
