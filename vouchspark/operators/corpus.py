@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from vouchspark.functions.ids import stable_id
 from vouchspark.functions.text import BLANKS, PIECE_PATTERN, first_title
-from vouchspark.operators.scaling import global_positions
+from vouchspark.operators.scaling import global_positions, salted_join
 from vouchspark.schemas import INT, STRING, table
 
 TARGET_TOKENS, OVERLAP_TOKENS = 800, 100
@@ -235,9 +235,9 @@ def as_of(df: DataFrame, version: int | None) -> DataFrame:
 def missing_embeddings(chunks: DataFrame, evidence: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks without a vector, carrying the version their evidence was ingested at."""
     lacking = chunks.select("chunk_id", "evidence_id", "text").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
-    return lacking.join(evidence.select("evidence_id", "corpus_version"), "evidence_id").select(
-        "chunk_id", "evidence_id", "corpus_version", "text"
-    )
+    versions = evidence.select("evidence_id", "corpus_version")
+    joined = salted_join(lacking, versions, "evidence_id", "inner", ["chunk_id"])
+    return joined.select("chunk_id", "evidence_id", "corpus_version", "text")
 
 
 EmbedFn = Callable[[list[str]], list[list[float]]]

@@ -99,3 +99,23 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Da
     for name, column in sums.items():
         out = out.withColumn(name, F.sum(column).over(inside) + F.col(f"_b_{name}"))
     return out.drop("_part", *[f"_b_{n}" for n in sums])
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str, spread_by: list[str], salts: int = SALTS) -> DataFrame:
+    """Join where one key may own a large part of ``big``: its rows are split over salts
+    by other columns, and the (narrow) rows of ``small`` are repeated once per salt."""
+    left = big.withColumn("_salt", row_hash_salt(*spread_by, salts=salts))
+    right = small.withColumn("_salt", all_salts(salts))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(big: DataFrame, unique: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Inner join with a table that has one row per key and is as long as ``big``.
+
+    Keys with more than ``hot_rows`` rows are joined by broadcasting their rows of
+    ``unique``; there are at most ``rows / hot_rows`` of them.  The rest is a plain join.
+    """
+    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    few = F.broadcast(unique.join(F.broadcast(hot), key, "left_semi"))
+    cold = big.join(F.broadcast(hot), key, "left_anti")
+    return big.join(few, key).unionByName(cold.join(unique, key))

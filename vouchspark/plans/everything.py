@@ -1,4 +1,12 @@
 """All registered queries."""
 
-from vouchspark.plans import corpus_queries, retrieval_queries, evaluate_queries, verify_queries  # noqa: F401
+from vouchspark.plans import (  # noqa: F401
+    approval_queries,
+    audit_queries,
+    corpus_queries,
+    evaluate_queries,
+    retrieval_queries,
+    run_queries,
+    verify_queries,
+)
 from vouchspark.plans.registry import QUERIES, SQL  # noqa: F401

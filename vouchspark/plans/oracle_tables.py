@@ -174,7 +174,7 @@ TABLES: dict[str, str] = {
         SELECT p.*, coalesce(t.new_status, 'pending') AS status, t.decided_at, t.decided_by, t.note AS decision_note, t.decision_id AS last_id
         FROM proposals p LEFT JOIN terminal t ON t.approval_id = p.approval_id""",
     "attempts": f"""
-        SELECT p.approval_id, e.event_id AS attempt_id, e.value > 20 AS ok, {iso('e.ts')} AS at, e.ts AS at_time
+        SELECT p.approval_id, e.event_id AS attempt_id, e.value > 20 AS ok, {iso('e.ts')} AS tried, e.ts AS at_time
         FROM events e JOIN proposals p ON p.idx = e.event_id % 400 + 1 WHERE e.event_type = 'signup'""",
     "files": """
         SELECT source_path AS path, CASE WHEN doc_id % 60 = 1 THEN sha256(text || '!') ELSE sha256 END AS sha256
