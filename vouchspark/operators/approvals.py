@@ -208,30 +208,42 @@ def leasable(approvals: DataFrame, executions: DataFrame, at: str) -> DataFrame:
     return joined.filter(free).orderBy("created_at", "approval_id")
 
 
+def effective_attempts(attempts: DataFrame, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The attempts that count: failures before the first success, up to ``max_attempts``,
+    and that success unless the action was dead by then.
+
+    Failures are cut to ``max_attempts`` per approval before the shuffle and the first
+    success is a partial minimum, so an approval with very many attempts is no burden.
+    """
+    columns = attempts.columns
+    others = [c for c in columns if c not in ("approval_id", "at", "attempt_id")]
+    wins = attempts.filter("ok").groupBy("approval_id").agg(F.min(F.struct("at", "attempt_id", *others)).alias("w"))
+    order = [F.col("at"), F.col("attempt_id")]
+    losses = first_rows(attempts.filter(~F.col("ok")), ["approval_id"], order, max_attempts, "_n")
+    earlier = losses.join(wins, "approval_id", "left").filter(
+        F.col("w").isNull() | (F.struct("at", "attempt_id") < F.struct("w.at", "w.attempt_id"))
+    )
+    dead = earlier.filter(F.col("_n") == max_attempts).select("approval_id")
+    kept_wins = wins.join(dead, "approval_id", "left_anti").select("approval_id", "w.*")
+    return earlier.select(*columns).unionByName(kept_wins.select(*columns))
+
+
 def fold_attempts(attempts: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, backoff: int = BACKOFF_SECONDS) -> DataFrame:
     """Execution row per approval from its attempts (approval_id, attempt_id, ok, at, at_time).
 
     Success and the last allowed failure are terminal; before that a failure waits
-    ``backoff`` seconds.  Only the first ``max_attempts`` failures of an approval are kept,
-    cut before the shuffle, and its first success is a partial minimum.
+    ``backoff`` seconds.
     """
-    moment = F.struct("at", "attempt_id", "at_time")
-    wins = attempts.filter("ok").groupBy("approval_id").agg(F.min(moment).alias("win"))
-    order = [F.col("at"), F.col("attempt_id")]
-    losses = first_rows(attempts.filter(~F.col("ok")), ["approval_id"], order, max_attempts, "_n")
-    tries = losses.join(wins, "approval_id", "left").filter(
-        F.col("win").isNull() | (F.struct("at", "attempt_id") < F.struct("win.at", "win.attempt_id"))
+    counted = effective_attempts(attempts, max_attempts=max_attempts)
+    tally = counted.groupBy("approval_id").agg(
+        F.count_if(~F.col("ok")).alias("attempts"), F.max(F.when(~F.col("ok"), F.col("at_time"))).alias("last_failure"),
+        F.min(F.when(F.col("ok"), F.col("at"))).alias("won"),
     )
-    failed = tries.groupBy("approval_id").agg(F.count(F.lit(1)).alias("attempts"), F.max("at_time").alias("last_failure"))
-    joined = wins.join(failed, "approval_id", "full_outer").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
-    dead = F.col("attempts") >= max_attempts
-    status = F.when(dead, "dead").when(F.col("win").isNotNull(), "succeeded").otherwise("pending")
-    retry = F.col("last_failure") + F.make_interval(secs=F.lit(backoff))
-    as_text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return joined.withColumn("exec_status", status).select(
-        "approval_id", "exec_status", "attempts",
-        F.when(F.col("exec_status") == "succeeded", F.col("win.at")).alias("executed_at"),
-        F.when(F.col("exec_status") == "pending", as_text(retry)).alias("next_retry_at"),
+    status = F.when(F.col("attempts") >= max_attempts, "dead").when(F.col("won").isNotNull(), "succeeded").otherwise("pending")
+    retry = F.date_format(F.col("last_failure") + F.make_interval(secs=F.lit(backoff)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return tally.withColumn("exec_status", status).select(
+        "approval_id", "exec_status", "attempts", F.col("won").alias("executed_at"),
+        F.when(F.col("exec_status") == "pending", retry).alias("next_retry_at"),
     )
 
 

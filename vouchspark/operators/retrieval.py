@@ -61,11 +61,12 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(index: Index, path: str, buckets: int = 256, files: int | None = None) -> None:
-    """Store an index once for many query batches.
+def write_index(index: Index, path: str, buckets: int = 256, *, files: int | None = None, batch: int = 0) -> None:
+    """Store an index once for many query batches; ``batch`` numbers an appended part.
 
-    Rows are spread by (term, chunk) and not by term alone, so that one hot term does not
-    land in one task; files are cut by term bucket and sorted by term for row-group skipping.
+    Rows are spread by bucket and chunk and not by term alone, so that one hot term does
+    not land in one task; files are cut by term bucket and sorted by term for row-group
+    skipping.
     """
     spread = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).withColumn(
         "_salt", row_hash_salt("chunk_id", salts=4)
@@ -73,18 +74,18 @@ def write_index(index: Index, path: str, buckets: int = 256, files: int | None =
     parts = [F.col("bucket"), F.col("_salt")]
     spread = spread.repartition(files, *parts) if files else spread.repartition(*parts)
     spread.drop("_salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/postings"
+        f"{path}/postings/batch={batch}"
     )
     index.totals.withColumn("stem", F.lit(index.stem)).withColumn("buckets", F.lit(buckets)).write.mode(
         "overwrite"
-    ).parquet(f"{path}/totals")
+    ).parquet(f"{path}/totals/batch={batch}")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """Stored index; totals of appended batches add up."""
     totals = spark.read.parquet(f"{path}/totals")
     settings = totals.select("stem", "buckets").first()
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings").drop("batch")
     summed = totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len"))
     return Index(postings, summed, buckets=settings["buckets"], stem=settings["stem"])
 
