@@ -72,4 +72,6 @@ def calculate(expression: str | None) -> str:
 
 @F.pandas_udf(T.StringType())
 def recalculated(expressions: pd.Series) -> pd.Series:
-    return expressions.map(calculate)
+    """Each distinct expression of an Arrow batch is evaluated once."""
+    codes, distinct = pd.factorize(expressions, use_na_sentinel=False)
+    return pd.Series([calculate(e) for e in distinct]).take(codes)

@@ -22,16 +22,22 @@ SCORE_DIGITS = 6
 FUSION_K = 60
 
 
+# Stands for the whole corpus in a table of terms; an analysed term is never empty.
+ALL_TERMS = ""
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, chunk_id, tf, dl, corpus_version)`` and the two corpus totals.
+    """``postings(term, chunk_id, tf, dl, corpus_version)`` and what corpus totals come from.
 
     Chunk length and version ride along in each posting, so scoring joins nothing back.
-    ``buckets`` is set for a stored index, whose files are split by term bucket.
+    A fresh index keeps its analysed chunks in ``docs``; a stored one has ``totals`` (one
+    row: n_chunks, total_len) and ``buckets``, its files being split by term bucket.
     """
 
     postings: DataFrame
-    totals: DataFrame  # one row: n_chunks, total_len
+    docs: DataFrame | None = None
+    totals: DataFrame | None = None
     buckets: int | None = None
     stem: bool = False
 
@@ -44,17 +50,48 @@ def analysed(chunks: DataFrame, *, stem: bool = False) -> DataFrame:
 def build_index(chunks: DataFrame, *, stem: bool = False) -> Index:
     """Inverted index of ``chunks(chunk_id, corpus_version, text)``.
 
-    All words of a chunk sit in one row, so the count per (chunk, term) is complete before
-    the shuffle and only distinct pairs move.
+    The chunk texts are spread by chunk id once.  Everything a chunk needs afterwards, the
+    count per term and later its score for every query, is grouped by that id as well, so
+    it needs no further shuffle; postings, several times larger than the text, stay put.
     """
-    docs = analysed(chunks, stem=stem)
+    docs = analysed(chunks.select("chunk_id", "corpus_version", "text").repartition("chunk_id"), stem=stem)
+    # The outer form keeps Spark from adding a filter that would analyse every text twice.
+    words = docs.select("chunk_id", "corpus_version", "dl", F.explode_outer("tokens").alias("term"))
     postings = (
-        docs.select("chunk_id", "corpus_version", "dl", F.explode("tokens").alias("term"))
+        words.filter(F.col("term").isNotNull())
         .groupBy("chunk_id", "corpus_version", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = docs.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
-    return Index(postings, totals, stem=stem)
+    return Index(postings, docs=docs, stem=stem)
+
+
+def index_totals(index: Index) -> DataFrame:
+    """One row: number of chunks and sum of their lengths."""
+    if index.totals is not None:
+        return index.totals.select("n_chunks", "total_len")
+    return index.docs.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
+
+
+def term_statistics(index: Index, matched: DataFrame, version: int | None = None) -> DataFrame:
+    """(term, df, total_len): chunks per term, and the corpus totals in the row ALL_TERMS.
+
+    For a fresh index both come from one pass over the chunks: the distinct words of a chunk
+    are taken inside its row, so only one counter per term is shuffled.
+    """
+    if index.docs is not None:
+        words = F.explode(F.concat(F.array(F.lit(ALL_TERMS)), F.array_distinct("tokens")))
+        listed = as_of(index.docs, version).select("dl", "corpus_version", words.alias("term"))
+        # The version keeps this branch reading the same columns as the scoring branch, so
+        # that both read one exchange.
+        return listed.groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len"), F.max("corpus_version").alias("latest")
+        )
+    counted = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(0).cast("long").alias("total_len"))
+    totals = index_totals(index)
+    if version is not None:
+        per_chunk = as_of(index.postings, version).groupBy("chunk_id").agg(F.max("dl").alias("dl"))
+        totals = per_chunk.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
+    return counted.unionByName(totals.select(F.lit(ALL_TERMS).alias("term"), F.col("n_chunks").alias("df"), "total_len"))
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -76,7 +113,7 @@ def write_index(index: Index, path: str, buckets: int = 256, *, files: int | Non
     spread.drop("_salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/batch={batch}"
     )
-    index.totals.withColumn("stem", F.lit(index.stem)).withColumn("buckets", F.lit(buckets)).write.mode(
+    index_totals(index).withColumn("stem", F.lit(index.stem)).withColumn("buckets", F.lit(buckets)).write.mode(
         "overwrite"
     ).parquet(f"{path}/totals/batch={batch}")
 
@@ -87,13 +124,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     settings = totals.select("stem", "buckets").first()
     postings = spark.read.parquet(f"{path}/postings").drop("batch")
     summed = totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len"))
-    return Index(postings, summed, buckets=settings["buckets"], stem=settings["stem"])
-
-
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    """Chunks per term.  Reading ``tf`` keeps this branch equal to the scoring branch, so
-    Spark shuffles the postings once and reuses the exchange."""
-    return postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return Index(postings, totals=summed, buckets=settings["buckets"], stem=settings["stem"])
 
 
 def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
@@ -107,7 +138,7 @@ def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
 
 def bm25_topk(
     queries: DataFrame, index: Index, k: int = 50, *, corpus_version: int | None = None, stats_scope: str = "index",
-    version_per_query: bool = False,
+    version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Best ``k`` chunks per query, any word may match: (query_id, chunk_id, score, rank).
 
@@ -116,45 +147,44 @@ def bm25_topk(
     frequencies from the whole index even under a snapshot, ``"snapshot"`` from the
     snapshot alone.  With ``version_per_query`` each query row has its own ``as_of`` version.
 
-    Runs one job to measure the query words.  If they fit, they are broadcast to the
-    postings and nothing but partial scores is shuffled; otherwise the join by term is
-    salted over the chunk ids so that a hot term is spread.
+    Runs one job to measure the query words.  If they fit, they are broadcast to postings
+    that lie together by chunk, scores are summed where they are, and only the best ``k``
+    per query and task are shuffled.  Otherwise the join by term is salted over the chunk
+    ids so that a hot term is spread.
     """
     if stats_scope not in ("index", "snapshot"):
         raise ValueError("stats_scope must be 'index' or 'snapshot'")
     wanted = question_terms(queries, stem=index.stem)
-    small = fits_broadcast(wanted)
+    small = fits_broadcast(wanted, broadcast_bytes)
+    vocabulary = wanted.select("term").distinct()
     postings = index.postings
-    if index.buckets:
-        wanted = wanted.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
-    on = ["bucket", "term"] if index.buckets else ["term"]
-    vocabulary = wanted.select(*on).distinct()
-    matched = postings.join(F.broadcast(vocabulary) if small else vocabulary, on, "left_semi")
-    n_chunks, total_len = F.col("n_chunks"), F.col("total_len")
-    totals = index.totals
-    if stats_scope == "snapshot":
-        matched = as_of(matched, corpus_version)
-        # Length and count of the chunks inside the snapshot, from the postings themselves.
-        per_chunk = as_of(postings, corpus_version).groupBy("chunk_id").agg(F.max("dl").alias("dl"))
-        totals = per_chunk.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
-    corpus = totals.select(F.struct(n_chunks.cast("double").alias("n"), (total_len / n_chunks).alias("avgdl"))).scalar()
-    odds = (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = F.log(odds)
-    weights = (
-        wanted.join(document_frequencies(matched), "term")
-        .select("query_id", *on, (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight"))
+    if index.buckets and small:
+        # At most ``buckets`` numbers: the folders a stored index has to be read from.
+        needed = vocabulary.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
+        postings = postings.filter(F.col("bucket").isin([row["b"] for row in needed]))
+    within = corpus_version if stats_scope == "snapshot" else None
+    matched = as_of(postings, within).join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    if index.buckets and small:
+        matched = matched.repartition("chunk_id")
+    listed = vocabulary.unionByName(vocabulary.limit(1).select(F.lit(ALL_TERMS).alias("term")))
+    statistics = term_statistics(index, matched, within).join(F.broadcast(listed) if small else listed, "term", "left_semi")
+    totals = statistics.filter(F.col("term") == ALL_TERMS)
+    size = F.struct(F.col("df").cast("double").alias("n"), (F.col("total_len") / F.col("df")).alias("avgdl"))
+    corpus = totals.select(size).scalar()
+    idf = F.log((corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = wanted.join(statistics, "term").select(
+        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight")
     )
     if version_per_query:
         weights = weights.join(queries.select("query_id", "as_of"), "query_id")
     tf, dl = F.col("tf"), F.col("dl")
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / corpus["avgdl"]))
-    live = matched if stats_scope == "snapshot" else as_of(matched, corpus_version)
-    live = live.select(*on, "chunk_id", "corpus_version", gain.alias("gain"))
+    live = as_of(matched, corpus_version).select("term", "chunk_id", "corpus_version", gain.alias("gain"))
     if small:
-        joined = live.join(F.broadcast(weights), on)
+        joined = live.join(F.broadcast(weights), "term")
     else:
         spread = weights.withColumn("_salt", all_salts())
-        joined = live.withColumn("_salt", row_hash_salt("chunk_id")).join(spread, [*on, "_salt"])
+        joined = live.withColumn("_salt", row_hash_salt("chunk_id")).join(spread, ["term", "_salt"])
     if version_per_query:
         joined = joined.filter(F.col("corpus_version") <= F.col("as_of"))
     scored = joined.groupBy("query_id", "chunk_id").agg(

@@ -41,7 +41,7 @@ def inverted_index(spark, sf):
 @query("SELECT count(*) AS n_chunks, CAST(sum(dl) AS BIGINT) AS total_len FROM chunk_terms")
 def index_totals(spark, sf):
     """Corpus totals of the index."""
-    return R.build_index(D.ch(spark, sf)).totals
+    return R.index_totals(R.build_index(D.ch(spark, sf)))
 
 
 @query("SELECT claim_id, chunk_id, rank, score FROM hits")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vouchspark.operators import judges as J
 from vouchspark.operators import retrieval as R
 from vouchspark.operators import verify as V
+from vouchspark.operators.scaling import spread
 from vouchspark.plans import derived as D
 from vouchspark.plans.registry import query
 
@@ -230,7 +231,7 @@ def calculation_rechecks(spark, sf):
     quantity, line = F.col("l_quantity").cast("long"), F.col("l_linenumber")
     expression = F.concat(F.lit("("), quantity.cast("string"), F.lit(" + "), line.cast("string"), F.lit(") * 2 - 1"))
     value = (quantity + line) * 2 - 1 + F.when(line == 3, 1).otherwise(0)
-    calls = D.load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), expression.alias("expression"), value.cast("string").alias("result"))
+    calls = spread(D.load(spark, sf, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("run_id"), expression.alias("expression"), value.cast("string").alias("result"))
     return V.calculation_faults(V.recheck_calculations(calls)).withColumn("mismatch_rate", F.round("mismatch_rate", 6))
 
 
