@@ -16,7 +16,10 @@ QUERY_PATTERN = r"[\p{L}\p{N}_]+"
 BLANKS = r"[ \t\r\n\f]"
 # Every line boundary, not only the newline.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-PIECE_PATTERN = r"[^ \t\r\n\f]+[ \t\r\n\f]*"
+# A token for chunking, with the blanks after it: one ideograph or kana, or a run of other
+# characters.  A run is at most 64 long, so that text without blanks is still cut.
+IDEOGRAPHS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+PIECE_PATTERN = rf"(?:[{IDEOGRAPHS}]|[^ \t\r\n\f{IDEOGRAPHS}]{{1,64}})[ \t\r\n\f]*"
 
 
 def _accent_table() -> tuple[str, str]:

@@ -227,6 +227,13 @@ DISTANCE_DIGITS = 6
 HIT_SCHEMA = "query_id long, chunk_id string, distance double"
 
 
+def _hit_frame(rows: list[tuple]) -> pd.DataFrame:
+    """Typed also when empty."""
+    columns = list(zip(*rows)) or [(), (), ()]
+    kinds = {"query_id": "int64", "chunk_id": object, "distance": "float64"}
+    return pd.DataFrame({name: np.array(column, dtype=kind) for (name, kind), column in zip(kinds.items(), columns)})
+
+
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
     """Per query the ``k`` nearest rows of one block, ties by chunk id."""
     squared = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2.0 * (queries @ vectors.T)
@@ -238,7 +245,7 @@ def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         near = np.flatnonzero(distance[q] <= edge[q])
         best = sorted(zip(distance[q][near].tolist(), ids[near].tolist()))[:keep]
         rows.extend((query_id, chunk_id, d) for d, chunk_id in best)
-    return pd.DataFrame(rows, columns=["query_id", "chunk_id", "distance"])
+    return _hit_frame(rows)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -286,7 +293,7 @@ def knn_topk(
 
         def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
+                return _hit_frame([])
             return _nearest(q["query_id"].to_numpy(), _matrix(q["embedding"]), v["chunk_id"].to_numpy(), _matrix(v["embedding"]), k)
 
         near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, HIT_SCHEMA)

@@ -173,7 +173,7 @@ def chunk_slices(spark, sf):
     return joined.select("chunk_id", (F.col("text") == cut).alias("exact"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\r\n\f]+')) AS tokens FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}]|[^ \t\r\n\f\p{Han}\p{Hiragana}\p{Katakana}]{1,64}')) AS tokens FROM documents")
 def token_counts(spark, sf):
     """Words per document."""
     return D.load(spark, sf, "documents").select("doc_id", C.count_tokens(F.col("text")).cast("long").alias("tokens"))

@@ -29,7 +29,7 @@ TABLES: dict[str, str] = {
         SELECT *, len(w) AS n,
                CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1
                     ELSE CAST(ceil((len(w) - 200) / 175.0) AS BIGINT) + 1 END AS windows
-        FROM (SELECT *, regexp_extract_all(text, '[^ \t\r\n\f]+[ \t\r\n\f]*') AS w,
+        FROM (SELECT *, regexp_extract_all(text, '(?:[\p{Han}\p{Hiragana}\p{Katakana}]|[^ \t\r\n\f\p{Han}\p{Hiragana}\p{Katakana}]{1,64})[ \t\r\n\f]*') AS w,
                      length(text) - length(regexp_replace(text, '^[ \t\r\n\f]+', '')) AS lead FROM ev)""",
     "ch": r"""
         SELECT upper(substr(sha256(sha256 || ':' || seq), 1, 26)) AS chunk_id, evidence_id, sha256, corpus_version,

@@ -75,7 +75,12 @@ def _longest_word_judge(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"claim_id": frame["claim_id"], "faithful": faithful, "confidence": 0.75, "reasoning": longest})
 
 
-@query()
+@query("""
+    WITH w AS (SELECT claim_id, unnest(string_split_regex(trim(claim), '\\s+')) AS word, generate_subscripts(string_split_regex(trim(claim), '\\s+'), 1) AS i FROM cl),
+    l AS (SELECT claim_id, first(word ORDER BY length(word) DESC, i) AS word FROM w GROUP BY 1),
+    c AS (SELECT claim_id, string_agg(k.text, chr(10)) AS corpus FROM hits h JOIN ch k ON k.chunk_id = h.chunk_id GROUP BY 1)
+    SELECT l.claim_id, CASE WHEN contains(c.corpus, l.word) THEN 'supported' ELSE 'not_found' END AS label, 0.75::DOUBLE AS confidence, l.word AS reasoning
+    FROM l JOIN c ON c.claim_id = l.claim_id""")
 def plugged_judge(spark, sf):
     """V3, V6: a plugged-in judge over corpus blocks, its yes/no answer mapped to a label."""
     requests = D.cl(spark, sf).join(J.corpus_block(hydrated(spark, sf)), "claim_id").select("claim_id", "claim", "corpus")
