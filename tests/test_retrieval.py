@@ -87,12 +87,15 @@ def brute_force(rows, asked, k, version=None, scope="index"):
 
 @pytest.mark.parametrize("version, scope", [(None, "index"), (3, "index"), (3, "snapshot")])
 @pytest.mark.parametrize("limit", [R.BROADCAST_BYTES, 0])
-def test_bm25_equals_brute_force(spark, version, scope, limit):
-    """Both ways, with broadcast query words and with the salted join."""
+@pytest.mark.parametrize("k, prune, share", [(20, R.PRUNE_PAIRS, 0.05), (3, 0, 0.4), (20, 0, 0.15)])
+def test_bm25_equals_brute_force(spark, monkeypatch, version, scope, limit, k, prune, share):
+    """All ways: broadcast query words or the salted join, common terms in full or pruned.
+    Some queries are bounded by their rare terms, others are not."""
+    monkeypatch.setattr(R, "COMMON_SHARE", share)
     rows, asked, chunks, queries = corpus(spark)
-    found = R.bm25_topk(queries, R.build_index(chunks), 20, corpus_version=version, stats_scope=scope, broadcast_bytes=limit)
+    found = R.bm25_topk(queries, R.build_index(chunks), k, corpus_version=version, stats_scope=scope, broadcast_bytes=limit, prune_pairs=prune)
     got = ranked_rows(found, "query_id", "chunk_id", "rank", "score")
-    want = brute_force(rows, asked, 20, version, scope)
+    want = brute_force(rows, asked, k, version, scope)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(math.isclose(g[3], w[3], abs_tol=2e-6) for g, w in zip(got, want))
 
@@ -111,11 +114,29 @@ def test_stored_and_appended_index_answers_the_same(spark, tmp_path, limit, scop
 
 
 def test_scoring_shuffles_only_text_and_top_rows(spark):
+    """One exchange by chunk (the text) and one by query (the best rows); pairs stay put."""
     _, _, chunks, queries = corpus(spark)
     found = R.bm25_topk(queries, R.build_index(chunks), 10)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    path = plan[: plan.index("Subquery")]
-    assert path.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in path
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum("hashpartitioning(chunk_id#" in m and "REPARTITION" in m for m in moves) == 1
+    assert not any("query_id" in m and "chunk_id" in m for m in moves) and "WindowGroupLimit" in plan
+
+
+def test_pruning_leaves_most_pairs_out(spark, monkeypatch):
+    """With selective rare words, hot words are looked up only for the chunks near the top."""
+    monkeypatch.setattr(R, "COMMON_SHARE", 0.5)
+    rows = [(f"c{i:04d}", 1, "the of and " * 3 + f"topic{i % 100} topic{i % 100} filler{i}") for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, corpus_version long, text string")
+    queries = spark.createDataFrame([(q, f"the of topic{q}") for q in range(50)], "query_id long, query string")
+    index = R.build_index(chunks)
+    pruned, plain = (R.bm25_topk(queries, index, 4, prune_pairs=p) for p in (0, R.PRUNE_PAIRS))
+    columns = ("query_id", "chunk_id", "rank", "score")
+    assert ranked_rows(pruned, *columns) == ranked_rows(plain, *columns)
+    live = index.postings.select("term", "chunk_id", "corpus_version", F.lit(1.0).alias("gain"))
+    weights = queries.select("query_id", F.explode(F.split("query", " ")).alias("term")).withColumn("common", F.length("term") < 4)
+    weights = weights.withColumn("weight", F.when(F.col("common"), 1e-6).otherwise(4.0))
+    assert R._pruned_sums(live, weights, 4, True).count() == 50 * 6 < R._sums(live, weights, True).count() == 50 * 600
 
 
 def test_nearest_vectors(spark):

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ def new_evidence(batch: DataFrame, evidence: DataFrame | None = None, *, order:
     hashed = batch if "sha256" in batch.columns else with_sha256(batch)
     first = hashed.groupBy("sha256").agg(F.min(order).alias(order))
     if evidence is not None:
-        first = first.join(evidence.select("sha256").distinct(), "sha256", "left_anti")
+        first = first.join(evidence.select("sha256"), "sha256", "left_anti")
     return hashed.join(first, ["sha256", order], "left_semi")
 
 
@@ -308,7 +308,10 @@ def catalogue(evidence: DataFrame, chunks: DataFrame, models: DataFrame | None =
 
 def renumber(chunks: DataFrame) -> DataFrame:
     """``seq`` recomputed from the start offsets, for chunks cut section by section
-    elsewhere.  The rank is a count of earlier starts, taken per document."""
-    window = Window.partitionBy("evidence_id").orderBy("start_offset", "end_offset")
-    return chunks.withColumn("seq", F.row_number().over(window) - 1)
-
+    elsewhere.  Places are counted over the whole table and the first place of each
+    document is taken off, so a document with very many chunks needs no window of its own."""
+    order = ["evidence_id", "start_offset", "end_offset"]
+    placed = global_positions(chunks.drop("seq"), order, "_at")
+    first = placed.groupBy("evidence_id").agg(F.min("_at").alias("_first"))
+    joined = salted_join(placed, first, "evidence_id", "inner", ["_at"])
+    return joined.withColumn("seq", F.col("_at") - F.col("_first")).drop("_at", "_first")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from vouchspark.functions.text import query_terms, terms
 from vouchspark.operators.corpus import as_of
 from vouchspark.operators.scaling import (
-    BROADCAST_BYTES, all_salts, first_rows, fits_broadcast, row_hash_salt,
+    BROADCAST_BYTES, all_salts, first_rows, fits_broadcast, row_hash_salt, salted_join,
 )
+from vouchspark.session import reliable_checkpoint
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -136,9 +137,16 @@ def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
     )
 
 
+# A term in more than this share of the chunks is common.
+COMMON_SHARE = 0.05
+# Above this many (query, chunk) contributions common terms are scored only where they can matter.
+PRUNE_PAIRS = 500_000_000
+MARGIN = 1e-5
+
+
 def bm25_topk(
     queries: DataFrame, index: Index, k: int = 50, *, corpus_version: int | None = None, stats_scope: str = "index",
-    version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+    version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES, prune_pairs: int = PRUNE_PAIRS,
 ) -> DataFrame:
     """Best ``k`` chunks per query, any word may match: (query_id, chunk_id, score, rank).
 
@@ -147,10 +155,12 @@ def bm25_topk(
     frequencies from the whole index even under a snapshot, ``"snapshot"`` from the
     snapshot alone.  With ``version_per_query`` each query row has its own ``as_of`` version.
 
-    Runs one job to measure the query words.  If they fit, they are broadcast to postings
-    that lie together by chunk, scores are summed where they are, and only the best ``k``
-    per query and task are shuffled.  Otherwise the join by term is salted over the chunk
-    ids so that a hot term is spread.
+    Jobs run here: the size of the query words, and their frequencies (one row per word).
+    If the words fit, they are broadcast to postings that lie together by chunk, scores are
+    summed where they are, and only the best ``k`` per query and task are shuffled.
+    Otherwise the join by term is salted over the chunk ids so that a hot term is spread.
+    Where common terms would pair most queries with most chunks, they are added only to
+    chunks that can still reach the top (``_pruned_sums``); the result is the same.
     """
     if stats_scope not in ("index", "snapshot"):
         raise ValueError("stats_scope must be 'index' or 'snapshot'")
@@ -163,34 +173,76 @@ def bm25_topk(
         needed = vocabulary.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
         postings = postings.filter(F.col("bucket").isin([row["b"] for row in needed]))
     within = corpus_version if stats_scope == "snapshot" else None
-    matched = as_of(postings, within).join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    matched = as_of(postings, within).join(_hinted(vocabulary, small), "term", "left_semi")
     if index.buckets and small:
         matched = matched.repartition("chunk_id")
     listed = vocabulary.unionByName(vocabulary.limit(1).select(F.lit(ALL_TERMS).alias("term")))
-    statistics = term_statistics(index, matched, within).join(F.broadcast(listed) if small else listed, "term", "left_semi")
-    totals = statistics.filter(F.col("term") == ALL_TERMS)
-    size = F.struct(F.col("df").cast("double").alias("n"), (F.col("total_len") / F.col("df")).alias("avgdl"))
-    corpus = totals.select(size).scalar()
-    idf = F.log((corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(statistics, "term").select(
-        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight")
+    statistics = reliable_checkpoint(term_statistics(index, matched, within).join(_hinted(listed, small), "term", "left_semi"))
+    corpus = statistics.filter(F.col("term") == ALL_TERMS).first()
+    n, total_len = (corpus["df"], corpus["total_len"] or 0) if corpus else (0, 0)
+    avgdl = max(total_len / n, 1e-9) if n else 1.0
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = wanted.join(statistics.select("term", "df"), "term").select(
+        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight"),
+        (F.col("df") > COMMON_SHARE * n).alias("common"), "df",
     )
     if version_per_query:
         weights = weights.join(queries.select("query_id", "as_of"), "query_id")
     tf, dl = F.col("tf"), F.col("dl")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / corpus["avgdl"]))
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
     live = as_of(matched, corpus_version).select("term", "chunk_id", "corpus_version", gain.alias("gain"))
+    pairs = weights.agg(F.sum("df").alias("p")).first()["p"] or 0
+    sums = _sums(live, weights, small) if pairs <= prune_pairs else _pruned_sums(live, weights, k, small)
+    return ranked(sums.select("query_id", "chunk_id", F.round(-F.col("s"), SCORE_DIGITS).alias("score")), k)
+
+
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _sums(live: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
+    """Sum of term contributions per (query, chunk)."""
     if small:
         joined = live.join(F.broadcast(weights), "term")
     else:
-        spread = weights.withColumn("_salt", all_salts())
-        joined = live.withColumn("_salt", row_hash_salt("chunk_id")).join(spread, ["term", "_salt"])
-    if version_per_query:
+        joined = live.withColumn("_salt", row_hash_salt("chunk_id")).join(weights.withColumn("_salt", all_salts()), ["term", "_salt"])
+    if "as_of" in weights.columns:
         joined = joined.filter(F.col("corpus_version") <= F.col("as_of"))
-    scored = joined.groupBy("query_id", "chunk_id").agg(
-        F.round(-F.sum(F.col("weight") * F.col("gain")), SCORE_DIGITS).alias("score")
+    return joined.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("s"))
+
+
+def _pruned_sums(live: DataFrame, weights: DataFrame, k: int, small: bool) -> DataFrame:
+    """The same sums for every pair that can be among the best ``k`` of its query.
+
+    Rare terms are scored first.  The k-th best of these sums is a floor for the final
+    k-th best, and all common terms of a query together add at most their weights times the
+    largest possible gain.  A chunk whose rare sum plus that reach stays below the floor
+    cannot enter the top, nor can a chunk without any rare term where the reach alone stays
+    below it; so common terms are looked up only for the remaining chunks.  Queries whose
+    reach is not below their floor are scored in full.  Rare sums and the bounds (one row
+    per query) are checkpointed.
+    """
+    rare, common = weights.filter(~F.col("common")), weights.filter("common")
+    partial = reliable_checkpoint(_sums(live, rare, small))
+    kth = first_rows(partial, ["query_id"], [F.col("s").desc()], k, "_n").filter(F.col("_n") == k)
+    reach = F.sum(F.when(F.col("common"), F.col("weight") * (K1 + 1)).otherwise(0.0)).alias("reach")
+    bounds = weights.groupBy("query_id").agg(reach).join(kth.select("query_id", F.col("s").alias("floor")), "query_id", "left")
+    closed = F.coalesce(F.col("floor") > F.col("reach") + MARGIN, F.lit(False))
+    bounds = reliable_checkpoint(bounds.withColumn("closed", closed))
+    able = partial.join(_hinted(bounds.filter("closed"), small), "query_id").filter(
+        F.col("s") + F.col("reach") + MARGIN >= F.col("floor")
+    ).select("query_id", "chunk_id", "s")
+    frequent = live.join(_hinted(common.select("term").distinct(), small), "term", "left_semi").select("term", "chunk_id", "gain")
+    added = (
+        able.select("query_id", "chunk_id").join(frequent, "chunk_id")
+        .join(_hinted(common.select("query_id", "term", "weight"), small), ["query_id", "term"])
+        .select("query_id", "chunk_id", (F.col("weight") * F.col("gain")).alias("s"))
     )
-    return ranked(scored, k)
+    full = able.unionByName(added).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
+    unbounded = bounds.filter(~F.col("closed")).select("query_id")
+    if unbounded.isEmpty():
+        return full
+    return full.unionByName(_sums(live, weights.join(_hinted(unbounded, small), "query_id", "left_semi"), small))
 
 
 def ranked(scored: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
@@ -215,9 +267,14 @@ def select_all(
 
 
 def select_all_each(requests: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
-    """The same for a table of requests (query_id, evidence_id, as_of)."""
-    found = chunks.select("evidence_id", "chunk_id", "seq", "corpus_version").join(requests, "evidence_id")
-    found = found.filter(F.col("as_of").isNull() | (F.col("corpus_version") <= F.col("as_of")))
+    """The same for a table of requests (query_id, evidence_id, as_of).
+
+    Each document is cut to ``limit`` chunks first, as no request takes more; requests are
+    salted, since very many may ask for one document."""
+    asked = requests.select("evidence_id").distinct()
+    held = chunks.select("evidence_id", "chunk_id", "seq", "corpus_version").join(asked, "evidence_id", "left_semi")
+    held = first_rows(held, ["evidence_id"], [F.col("seq"), F.col("chunk_id")], limit, "_n").drop("_n")
+    found = salted_join(requests, held, "evidence_id", "inner", ["query_id"]).filter(F.col("as_of").isNull() | (F.col("corpus_version") <= F.col("as_of")))
     top = first_rows(found, ["query_id"], [F.col("seq"), F.col("chunk_id")], limit, "_rn")
     return top.select("query_id", "chunk_id", "evidence_id", F.lit(0.0).alias("score"), (F.col("_rn") - 1).cast("long").alias("rank"))
 
