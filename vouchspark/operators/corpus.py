@@ -49,7 +49,8 @@ def stamp_versions(new: DataFrame, start: int = 0, *, order: str = "doc_id") ->
     """Every new document raises the corpus version by one, in ingest order.  Only the
     order column is numbered; the wide rows then join their number by that unique key."""
     numbers = global_positions(new.select(order), [order], "corpus_version", start)
-    return new.join(numbers, order)
+    # The narrow side is hashed per partition, so the wide rows are neither sorted nor broadcast.
+    return new.join(numbers.hint("shuffle_hash"), order)
 
 
 def with_title(df: DataFrame, fallback: Column, text: str = "text") -> DataFrame:

@@ -163,7 +163,7 @@ RECALL_SQL = """
 @query(f"WITH {RECALL_SQL} SELECT claim_id, round(recall, 6) AS recall FROM recalls")
 def retrieval_recall(spark, sf):
     """Share of the labelled chunks that were retrieved."""
-    deep = D.hits(spark, sf, k=13)
+    deep = D.recorded_hits(spark, sf, k=13)
     found = E.recall_at_k(deep.filter(F.col("rank") < D.TOP_K), D.gold(spark, sf, deep))
     return rounded(found, "recall")
 
@@ -188,7 +188,7 @@ def stale_gold(spark, sf):
            round(rec, 6) AS retrieval_recall, nl AS n_retrieval_labeled, stale AS stale_entries FROM c""")
 def evaluation_report(spark, sf):
     """The report of an evaluation run."""
-    deep = D.hits(spark, sf, k=13)
+    deep = D.recorded_hits(spark, sf, k=13)
     hits = deep.filter(F.col("rank") < D.TOP_K)
     verdicts = V.guarded_verdicts(D.vd(spark, sf, hits).drop("candidates"), hits)
     report = E.run_eval(verdicts, D.gold(spark, sf, deep), hits, current_version=300)
@@ -226,7 +226,7 @@ def stratified_sample(spark, sf):
         SELECT [fake1, fake2] AS fakes, list_concat(s, CASE WHEN claim_id % 10 = 0 THEN [fake1] ELSE [] END) AS s, c FROM guarded))""")
 def citation_leaks(spark, sf):
     """Fake ids that survive; some are planted again behind the guard."""
-    hits = D.hits(spark, sf)
+    hits = D.recorded_hits(spark, sf)
     found = V.filter_citations(V.with_candidates(D.vd(spark, sf, hits).drop("candidates"), hits))
     fake1, fake2 = D.fake("fake", F.col("claim_id")), D.fake("other", F.col("claim_id"))
     again = F.when(F.col("claim_id") % 10 == 0, F.array(fake1)).otherwise(F.array().cast("array<string>"))

@@ -162,7 +162,7 @@ HYBRID_CHUNKS = """
 def retrieval_hybrid(spark, sf):
     """Both lists fused, with the size of their union as candidates considered."""
     chunks = D.ch(spark, sf)
-    seen = D.hits(spark, sf).select("chunk_id").distinct()
+    seen = D.recorded_hits(spark, sf).select("chunk_id").distinct()
     places = global_positions(seen, ["chunk_id"], "p", start=-1)
     base = D.load(spark, sf, "embeddings")
     vectors = places.join(base, F.col("vec_id") == F.col("p") % 400).select("chunk_id", F.lit(1).alias("corpus_version"), "embedding")

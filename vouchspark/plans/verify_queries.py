@@ -10,7 +10,9 @@ from vouchspark.operators import retrieval as R
 from vouchspark.operators import verify as V
 from vouchspark.operators.scaling import spread
 from vouchspark.plans import derived as D
+from vouchspark.plans import jobs
 from vouchspark.plans.registry import query
+from vouchspark.session import reliable_checkpoint
 
 
 def joined(column):
@@ -36,9 +38,10 @@ def routed_with_quarantine(spark, sf):
 
 
 def hydrated(spark, sf):
+    """Hits with their texts, stored once: the judge, the guard and the counts all read them."""
     chunks = D.ch(spark, sf)
     hits = D.hits(spark, sf, chunks).withColumnRenamed("claim_id", "query_id")
-    return R.hydrate(hits, chunks, D.unversioned(spark, sf)).withColumnRenamed("query_id", "claim_id")
+    return reliable_checkpoint(R.hydrate(hits, chunks, D.unversioned(spark, sf)).withColumnRenamed("query_id", "claim_id"))
 
 
 @query(r"""
@@ -147,7 +150,7 @@ def silent_claims(spark, sf):
 
 
 def _recorded(spark, sf):
-    hits = D.hits(spark, sf)
+    hits = D.recorded_hits(spark, sf)
     return D.vd(spark, sf, hits).drop("candidates"), hits
 
 
@@ -277,7 +280,7 @@ def topic_syntheses(spark, sf):
     """One synthesis per topic, and the fixed answer where nothing was found."""
     chunks = D.ch(spark, sf)
     hits = D.hits(spark, sf, chunks, k=V.TOPIC_POOL).filter(F.col("claim_id") % 7 != 0).withColumnRenamed("claim_id", "query_id")
-    hydrated_hits = R.hydrate(hits, chunks, D.unversioned(spark, sf)).withColumnRenamed("query_id", "claim_id")
+    hydrated_hits = reliable_checkpoint(R.hydrate(hits, chunks, D.unversioned(spark, sf)).withColumnRenamed("query_id", "claim_id"))
     topics = D.cl(spark, sf).select(F.col("claim_id").alias("topic_id"), F.col("claim").alias("topic"))
     found = V.research_topics(topics, hydrated_hits, _first_chunk_writer)
     return found.select("topic_id", "summary", F.size("key_points").alias("points"), joined("supporting_chunk_ids").alias("supporting"))
@@ -313,3 +316,26 @@ def verified_claims(spark, sf):
     return checked.groupBy("label").agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+
+
+@query(r"""
+    WITH asked AS (SELECT c.*, e.evidence_id, CASE WHEN domain IN ('general', 'legal') THEN 'evidence' WHEN domain = 'financial' THEN 'arithmetic' ELSE 'binary' END AS mode
+                   FROM cl c LEFT JOIN ev e ON e.doc_id = c.claim_id),
+    first50 AS (SELECT chunk_id FROM ch ORDER BY evidence_id, seq LIMIT 50),
+    cand AS (SELECT a.claim_id, h.chunk_id FROM asked a JOIN hits h ON h.claim_id = a.claim_id WHERE mode = 'evidence'
+      UNION ALL SELECT a.claim_id, k.chunk_id FROM asked a JOIN ch k ON k.evidence_id = a.evidence_id AND k.seq < 50 WHERE mode <> 'evidence'
+      UNION ALL SELECT a.claim_id, f.chunk_id FROM asked a, first50 f WHERE mode <> 'evidence' AND a.evidence_id IS NULL),
+    shares AS (SELECT c.claim_id, c.chunk_id, round(len(list_intersect(q.t, list_distinct(k.t))) / CAST(greatest(len(q.t), 1) AS DOUBLE), 6) AS share
+      FROM cand c JOIN (SELECT query_id, list_distinct(list(term)) AS t FROM qterms GROUP BY 1) q ON q.query_id = c.claim_id JOIN chunk_terms k ON k.chunk_id = c.chunk_id),
+    best AS (SELECT claim_id, max(share) AS confidence, array_to_string(list_sort(coalesce(list(chunk_id) FILTER (share >= 0.25), [])), ',') AS supporting, count(*) AS n FROM shares GROUP BY 1)
+    SELECT b.claim_id, a.mode, b.confidence, b.n AS candidates, CASE WHEN mode = 'evidence' THEN supporting ELSE '' END AS supporting,
+           CASE WHEN confidence >= 0.5 THEN 'supported' WHEN confidence >= 0.25 AND mode = 'evidence' THEN 'partial' ELSE 'not_found' END AS label
+    FROM best b JOIN asked a ON a.claim_id = b.claim_id""")
+def verified_by_mode(spark, sf):
+    """The verify job: claims routed by domain, matched or given their passage, judged and guarded."""
+    chunks, evidence = D.ch(spark, sf), D.unversioned(spark, sf)
+    corpus = R.Corpus(chunks, evidence, R.build_index(chunks))
+    passages = evidence.select(F.col("doc_id").alias("claim_id"), "evidence_id")
+    verdicts, hits = jobs.verify_claims(D.cl(spark, sf).join(passages, "claim_id", "left"), corpus)
+    counts = hits.groupBy("claim_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return verdicts.join(counts, "claim_id").select("claim_id", "mode", "label", "confidence", "candidates", joined("supporting_chunk_ids").alias("supporting"))
