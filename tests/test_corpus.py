@@ -158,3 +158,31 @@ def test_corpus_scan(spark, tmp_path):
     assert flat == ["a.md"]
     with pytest.raises(Exception, match="unsupported"):
         FS.scan_file(spark, str(tmp_path / "sub/c.png")).collect()
+
+
+def test_address_rules_agree_with_the_registry(spark):
+    """Literal addresses against Python's own table of special-purpose blocks."""
+    import ipaddress
+
+    from vouchspark.sources import documents as SD
+
+    hosts = ["8.8.8.8", "10.1.2.3", "172.15.0.1", "172.16.0.1", "172.31.255.255", "172.32.0.1", "192.168.0.1", "127.0.0.1", "169.254.169.254", "100.63.0.1",
+             "100.64.0.1", "100.128.0.1", "0.0.0.0", "224.0.0.1", "240.0.0.1", "255.255.255.255", "198.18.0.1", "198.20.0.1", "203.0.113.9", "192.0.2.1", "1.1.1.1"]
+    six = ["::1", "::", "fe80::1", "fc00::1", "ff02::1", "2001:4860:4860::8888", "2001:db8::1", "2606:4700::1111", "2001:200::1"]
+    rows = [(h, f"http://{h}/x") for h in hosts] + [(h, f"https://[{h}]:8080/x") for h in six] + [("name", "https://example.org/")]
+    df = spark.createDataFrame(rows, "host string, url string").withColumn("body", F.lit("b")).withColumn("mime_type", F.lit("text/html; charset=utf-8"))
+    found = {r.host: r.admitted for r in SD.admit_pages(df).collect()}
+    want = {}
+    for host in [*hosts, *six]:
+        ip = ipaddress.ip_address(host)
+        want[host] = ip.is_global and not (ip.is_multicast or ip.is_reserved)
+    assert found == {**want, "name": True}
+
+
+def test_page_rules_in_order(spark):
+    from vouchspark.sources import documents as SD
+
+    rows = [("ftp://u:p@10.0.0.1/", "b", "text/plain"), ("http://u@example.org/", "b", "text/plain"), ("http:///x", "b", "text/plain"),
+            ("HTTPS://Example.org", "b", "image/png"), ("https://example.org", "b" * 30, "application/json"), ("nonsense", "b", "text/plain")]
+    df = spark.createDataFrame(rows, "url string, body string, mime_type string")
+    assert [r.reason for r in SD.admit_pages(df).collect()] == ["scheme", "credentials", "no host", "unsupported type", None, "scheme"]

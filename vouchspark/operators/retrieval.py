@@ -32,7 +32,7 @@ class Index:
     """``postings(term, chunk_id, tf, dl, corpus_version)`` and what corpus totals come from.
 
     Chunk length and version ride along in each posting, so scoring joins nothing back.
-    A fresh index keeps its analysed chunks in ``docs``; a stored one has ``totals`` (one
+    A fresh index keeps its analysed chunks, not moved anywhere, in ``docs``; a stored one has ``totals`` (one
     row: n_chunks, total_len) and ``buckets``, its files being split by term bucket.
     """
 
@@ -55,9 +55,10 @@ def build_index(chunks: DataFrame, *, stem: bool = False) -> Index:
     count per term and later its score for every query, is grouped by that id as well, so
     it needs no further shuffle; postings, several times larger than the text, stay put.
     """
-    docs = analysed(chunks.select("chunk_id", "corpus_version", "text").repartition("chunk_id"), stem=stem)
+    texts = chunks.select("chunk_id", "corpus_version", "text")
+    docs, placed = analysed(texts, stem=stem), analysed(texts.repartition("chunk_id"), stem=stem)
     # The outer form keeps Spark from adding a filter that would analyse every text twice.
-    words = docs.select("chunk_id", "corpus_version", "dl", F.explode_outer("tokens").alias("term"))
+    words = placed.select("chunk_id", "corpus_version", "dl", F.explode_outer("tokens").alias("term"))
     postings = (
         words.filter(F.col("term").isNotNull())
         .groupBy("chunk_id", "corpus_version", "dl", "term")
@@ -81,12 +82,8 @@ def term_statistics(index: Index, matched: DataFrame, version: int | None = None
     """
     if index.docs is not None:
         words = F.explode(F.concat(F.array(F.lit(ALL_TERMS)), F.array_distinct("tokens")))
-        listed = as_of(index.docs, version).select("dl", "corpus_version", words.alias("term"))
-        # The version keeps this branch reading the same columns as the scoring branch, so
-        # that both read one exchange.
-        return listed.groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len"), F.max("corpus_version").alias("latest")
-        )
+        listed = as_of(index.docs, version).select("dl", words.alias("term"))
+        return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len"))
     counted = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(0).cast("long").alias("total_len"))
     totals = index_totals(index)
     if version is not None:
