@@ -10,15 +10,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vouchspark.operators import approvals as A
 from vouchspark.operators import retrieval as R
 from vouchspark.plans import derived as D
 from vouchspark.plans.registry import query
 from vouchspark.session import checkpoint_root
 from vouchspark.streaming import approvals as SA
 from vouchspark.streaming import ingest as SI
-from vouchspark.streaming import timers
-from vouchspark.streaming.tables import read_table, write_batch
 
 
 def _root(spark) -> str:
@@ -120,22 +117,3 @@ def streamed_attempts(spark, sf):
     letters = SA.dead_letters(spark, root).select("approval_id", F.lit(True).alias("dead_letter"))
     found = SA.execution_status(spark, root).join(letters, "approval_id", "left")
     return found.select("approval_id", "attempts", "exec_status", F.coalesce("dead_letter", F.lit(False)).alias("dead_letter"))
-
-
-@query("""
-    WITH win AS (SELECT * FROM attempts WHERE ok QUALIFY row_number() OVER (PARTITION BY approval_id ORDER BY tried, attempt_id) = 1),
-    lost AS (SELECT a.approval_id, row_number() OVER (PARTITION BY a.approval_id ORDER BY a.tried, a.attempt_id) AS n FROM attempts a LEFT JOIN win w ON w.approval_id = a.approval_id
-             WHERE NOT a.ok AND (w.tried IS NULL OR (a.tried, a.attempt_id) < (w.tried, w.attempt_id)))
-    SELECT approval_id, 'dead' AS alarm, CAST(max(n) AS INTEGER) AS failures FROM lost WHERE n <= 3 GROUP BY 1 HAVING max(n) = 3""")
-def attempt_alarms(spark, sf):
-    """Alarms of the keyed state; with a far retry time only the dead are reported."""
-    root = _root(spark)
-    tries = D.attempts(spark, sf).join(D.proposals(spark, sf).select("idx", "approval_id"), "idx")
-    counted = A.effective_attempts(tries.select("attempt_id", "approval_id", "ok", "at", "at_time"))
-    counted.select("attempt_id", "approval_id", "ok", "at").write.parquet(f"{root}/tries")
-    stream = _as_stream(spark, _in_order(spark.read.parquet(f"{root}/tries"), "at", 2), root, 2, "part")
-    alarms = timers.retry_alarms(stream, backoff=10**6)
-    each = lambda batch, number: write_batch(batch, root, "alarms", number)
-    progress = alarms.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", f"{root}/_progress/alarms")
-    progress.trigger(availableNow=True).start().awaitTermination()
-    return read_table(spark, root, "alarms", timers.ALARM).select("approval_id", "alarm", "failures")

@@ -67,7 +67,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def retry_alarms(attempts: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, backoff: float = BACKOFF_SECONDS) -> DataFrame:
-    """Stream of (approval_id, alarm, failures), alarm being ``retry`` or ``dead``."""
+    """Stream of (approval_id, alarm, failures), alarm being ``retry`` or ``dead``.
+
+    Start it with a processing-time trigger: a run that takes what is there and stops
+    (``availableNow``) would wait for its timers for ever."""
     use_rocksdb(attempts.sparkSession)
     return attempts.groupBy("approval_id").transformWithStateInPandas(
         statefulProcessor=RetryAlarms(max_attempts, backoff), outputStructType=ALARM, outputMode="Update", timeMode="ProcessingTime"
