@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from vouchspark.llm import packing, token_files
+from vouchspark.llm import langid, packing, token_files
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+from vouchspark.llm.samples import held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -22,3 +24,10 @@ def op3_token_files(spark, folder):
 def op5_packed_sequences(spark, folder):
     docs = table(spark, folder, "documents")
     return packing.packed_documents(docs, public_tokenizers.path(WORD_BPE), end_id=1, capacity=CAPACITY)
+
+
+@query()
+def op2_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    judged = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
