@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import langid, packing, token_files
+from vouchspark.llm import langid, mixing, packing, token_files
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -31,3 +31,10 @@ def op2_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     judged = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query()
+def op8_source_mix(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
