@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import langid, mixing, packing, token_files
+from vouchspark.llm import langid, mixing, packing, token_files, toxicity
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -38,3 +38,12 @@ def op8_source_mix(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op1_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.CUT).cast("int").alias("predicted")
+    )
