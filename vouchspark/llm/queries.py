@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import langid, mixing, packing, token_files, toxicity
+from vouchspark.llm import jaccard_join, langid, mixing, packing, token_files, toxicity
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -47,3 +47,8 @@ def op1_toxicity(spark, folder):
     return scored.select(
         "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.CUT).cast("int").alias("predicted")
     )
+
+
+@query()
+def op7_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
