@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import jaccard_join, langid, mixing, packing, token_files, toxicity
+from vouchspark.llm import jaccard_join, langid, mixing, packing, token_files, toxicity, vector_dedup
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -52,3 +52,23 @@ def op1_toxicity(spark, folder):
 @query()
 def op7_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+@query(
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(node, reached) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id) AS component_id,
+  coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id
+"""
+)
+def op10_vector_dedup(spark, folder):
+    return vector_dedup.vector_components(table(spark, folder, "embeddings"))
