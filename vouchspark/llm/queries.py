@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import jaccard_join, langid, mixing, packing, quality, token_files, toxicity, vector_dedup
+from vouchspark.llm import jaccard_join, langid, mixing, packing, quality, token_files, toxicity, url_tree, vector_dedup
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -99,3 +99,44 @@ FROM b
 def op6_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_LEVEL = """
+l{k} AS (SELECT s.*, CASE WHEN s.m < {k} THEN p{j} ELSE p{j} || '/' || CASE WHEN v.any THEN '*' ELSE s.s[{k}] END END AS p{k}
+  FROM {before} s LEFT JOIN (SELECT p{j}, true AS any FROM {before} WHERE m >= {k} GROUP BY p{j}
+    HAVING count(DISTINCT s[{k}]) >= 8 AND sum(n) < 4 * count(DISTINCT s[{k}])) v USING (p{j})),"""
+
+
+@query(
+    r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fit AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM q),
+r AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+  regexp_replace(path, '[0-9]+', '0', 'g') AS shape FROM fit),
+l0 AS (SELECT host AS p0, host, shape, string_split(shape, '/')[2:] AS s, CASE WHEN shape = '' THEN 0 ELSE len(string_split(shape, '/')) - 1 END AS m,
+  count(*) AS n, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM r GROUP BY ALL),"""
+    + "".join(_LEVEL.format(k=k, j=k - 1, before=f"l{k - 1}") for k in (1, 2, 3))
+    + """
+t AS (SELECT host, shape, a, b, CASE WHEN m > 3 THEN p3 || '/**' ELSE p3 END AS template,
+  CASE m WHEN 0 THEN host WHEN 1 THEN p0 WHEN 2 THEN p1 WHEN 3 THEN p2 ELSE p3 END AS parent FROM l3),
+g AS (SELECT host, parent, template, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM t GROUP BY ALL),
+w AS (SELECT *, sum(a) OVER p AS ta, sum(b) OVER p AS tb FROM g WINDOW p AS (PARTITION BY parent)),
+x AS (SELECT *, CASE WHEN (a + b) * (ta + tb - a - b) * ta * tb > 0
+  THEN (ta + tb) * (a * (tb - b) - b * (ta - a)) * (a * (tb - b) - b * (ta - a)) / ((a + b) * (ta + tb - a - b) * ta * tb) >= 3.841 ELSE false END AS alone FROM w),
+y AS (SELECT *, sum(a) FILTER (NOT alone) OVER p AS ma, sum(b) FILTER (NOT alone) OVER p AS mb FROM x WINDOW p AS (PARTITION BY parent)),
+z AS (SELECT host, parent, template, CASE WHEN (CASE WHEN alone THEN a ELSE ma END + 3) / (CASE WHEN alone THEN a + b ELSE ma + mb END + 4) < 0.5
+  THEN 'block' ELSE 'allow' END AS judged FROM y)
+SELECT page_id, r.host, r.path, r.rule, coalesce(r.ruled, z.judged) AS verdict
+FROM r JOIN t ON r.host = t.host AND r.shape = t.shape JOIN z ON z.host = t.host AND z.parent = t.parent AND z.template = t.template
+"""
+)
+def op9_url_filters(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_tree.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
