@@ -49,7 +49,21 @@ def op1_toxicity(spark, folder):
     )
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 80 * (x.n + y.n - met)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.reached FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(reached) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+)
 def op7_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
 
