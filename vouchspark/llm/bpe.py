@@ -8,9 +8,10 @@ its units in a row; a worker keeps the ids of units it has met.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 
-from vouchspark.llm.worker import Memo, kept
+from vouchspark.llm.worker import kept
 
 # Blanks as the vocabularies see them: Python counts four control characters more.
 _BLANK, _TEXT = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -20,13 +21,21 @@ SPACED_UNITS = re.compile(rf"{_BLANK}+(?={_BLANK}{_TEXT})|{_BLANK}?{_TEXT}+|{_BL
 BARE_UNITS = re.compile(rf"{_TEXT}+")
 UNIT_LIMIT = 500_000
 LONG_UNIT = 48
+#: Marks that are a token of their own behind an ASCII letter, in every vocabulary used here.
+_MARKS = frozenset(".,;:!?")
+#: Byte-level vocabularies write printable bytes as themselves and the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PROBES = ("word", "Straße", "naïve", "été", "слово", "語")
 
 
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    ``drops_blanks`` says that the vocabulary ignores white space.  Strings of special tokens
-    inside a text are ordinary text.
+    ``drops_blanks`` says that the vocabulary ignores white space and lower-cases.  Strings of
+    special tokens inside a text are ordinary text.  A unit of letters alone is one piece to the
+    pre-tokenizer, so it goes straight to the merges of the model, in the model's byte writing;
+    that this gives the same ids is tried on a few words when the vocabulary is loaded.
     """
 
     def __init__(self, path: str, drops_blanks: bool):
@@ -34,22 +43,58 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = BARE_UNITS if drops_blanks else SPACED_UNITS
-        self.memo = Memo(self._encode, UNIT_LIMIT)
+        self.units, self.bare = (BARE_UNITS if drops_blanks else SPACED_UNITS), drops_blanks
+        self.merge, self.straight = self.tokenizer.model.tokenize, True
+        tried = _PROBES if drops_blanks else (*_PROBES, *(" " + w for w in _PROBES))
+        self.straight = all(self._letters(u) == self._encode(u) for u in tried)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, unit: str) -> bytes:
         return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
-    def _long(self, unit: str) -> bytes:
-        return self._encode(unit) if len(unit) > LONG_UNIT else self.memo[unit]
+    def _letters(self, unit: str) -> bytes | None:
+        """Ids of letters behind at most one space; None where rules beyond the merges may apply."""
+        word = unit if self.bare or unit[0] != " " else unit[1:]
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            # Lower-casing a final sigma or a dotted capital depends on what surrounds it.
+            if self.bare and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)):
+                return None
+            unit = (word.lower() if self.bare else unit).encode().decode("latin-1").translate(_BYTES)
+        elif self.bare:
+            unit = word.lower()
+        elif unit is not word:
+            unit = chr(_BYTES[32]) + word
+        return array("I", [t.id for t in self.merge(unit)]).tobytes()
+
+    def _new(self, unit: str) -> bytes:
+        """Ids of a unit met for the first time, or again after a while; long ones are not kept."""
+        ids = self.older.get(unit)
+        if ids is None:
+            if unit[-1] in _MARKS and unit[-2:-1].isalpha() and unit.isascii():
+                ids = self._get(unit[:-1]) + self._get(unit[-1])
+            else:
+                ids = (self._letters(unit) if self.straight else None) or self._encode(unit)
+        if len(unit) <= LONG_UNIT:
+            self.known[unit] = ids
+        return ids
+
+    def _get(self, unit: str) -> bytes:
+        return self.known.get(unit) or self._new(unit)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        units = self.units.findall(text)
-        if len(max(units, key=len, default="")) > LONG_UNIT:
-            return b"".join(map(self._long, units))
-        return b"".join(map(self.memo.__getitem__, units))
+        if len(self.known) >= UNIT_LIMIT:  # what is asked for again moves over, the rest goes next time
+            self.known, self.older = {}, self.known
+        units, known = self.units.findall(text), self.known
+        new = {u for u in units if u not in known}
+        if not new:
+            return b"".join(map(known.__getitem__, units))
+        ids = {u: self._new(u) for u in new}
+        return b"".join([ids[u] if u in ids else known[u] for u in units])
 
 
 def encoder(path: str, drops_blanks: bool) -> UnitEncoder:
