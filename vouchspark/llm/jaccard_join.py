@@ -7,10 +7,11 @@ tile every set has a hashed bitmap: the bits in which two bitmaps differ bound t
 above, and only pairs that can still reach the threshold go on to the exact intersection of
 their sorted arrays.
 
-Two passes keep hot groups small.  The first links every row to one pivot per token; sets that
-are already connected need not meet again.  The second compares rows of different components
-only, and a tile with very many rows is cut into blocks: rows outside its largest component
-meet that component block by block.
+Sets that are already connected need not meet again, which keeps groups of near copies from
+growing into all their pairs.  So three rounds first link every row to one pivot per token and
+band: the smallest id, then the set with the most links, then one that differs from token to
+token.  The tiles compare rows of different components only, and a tile with very many rows is
+cut into blocks: rows outside its largest component meet that component block by block.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchspark.llm.graph import components
@@ -34,8 +35,9 @@ WORDS = 5
 PART = 80
 #: Frequencies for the global order are kept per hash bucket, a table of fixed size.
 COUNT_BITS = 16
-PIVOT_TOKENS = 8
 BLOCK_ROWS = 2048
+#: Bits of a bitmap per token of the largest set of its band, at least.
+LOAD = 4
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -72,8 +74,8 @@ def _band(n: int) -> int:
 
 
 def bitmap_bits(band: int) -> int:
-    """Width of the bitmaps in the tiles of a band: a power of two above its largest set."""
-    return max(64, 1 << math.ceil(math.log2((100 / PART) ** (band + 1))))
+    """Width of the bitmaps in the tiles of a band, a power of two."""
+    return max(64, 1 << math.ceil(math.log2(LOAD * (100 / PART) ** (band + 1))))
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -200,28 +202,51 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
 
 
-def pivot_pairs(sketch: DataFrame) -> DataFrame:
-    """Each document with one pivot per token among its first tokens and its size band."""
-    rows = sketch.select("doc_id", size_band(F.col("n")).alias("band"), F.explode(F.slice("prefix", 1, PIVOT_TOKENS)).alias("token"))
-    pivots = rows.groupBy("token", "band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_most")).filter("a <> _most").drop("_most")
-    return rows.join(pivots, ["token", "band"]).filter(F.col("doc_id") > F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
+def shared_tokens(sketch: DataFrame) -> DataFrame:
+    """``token``, ``doc_id``, ``band`` of the tokens of prefixes that two documents or more share.
+    One shuffle of narrow rows; a row only looks at its neighbours in the order of its token."""
+    rows = sketch.select("doc_id", size_band(F.col("n")).alias("band"), F.explode("prefix").alias("token"))
+    order = Window.partitionBy("token").orderBy("doc_id")
+    shared = rows.withColumn("_back", F.lag("doc_id").over(order)).withColumn("_on", F.lead("doc_id").over(order))
+    return shared.filter("_back is not null or _on is not null").drop("_back", "_on")
 
 
-def tile_rows(sketch: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of all tiles in which documents of different components meet.
+def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Add ``label`` (component so far) and ``degree`` (links so far)."""
+    if links is None:
+        return rows.withColumn("label", F.col("doc_id")).withColumn("degree", F.lit(0).cast("long"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    node = stored(ends.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id"), "nodes")
+    out = rows.join(node, "doc_id", "left")
+    return out.withColumn("label", F.coalesce("component", "doc_id")).withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).drop("component")
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Rows of tokens that documents of different components share.  A token of two documents of
+    one band is settled by its pivot."""
+    tokens = rows.groupBy("token").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("rows"), F.min("band").alias("_b"), F.max("band").alias("_c")
+    )
+    return rows.drop("rows").join(tokens.filter("_lo <> _hi and (rows > 2 or _b <> _c)").select("token", "rows"), "token")
+
+
+def pivot_pairs(rows: DataFrame, order: Column) -> DataFrame:
+    """Each document of labelled rows with the pivot of its token and band (the first by
+    ``order``), unless both are connected already."""
+    pivots = rows.groupBy("token", "band").agg(
+        F.min_by(F.struct("doc_id", "label"), order).alias("_p"), F.min("label").alias("_lo"), F.max("label").alias("_hi")
+    ).filter("_lo <> _hi")
+    met = rows.join(pivots, ["token", "band"]).filter(F.col("label") != F.col("_p.label"))
+    return met.select(F.least("doc_id", "_p.doc_id").alias("a"), F.greatest("doc_id", "_p.doc_id").alias("b")).distinct()
+
+
+def tile_rows(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows of all tiles in which documents of different components meet, from ``open_rows``.
 
     A document of a band is at home in the tiles of that band and a guest in those of the band
     above.  ``gi``, ``gj`` name the block pair, ``side`` tells its two blocks apart (0 in a group
     that is compared within itself).
     """
-    own = sketch.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    own = own.withColumn("label", F.coalesce("component", "doc_id")).select("doc_id", "n", "label", "bits", "prefix")
-    rows = own.select("doc_id", "label", F.explode("prefix").alias("token"))
-    tokens = (
-        rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("rows"))
-        .filter("_lo <> _hi").select("token", "rows")
-    )
-    rows = stored(rows.join(tokens, "token"), "tokens")
     # The largest component of tokens that many documents share.
     large = rows.filter(F.col("rows") > BLOCK_ROWS).groupBy("token", "label").agg(F.count(F.lit(1)).alias("_n"))
     main = large.groupBy("token").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.max("_n").alias("_main_rows"))
@@ -239,7 +264,7 @@ def tile_rows(sketch: DataFrame, label: DataFrame) -> DataFrame:
     lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(lo == hi, 0).when(F.col("_own") == lo, 1).otherwise(2)
     many = many.select("doc_id", "label", "token", lo.alias("gi"), hi.alias("gj"), side.cast("int").alias("side"))
-    narrow = own.select("doc_id", "n", "bits", size_band(F.col("n")).alias("band"))
+    narrow = sketch.select("doc_id", "n", "bits", size_band(F.col("n")).alias("band"))
     placed = few.unionByName(many).join(narrow, "doc_id")
     return placed.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.col("band") + F.when(F.col("home"), 0).otherwise(1))
 
@@ -327,11 +352,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     salted = made.filter("n > 0 and doc_id is not null").withColumn("_salt", row_hash_salt("doc_id"))
     met = salted.join(copies.withColumn("_salt", all_salts()), ["class", "_salt"], "left")
     single = stored(met.filter(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).select("doc_id", "n", "prefix", "bits"), "single")
-    near = stored(bitmap_filter(pivot_pairs(single), single), "pairs")
-    first = stored(exact_links(near, known), "linked")
-    label = components(first)
-    tiled = stored(tile_pairs(tile_rows(single, label)), "pairs")
-    label = stored(components(first.unionByName(exact_links(tiled, known))), "components")
+    rows, links = stored(shared_tokens(single), "shared"), None
+    for order in (F.struct("doc_id"), F.struct(-F.col("degree"), "doc_id"), F.struct(F.xxhash64("doc_id", "token"), "doc_id")):
+        if links is not None:
+            rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
+        else:
+            rows = labelled(rows, None)
+        near = stored(bitmap_filter(pivot_pairs(rows, order), single), "pairs")
+        found = exact_links(near, known)
+        links = stored(found if links is None else links.unionByName(found), "links")
+    rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
+    tiled = stored(tile_pairs(tile_rows(rows, single)), "pairs")
+    label = stored(components(links.unionByName(exact_links(tiled, known))), "components")
     # Copies take the component of the first of their class.
     of_class = copies.join(label.withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("component", "first").alias("_of_class"))
     out = made.select("doc_id", "n", "class").withColumn("_salt", row_hash_salt("doc_id"))
