@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import jaccard_join, langid, mixing, packing, quality, token_files, toxicity, url_tree, vector_dedup
+from vouchspark.llm import chat, jaccard_join, langid, mixing, packing, quality, token_files, toxicity, url_tree, vector_dedup
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -154,3 +154,8 @@ FROM r JOIN t ON r.host = t.host AND r.shape = t.shape JOIN z ON z.host = t.host
 def op9_url_filters(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_tree.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op4_chat_repair(spark, folder):
+    return chat.repaired_turns(table(spark, folder, "conversations"))
