@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from vouchspark.functions.ids import stable_id
 from vouchspark.functions.text import BLANKS, PIECE_PATTERN, first_title
 from vouchspark.operators.scaling import global_positions, salted_join
+from vouchspark.sources.stored import read_or_empty
 from vouchspark.schemas import INT, STRING, table
 
 TARGET_TOKENS, OVERLAP_TOKENS = 800, 100
@@ -58,29 +60,37 @@ def with_title(df: DataFrame, fallback: Column, text: str = "text") -> DataFrame
 
 
 # --- sections and chunks ----------------------------------------------------------------
-HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*")
-FENCES = ("```", "~~~")
+# Characters that end a line of a document.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+#: What matters at the start of a line: a fence, or up to six marks, a blank and more.
+MARK = re.compile(rf"(?:\A|(?<=[{LINE_ENDS}]))(?:[^\S{LINE_ENDS}]*(?P<fence>```|~~~)|(?P<depth>#{{1,6}})(?P<title>[^\S{LINE_ENDS}][^{LINE_ENDS}]+))")
+DEPTHS = 6
 
 
 def _sections(body: str) -> list[tuple[int, str | None, str]]:
-    """(start, path, body) of each heading section of one document."""
-    starts: list[tuple[int, str | None]] = [(0, None)]
-    titles: dict[int, str] = {}
-    fenced, at = False, 0
-    for line in body.splitlines(keepends=True):
-        bare = line.rstrip("\n").rstrip("\r")
-        if bare.strip().startswith(FENCES):
-            fenced = not fenced
-        elif not fenced and (found := HEADING.fullmatch(bare)):
-            depth = len(found[1])
-            titles = {level: title for level, title in titles.items() if level < depth}
-            titles[depth] = found[2].strip()
-            path = " > ".join(titles[level] for level in sorted(titles) if titles[level])
-            starts.append((at, path or None))
-        at += len(line)
-    ends = [start for start, _ in starts[1:]] + [len(body)]
-    pieces = [(start, path, body[start:end]) for (start, path), end in zip(starts, ends)]
-    return [piece for piece in pieces if piece[2].strip()]
+    """(start, path, body) of each heading section of one document.
+
+    All marks are found by one scan.  A heading counts where the number of fences before it is
+    even.  For every depth the latest heading up to a place is a running maximum; it is part of
+    the path there unless a heading of a smaller depth came later.
+    """
+    marks = list(MARK.finditer(body))
+    fences = np.array([m["fence"] is not None for m in marks], dtype=bool)
+    heads = [m for m, is_fence, open_ in zip(marks, fences, np.cumsum(fences) % 2, strict=True) if not is_fence and not open_]
+    depth = np.array([len(m["depth"]) for m in heads], dtype=np.int64)
+    titles = [m["title"].strip() for m in heads]
+    number = np.arange(len(heads))
+    latest = np.full((DEPTHS + 1, len(heads)), -1)
+    for d in range(1, DEPTHS + 1):
+        latest[d] = np.maximum.accumulate(np.where(depth == d, number, -1)) if heads else latest[d]
+    # The place itself ends everything as deep as it or deeper.
+    outer = np.maximum.accumulate(latest, axis=0)
+    valid = (latest[1:] >= 0) & (latest[1:] > outer[:-1])
+    paths = [" > ".join(titles[latest[d, i]] for d in range(1, DEPTHS + 1) if valid[d - 1, i] and titles[latest[d, i]]) or None for i in number]
+    starts = [0, *[m.start() for m in heads]]
+    stops = [*starts[1:], len(body)]
+    parts = zip(starts, [None, *paths], stops, strict=True)
+    return [(lo, path, body[lo:hi]) for lo, path, hi in parts if body[lo:hi].strip()]
 
 
 @F.pandas_udf(SECTION)
@@ -141,17 +151,24 @@ def _word_windows(section: Column, target: int, overlap: int) -> Column:
         n = F.size(pieces)
         last = F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / F.lit(step)).cast("int"))
 
-        def one(i: Column) -> Column:
-            skipped = F.length(F.array_join(F.slice(pieces, F.lit(1), i * step), ""))
-            text = F.regexp_replace(F.array_join(F.slice(pieces, i * step + 1, F.lit(target)), ""), rf"{BLANKS}+\z", "")
-            return F.struct(
-                text.alias("text"),
-                F.least(F.lit(target), n - i * step).alias("token_count"),
-                section["headings_path"].alias("headings_path"),
-                (section["start"] + lead + skipped).alias("start_offset"),
-            )
+        def cut(skipped: Column) -> Column:
+            """``skipped`` holds the length of each step of words, so that an offset is a sum of
+            one number per earlier window, and no earlier word is touched again."""
+
+            def one(i: Column) -> Column:
+                text = F.regexp_replace(F.array_join(F.slice(pieces, i * step + 1, F.lit(target)), ""), rf"{BLANKS}+\z", "")
+                offset = F.aggregate(F.slice(skipped, F.lit(1), i), F.lit(0), lambda total, length: total + length)
+                return F.struct(
+                    text.alias("text"),
+                    F.least(F.lit(target), n - i * step).alias("token_count"),
+                    section["headings_path"].alias("headings_path"),
+                    (section["start"] + lead + offset).alias("start_offset"),
+                )
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast(CHUNK_PARTS))
+            return F.transform(F.sequence(F.lit(0), last), one)
+
+        steps = F.transform(F.sequence(F.lit(0), last), lambda i: F.length(F.array_join(F.slice(pieces, i * step + 1, F.lit(step)), "")))
+        return F.when(n > 0, F.flatten(F.transform(F.array(steps), cut))).otherwise(F.array().cast(CHUNK_PARTS))
 
     bound = F.array(F.regexp_extract_all(body, F.lit(PIECE_PATTERN), F.lit(0)))
     return F.flatten(F.transform(bound, windows))
@@ -160,17 +177,23 @@ def _word_windows(section: Column, target: int, overlap: int) -> Column:
 Tokenizer = Callable[[str], list[tuple[int, int]]]
 
 
+_TRIMMED = re.compile(r"\S(?:.*\S)?", re.DOTALL)
+
+
 def _span_windows(body: str, spans: list[tuple[int, int]], target: int, step: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, token count) of each trimmed, non-blank window over token spans."""
-    for i in range(0, len(spans), step):
-        stop = min(i + target, len(spans))
-        lo, hi = spans[i][0], spans[stop][0] if stop < len(spans) else len(body)
-        text = body[lo:hi]
-        if text.strip():
-            lo += len(text) - len(text.lstrip())
-            yield lo, lo + len(text.strip()), stop - i
-        if stop == len(spans):
-            return
+    """(start, end, token count) of each non-blank window over token spans, without outer blanks.
+    A window reaches to the token behind it, the last one to the end of the body."""
+    many = len(spans)
+    if not many:
+        return
+    borders = np.array([*[start for start, _ in spans], len(body)])
+    firsts = np.arange(0, max(1, many - target + step), step)
+    firsts = firsts[firsts < many]
+    lasts = np.minimum(firsts + target, many)
+    for lo, hi, count in zip(borders[firsts].tolist(), borders[lasts].tolist(), (lasts - firsts).tolist(), strict=True):
+        found = _TRIMMED.search(body, lo, hi)
+        if found:
+            yield *found.span(), count
 
 
 def _tokenizer_windows(tokenizer: Tokenizer, target: int, overlap: int):
@@ -261,10 +284,11 @@ def embed_chunks(missing: DataFrame, embed_fn: EmbedFn, batch: int = 64) -> Data
 
 
 def backfill(chunks: DataFrame, evidence: DataFrame, vectors_path: str, embed_fn: EmbedFn, batch: int = 64) -> None:
-    """Append vectors for chunks that have none.  A second run finds nothing to do."""
+    """Append vectors for chunks that have none.  A path that does not exist yet is an empty
+    table; a second run finds nothing to do."""
     spark = chunks.sparkSession
     schema = "chunk_id string, corpus_version long, embedding array<float>"
-    vectors = spark.read.schema(schema).parquet(vectors_path)
+    vectors = read_or_empty(spark, vectors_path, schema)
     embed_chunks(missing_embeddings(chunks, evidence, vectors), embed_fn, batch).write.mode("append").parquet(vectors_path)
 
 

@@ -263,17 +263,21 @@ def select_all(
     )
 
 
-def select_all_each(requests: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
-    """The same for a table of requests (query_id, evidence_id, as_of).
+def select_all_each(requests: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """The same for a table of requests (query_id, evidence_id, as_of): whole passages.
 
-    Each document is cut to ``limit`` chunks first, as no request takes more; requests are
+    ``chunks_found`` counts the chunks of a request before any limit.  A caller who sets
+    ``limit`` gets the first ones, and ``truncated`` says where some are missing.  Requests are
     salted, since very many may ask for one document."""
     asked = requests.select("evidence_id").distinct()
     held = chunks.select("evidence_id", "chunk_id", "seq", "corpus_version").join(asked, "evidence_id", "left_semi")
-    held = first_rows(held, ["evidence_id"], [F.col("seq"), F.col("chunk_id")], limit, "_n").drop("_n")
     found = salted_join(requests, held, "evidence_id", "inner", ["query_id"]).filter(F.col("as_of").isNull() | (F.col("corpus_version") <= F.col("as_of")))
-    top = first_rows(found, ["query_id"], [F.col("seq"), F.col("chunk_id")], limit, "_rn")
-    return top.select("query_id", "chunk_id", "evidence_id", F.lit(0.0).alias("score"), (F.col("_rn") - 1).cast("long").alias("rank"))
+    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_found"))
+    placed = found.withColumn("rank", (F.row_number().over(_by_query("seq", "chunk_id")) - 1).cast("long")).join(counts, "query_id")
+    if limit is not None:
+        placed = placed.filter(F.col("rank") < limit)
+    truncated = F.lit(False) if limit is None else F.col("chunks_found") > limit
+    return placed.select("query_id", "chunk_id", "evidence_id", F.lit(0.0).alias("score"), "rank", "chunks_found", truncated.alias("truncated"))
 
 
 # --- nearest neighbours -------------------------------------------------------------------
@@ -373,8 +377,14 @@ def rrf_fuse(lexical: DataFrame, vector: DataFrame, *, k: int = FUSION_K, limit:
 
 def hydrate(hits: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     """Hits with chunk and evidence columns.  Ids that no longer exist are dropped and
-    the remaining hits of a query are ranked again from 0."""
-    kept = hits.join(chunks.select("chunk_id", "evidence_id", "seq", "text", "headings_path", "token_count"), "chunk_id")
+    the remaining hits of a query are ranked again from 0.
+
+    The hits are stored and their distinct ids measured.  Where these are few they are
+    broadcast to the scan of the chunks, so that only texts that were hit are moved."""
+    hits = reliable_checkpoint(hits)
+    ids = hits.select("chunk_id").distinct()
+    wanted = chunks.select("chunk_id", "evidence_id", "seq", "text", "headings_path", "token_count").join(_hinted(ids, fits_broadcast(ids)), "chunk_id", "left_semi")
+    kept = salted_join(hits, wanted, "chunk_id", "inner", ["query_id"])
     titled = evidence.select(
         "evidence_id", F.col("title").alias("evidence_title"), F.col("source_path").alias("evidence_source_path")
     )

@@ -51,10 +51,11 @@ def prompted(judge_fn: J.JudgeFn, schema: str, parallelism: int | None = None) -
 
 
 def find_candidates(claims: DataFrame, corpus: R.Corpus, *, k: int = K, pool: int = POOL) -> DataFrame:
-    """Hits of routed claims: by words for evidence mode, the staged passage for the others.
+    """Hits of routed claims: by words for evidence mode, the whole staged passage for the others.
 
-    A claim may carry ``evidence_id`` (its passage) and ``as_of`` (its snapshot).  Without a
-    passage the first chunks of the corpus stand in, as many as the limit."""
+    A claim may carry ``evidence_id`` (its passage) and ``as_of`` (its snapshot, which holds on
+    every path).  A claim without a passage is matched by words as well: no prefix of the corpus
+    can stand in for it."""
     blank = {"evidence_id": "string", "as_of": "long"}
     for name, kind in blank.items():
         if name not in claims.columns:
@@ -62,18 +63,14 @@ def find_candidates(claims: DataFrame, corpus: R.Corpus, *, k: int = K, pool: in
     asked = claims.select(
         F.col("claim_id").alias("query_id"), F.col("claim").alias("query"), "mode", "evidence_id", F.coalesce("as_of", F.lit(ANY_VERSION)).alias("as_of")
     )
-    by_words = asked.filter(F.col("mode").isin(*MATCHED))
+    by_match = F.col("mode").isin(*MATCHED) | F.col("evidence_id").isNull()
+    by_words = asked.filter(by_match)
     words = R.bm25_topk(by_words.select("query_id", "query", "as_of"), corpus.index, pool, version_per_query=True)
     found = words.select("query_id", "chunk_id", "rank", "score", F.lit("bm25").alias("method"))
-    limit = max(k, pool)
-    passages = asked.filter(~F.col("mode").isin(*MATCHED))
+    passages = asked.filter(~by_match)
     method = F.concat("mode", F.lit("_all"))
-    staged = R.select_all_each(passages.filter(F.col("evidence_id").isNotNull()).select("query_id", "evidence_id", "as_of"), corpus.chunks, limit)
-    # At most ``limit`` rows, so joining them to every claim without a passage is a bounded broadcast.
-    first = R.select_all(corpus.chunks, limit=limit).select(F.lit(1).alias("_one"), "chunk_id", "rank", "score")
-    loose = passages.filter(F.col("evidence_id").isNull()).select("query_id", F.lit(1).alias("_one")).join(F.broadcast(first), "_one")
-    columns = ("query_id", "chunk_id", "rank", "score")
-    whole = staged.select(*columns).unionByName(loose.select(*columns)).join(passages.select("query_id", method.alias("method")), "query_id")
+    staged = R.select_all_each(passages.select("query_id", "evidence_id", "as_of"), corpus.chunks)
+    whole = staged.select("query_id", "chunk_id", "rank", "score").join(passages.select("query_id", method.alias("method")), "query_id")
     both = found.unionByName(whole)
     considered = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates_considered"))
     kept = both.filter((F.col("method") != "bm25") | (F.col("rank") < k))

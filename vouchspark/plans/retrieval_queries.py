@@ -84,14 +84,24 @@ def all_chunks(spark, sf):
 
 
 @query("""
-    SELECT doc_id AS query_id, chunk_id, evidence_id, seq AS rank, 0.0::DOUBLE AS score FROM (
-      SELECT e.doc_id, c.* FROM ch c JOIN ev e ON e.evidence_id = c.evidence_id) WHERE seq < 50""")
+    SELECT e.doc_id AS query_id, chunk_id, c.evidence_id, seq AS rank, 0.0::DOUBLE AS score, count(*) OVER (PARTITION BY e.doc_id) AS chunks_found, false AS truncated
+    FROM ch c JOIN ev e ON e.evidence_id = c.evidence_id""")
 def all_chunks_each(spark, sf):
     """The passage of every document, one request per document."""
     requests = D.unversioned(spark, sf).select(F.col("doc_id").alias("query_id"), "evidence_id", F.lit(None).cast("long").alias("as_of"))
     return R.select_all_each(requests, D.ch(spark, sf))
 
 
+@query("""
+    SELECT query_id, chunk_id, rank, chunks_found, chunks_found > 3 AS truncated FROM (
+      SELECT e.doc_id AS query_id, chunk_id, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY e.doc_id) AS chunks_found
+      FROM ch c JOIN ev e ON e.evidence_id = c.evidence_id WHERE c.corpus_version <= 120 WINDOW w AS (PARTITION BY e.doc_id ORDER BY seq)) WHERE rank < 3""")
+def first_chunks_each(spark, sf):
+    """A caller's limit inside a snapshot, with the full count and a mark."""
+    requests = D.unversioned(spark, sf).select(F.col("doc_id").alias("query_id"), "evidence_id", F.lit(120).cast("long").alias("as_of"))
+    return R.select_all_each(requests, D.ch(spark, sf, versioned=True), 3).select("query_id", "chunk_id", "rank", "chunks_found", "truncated")
+
+
 @query("SELECT query_id, chunk_id, distance, rank FROM near WHERE rank < 10")
 def nearest_vectors(spark, sf):
     """Ten nearest vectors of every vector, inside a snapshot."""

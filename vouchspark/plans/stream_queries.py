@@ -22,12 +22,15 @@ def _root(spark) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, df, root: str, parts: int, order: str):
-    """``df`` as a stream of ``parts`` files, one per micro-batch, in order."""
+def _run_parts(spark, df, root: str, parts: int, start) -> None:
+    """Feed ``df`` part by part to one stream: a part is added to its input folder, the stream
+    takes what is there and stops, and goes on from its checkpoint with the next part.  The parts
+    are written once, by as many tasks as the table has."""
+    df.write.partitionBy("_part").parquet(f"{root}/staged")
+    staged, schema = spark.read.parquet(f"{root}/staged"), df.drop("_part").schema
     for part in range(parts):
-        df.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("overwrite").parquet(f"{root}/input/{order}{part}")
-    schema = df.drop("_part").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input/*")
+        staged.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{root}/input")
+        start(spark.readStream.schema(schema).parquet(f"{root}/input")).awaitTermination()
 
 
 @query("""
@@ -36,7 +39,7 @@ def streamed_corpus(spark, sf):
     """Documents ingested batch by batch; copies are dropped against all history."""
     root = _root(spark)
     docs = D.documents(spark, sf).select("doc_id", "text", "source").withColumn("_part", (F.col("doc_id") % 3).cast("int"))
-    SI.stream_ingest(_as_stream(spark, docs, root, 3, "part"), root, target=D.TARGET, overlap=D.OVERLAP).awaitTermination()
+    _run_parts(spark, docs, root, 3, lambda stream: SI.stream_ingest(stream, root, target=D.TARGET, overlap=D.OVERLAP))
     evidence, chunks = SI.evidence_table(spark, root), SI.chunk_table(spark, root)
     per_document = chunks.groupBy("sha256").agg(F.count_distinct("chunk_id").alias("chunks"))
     versions = evidence.groupBy("corpus_version").agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +52,7 @@ def streamed_index(spark, sf):
     """An index grown batch by batch answers like one built at once."""
     root = _root(spark)
     chunks = D.ch(spark, sf).select("chunk_id", "corpus_version", "text").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(2)).cast("int"))
-    SI.stream_index(_as_stream(spark, chunks, root, 2, "part"), root, buckets=8).awaitTermination()
+    _run_parts(spark, chunks, root, 2, lambda stream: SI.stream_index(stream, root, buckets=8))
     return R.bm25_topk(D.questions(spark, sf), R.read_index(spark, root), 10)
 
 
@@ -75,8 +78,7 @@ def _decided(spark, sf):
     asked.write.parquet(f"{root}/proposals")
     asked = spark.read.parquet(f"{root}/proposals")
     made.select("decision_id", "approval_id", "decision", "decided_by", "decided_at", "note").write.parquet(f"{root}/decisions")
-    stream = _as_stream(spark, _in_order(spark.read.parquet(f"{root}/decisions"), "decided_at", 3), root, 3, "part")
-    SA.stream_decisions(stream, asked, root).awaitTermination()
+    _run_parts(spark, _in_order(spark.read.parquet(f"{root}/decisions"), "decided_at", 3), root, 3, lambda stream: SA.stream_decisions(stream, asked, root))
     return root, asked
 
 
@@ -112,8 +114,7 @@ def streamed_attempts(spark, sf):
     root = _root(spark)
     tries = D.attempts(spark, sf).join(D.proposals(spark, sf).select("idx", "approval_id"), "idx")
     tries.select("attempt_id", "approval_id", "ok", "at", "at_time").write.parquet(f"{root}/tries")
-    stream = _as_stream(spark, _in_order(spark.read.parquet(f"{root}/tries"), "at", 3), root, 3, "part")
-    SA.stream_attempts(stream, root).awaitTermination()
+    _run_parts(spark, _in_order(spark.read.parquet(f"{root}/tries"), "at", 3), root, 3, lambda stream: SA.stream_attempts(stream, root))
     letters = SA.dead_letters(spark, root).select("approval_id", F.lit(True).alias("dead_letter"))
     found = SA.execution_status(spark, root).join(letters, "approval_id", "left")
     return found.select("approval_id", "attempts", "exec_status", F.coalesce("dead_letter", F.lit(False)).alias("dead_letter"))

@@ -321,10 +321,8 @@ def verified_claims(spark, sf):
 @query(r"""
     WITH asked AS (SELECT c.*, e.evidence_id, CASE WHEN domain IN ('general', 'legal') THEN 'evidence' WHEN domain = 'financial' THEN 'arithmetic' ELSE 'binary' END AS mode
                    FROM cl c LEFT JOIN ev e ON e.doc_id = c.claim_id),
-    first50 AS (SELECT chunk_id FROM ch ORDER BY evidence_id, seq LIMIT 50),
-    cand AS (SELECT a.claim_id, h.chunk_id FROM asked a JOIN hits h ON h.claim_id = a.claim_id WHERE mode = 'evidence'
-      UNION ALL SELECT a.claim_id, k.chunk_id FROM asked a JOIN ch k ON k.evidence_id = a.evidence_id AND k.seq < 50 WHERE mode <> 'evidence'
-      UNION ALL SELECT a.claim_id, f.chunk_id FROM asked a, first50 f WHERE mode <> 'evidence' AND a.evidence_id IS NULL),
+    cand AS (SELECT a.claim_id, h.chunk_id FROM asked a JOIN hits h ON h.claim_id = a.claim_id WHERE mode = 'evidence' OR a.evidence_id IS NULL
+      UNION ALL SELECT a.claim_id, k.chunk_id FROM asked a JOIN ch k ON k.evidence_id = a.evidence_id WHERE mode <> 'evidence'),
     shares AS (SELECT c.claim_id, c.chunk_id, round(len(list_intersect(q.t, list_distinct(k.t))) / CAST(greatest(len(q.t), 1) AS DOUBLE), 6) AS share
       FROM cand c JOIN (SELECT query_id, list_distinct(list(term)) AS t FROM qterms GROUP BY 1) q ON q.query_id = c.claim_id JOIN chunk_terms k ON k.chunk_id = c.chunk_id),
     best AS (SELECT claim_id, max(share) AS confidence, array_to_string(list_sort(coalesce(list(chunk_id) FILTER (share >= 0.25), [])), ',') AS supporting, count(*) AS n FROM shares GROUP BY 1)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vouchspark.sources.stored import read_or_empty
+
 
 def write_batch(df: DataFrame, root: str, table: str, batch: int, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -28,10 +29,7 @@ def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType(), True)])
-    try:
-        found = spark.read.schema(full).parquet(f"{root}/{table}")
-    except AnalysisException:
-        return spark.createDataFrame([], full)
+    found = read_or_empty(spark, f"{root}/{table}", full)
     return found if before is None else found.filter(F.col("batch") < before)
 
 
