@@ -52,7 +52,8 @@ def test_every_mode_gives_one_verdict(spark, corpus):
     assert found[7].label == "not_found" and found[7].mode == "tiered"
     assert found[8].reasoning == "Decomposed into 2 atoms."
     methods = {(r.claim_id, r.method) for r in hits.select("claim_id", "method").distinct().collect()}
-    assert (0, "bm25") in methods and (1, "judgment_all") in methods and (2, "binary_all") in methods
+    # A claim without a passage is matched by words in every mode.
+    assert {m for _, m in methods} == {"bm25"}
 
 
 def test_judge_is_not_asked_about_claims_without_hits(spark, corpus, tmp_path):
@@ -100,3 +101,19 @@ def test_gold_evaluation_and_calibration(spark, corpus):
     assert (report.n, report.accuracy, report.supported_f1, report.retrieval_recall, report.stale_entries) == (2, 1.0, 1.0, 1.0, 1)
     policy = jobs.calibrate(gold, corpus).first()
     assert policy.achievable and policy.n == 2
+
+
+def test_whole_passages_inside_the_snapshot(spark):
+    rows = [(f"c{i:02d}", "e1", i, f"word{i} text", None, 2, 1) for i in range(60)] + [("a00", "e1", -1, "late text", None, 2, 9), ("b00", "e2", 0, "other text", None, 2, 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, evidence_id string, seq int, text string, headings_path string, token_count int, corpus_version long")
+    evidence = spark.createDataFrame([("e1", "one", "p"), ("e2", "two", "p")], "evidence_id string, title string, source_path string")
+    corpus = R.Corpus(chunks, evidence, R.build_index(chunks))
+    claims = spark.createDataFrame(
+        [(1, "text", "binary", "e1", 1), (2, "text", "judgment", "e1", None), (3, "late text", "binary", None, 1)],
+        "claim_id long, claim string, mode string, evidence_id string, as_of long",
+    )
+    found = jobs.find_candidates(claims, corpus, k=5, pool=8).collect()
+    by = {i: sorted((r for r in found if r["claim_id"] == i), key=lambda r: r["rank"]) for i in (1, 2, 3)}
+    assert [r["chunk_id"] for r in by[1]] == [f"c{i:02d}" for i in range(60)] and {r["candidates_considered"] for r in by[1]} == {60}
+    assert [r["chunk_id"] for r in by[2]][:2] == ["a00", "c00"] and len(by[2]) == 61
+    assert len(by[3]) == 5 and "a00" not in {r["chunk_id"] for r in by[3]} and {r["method"] for r in by[3]} == {"bm25"}

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,13 +88,12 @@ def brute_force(rows, asked, k, version=None, scope="index"):
 
 @pytest.mark.parametrize("version, scope", [(None, "index"), (3, "index"), (3, "snapshot")])
 @pytest.mark.parametrize("limit", [R.BROADCAST_BYTES, 0])
-@pytest.mark.parametrize("k, prune, share", [(20, R.PRUNE_PAIRS, 0.05), (3, 0, 0.4), (20, 0, 0.15)])
-def test_bm25_equals_brute_force(spark, monkeypatch, version, scope, limit, k, prune, share):
-    """All ways: broadcast query words or the salted join, common terms in full or pruned.
-    Some queries are bounded by their rare terms, others are not."""
-    monkeypatch.setattr(R, "COMMON_SHARE", share)
+@pytest.mark.parametrize("k", [3, 20])
+def test_bm25_equals_brute_force(spark, monkeypatch, version, scope, limit, k):
+    """Query words broadcast, or blocks of queries meeting blocks of chunks."""
+    monkeypatch.setattr(R, "BLOCK_CHUNKS", 20)
     rows, asked, chunks, queries = corpus(spark)
-    found = R.bm25_topk(queries, R.build_index(chunks), k, corpus_version=version, stats_scope=scope, broadcast_bytes=limit, prune_pairs=prune)
+    found = R.bm25_topk(queries, R.build_index(chunks), k, corpus_version=version, stats_scope=scope, broadcast_bytes=limit)
     got = ranked_rows(found, "query_id", "chunk_id", "rank", "score")
     want = brute_force(rows, asked, k, version, scope)
     assert [g[:3] for g in got] == [w[:3] for w in want]
@@ -123,20 +123,39 @@ def test_scoring_shuffles_only_text_and_top_rows(spark):
     assert not any("query_id" in m and "chunk_id" in m for m in moves) and "WindowGroupLimit" in plan
 
 
-def test_pruning_leaves_most_pairs_out(spark, monkeypatch):
-    """With selective rare words, hot words are looked up only for the chunks near the top."""
-    monkeypatch.setattr(R, "COMMON_SHARE", 0.5)
-    rows = [(f"c{i:04d}", 1, "the of and " * 3 + f"topic{i % 100} topic{i % 100} filler{i}") for i in range(600)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, corpus_version long, text string")
-    queries = spark.createDataFrame([(q, f"the of topic{q}") for q in range(50)], "query_id long, query string")
-    index = R.build_index(chunks)
-    pruned, plain = (R.bm25_topk(queries, index, 4, prune_pairs=p) for p in (0, R.PRUNE_PAIRS))
-    columns = ("query_id", "chunk_id", "rank", "score")
-    assert ranked_rows(pruned, *columns) == ranked_rows(plain, *columns)
-    live = index.postings.select("term", "chunk_id", "corpus_version", F.lit(1.0).alias("gain"))
-    weights = queries.select("query_id", F.explode(F.split("query", " ")).alias("term")).withColumn("common", F.length("term") < 4)
-    weights = weights.withColumn("weight", F.when(F.col("common"), 1e-6).otherwise(4.0))
-    assert R._pruned_sums(live, weights, 4, True).count() == 50 * 6 < R._sums(live, weights, True).count() == 50 * 600
+def test_few_pairs_become_rows(spark):
+    """On the given data: what leaves the scoring tasks against all (query, chunk) pairs."""
+    from vouchspark.plans import derived as D
+
+    folder = "/root/testdata/sf0.01"
+    chunks, queries = D.ch(spark, folder), D.questions(spark, folder)
+    rows, scores = [], R.block_scores
+
+    def counted(*args):
+        out = scores(*args)
+        rows.append(out.count())
+        return out
+
+    R.block_scores = counted
+    try:
+        R.bm25_topk(queries, R.build_index(chunks), 10).count()
+    finally:
+        R.block_scores = scores
+    assert 0 < rows[0] < 0.1 * queries.count() * chunks.count()
+
+
+def test_blocks_are_skipped_once_they_cannot_win():
+    import pandas as pd
+
+    weights = pd.DataFrame({"query_id": ["q"] * 2, "term": ["rare", "often"], "weight": [5.0, 0.1], "until": [None, None]})
+    scorer, plain = R._Scorer(weights, 2), R._Scorer(weights, 2)
+    strong = pd.DataFrame({"chunk_id": ["a", "b", "c"], "corpus_version": [1, 1, 1], "terms": [["rare"], ["rare", "often"], ["often"]], "gains": [[1.0], [1.0, 1.0], [2.0]]})
+    weak = pd.DataFrame({"chunk_id": ["d"] * 50, "corpus_version": [1] * 50, "terms": [["often"]] * 50, "gains": [[2.0]] * 50})
+    for s in (scorer, plain):
+        s.feed(strong)
+    assert scorer.floor[0] == 5.0
+    scorer.feed(weak)
+    assert scorer.frame().equals(plain.frame()) and scorer.frame()["chunk_id"].tolist() == ["b", "a"]
 
 
 def test_nearest_vectors(spark):
@@ -155,3 +174,30 @@ def test_select_all_order_and_limit(spark):
     assert [r.chunk_id for r in R.select_all(chunks, limit=2).orderBy("rank").collect()] == ["z", "y"]
     assert [r.chunk_id for r in R.select_all(chunks, corpus_version=1).orderBy("rank").collect()] == ["y", "x"]
     assert [r.chunk_id for r in R.select_all(chunks, evidence_id="e2").collect()] == ["x"]
+
+
+def test_nearest_vectors_with_text_ids_and_versions(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 7)
+    rng = np.random.default_rng(4)
+    vectors = [(f"c{i:02d}", [float(x) for x in rng.integers(0, 4, 3)], int(i % 5)) for i in range(40)]
+    queries = [(f"q{i}", [float(x) for x in rng.integers(0, 4, 3)], int(i % 6) if i % 4 else None) for i in range(9)]
+    want = []
+    for q, v, until in queries:
+        near = sorted((round(float(np.linalg.norm(np.array(v) - np.array(w))), 6), c) for c, w, at in vectors if until is None or at <= until)[:4]
+        want += [(q, c, d, rank) for rank, (d, c) in enumerate(near)]
+    vs = spark.createDataFrame(vectors, "chunk_id string, embedding array<double>, corpus_version long").repartition(3)
+    qs = spark.createDataFrame(queries, "query_id string, embedding array<double>, as_of long")
+    for budget in (1 << 20, 50):
+        got = R.knn_topk(qs, vs, 4, version_per_query=True, broadcast_bytes=budget, block_rows=11)
+        assert sorted(tuple(r) for r in got.select("query_id", "chunk_id", "distance", "rank").collect()) == sorted(want)
+
+
+def test_dispatcher_embeds_queries_at_their_own_version(spark):
+    chunks = spark.createDataFrame([("a", "e1", 0, "red fox", None, 2, 1), ("b", "e2", 0, "blue fox", None, 2, 9)], "chunk_id string, evidence_id string, seq int, text string, headings_path string, token_count int, corpus_version long")
+    evidence = spark.createDataFrame([("e1", "one", "p"), ("e2", "two", "p")], "evidence_id string, title string, source_path string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 9)], "chunk_id string, embedding array<double>, corpus_version long")
+    corpus = R.Corpus(chunks, evidence, R.build_index(chunks), vectors, "letters", lambda texts: [[float("red" in t), float("blue" in t)] for t in texts])
+    asked = spark.createDataFrame([("q1", "blue fox", 1), ("q2", "blue fox", 9)], "query_id string, query string, as_of long")
+    got = R.retrieve(asked, corpus, limit=5, version_per_query=True).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == {("q1", "a"), ("q2", "a"), ("q2", "b")}
+    assert {r["method"] for r in got} == {"hybrid_rrf"} and not any(r["fallback"] for r in got)

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchspark.functions.text import query_terms, terms
-from vouchspark.operators.corpus import as_of
+from vouchspark.operators.corpus import EmbedFn, as_of
 from vouchspark.operators.scaling import (
-    BROADCAST_BYTES, all_salts, first_rows, fits_broadcast, row_hash_salt, salted_join,
+    BROADCAST_BYTES, first_rows, fits_broadcast, measured_bytes, row_hash_salt, salted_join,
 )
 from vouchspark.session import reliable_checkpoint
 
@@ -119,7 +119,10 @@ def write_index(index: Index, path: str, buckets: int = 256, *, files: int | Non
 def read_index(spark: SparkSession, path: str) -> Index:
     """Stored index; totals of appended batches add up."""
     totals = spark.read.parquet(f"{path}/totals")
-    settings = totals.select("stem", "buckets").first()
+    found = totals.select("stem", "buckets").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("the parts of a stored index must agree in stem and buckets")
+    settings = found[0]
     postings = spark.read.parquet(f"{path}/postings").drop("batch")
     summed = totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len"))
     return Index(postings, totals=summed, buckets=settings["buckets"], stem=settings["stem"])
@@ -134,16 +137,15 @@ def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
     )
 
 
-# A term in more than this share of the chunks is common.
-COMMON_SHARE = 0.05
-# Above this many (query, chunk) contributions common terms are scored only where they can matter.
-PRUNE_PAIRS = 500_000_000
+#: Room for rounding when a block's reach is held against the k-th best score so far.
 MARGIN = 1e-5
+#: Chunks of a block where query words are too many to broadcast.
+BLOCK_CHUNKS = 100_000
 
 
 def bm25_topk(
     queries: DataFrame, index: Index, k: int = 50, *, corpus_version: int | None = None, stats_scope: str = "index",
-    version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES, prune_pairs: int = PRUNE_PAIRS,
+    version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Best ``k`` chunks per query, any word may match: (query_id, chunk_id, score, rank).
 
@@ -153,11 +155,12 @@ def bm25_topk(
     snapshot alone.  With ``version_per_query`` each query row has its own ``as_of`` version.
 
     Jobs run here: the size of the query words, and their frequencies (one row per word).
-    If the words fit, they are broadcast to postings that lie together by chunk, scores are
-    summed where they are, and only the best ``k`` per query and task are shuffled.
-    Otherwise the join by term is salted over the chunk ids so that a hot term is spread.
-    Where common terms would pair most queries with most chunks, they are added only to
-    chunks that can still reach the top (``_pruned_sums``); the result is the same.
+    Postings lie together by chunk and are packed to one row per chunk with the query words in
+    it.  A task scores a batch of chunks at a time in dense arrays and carries a running top
+    ``k`` per query; a query whose words can gain no more in a batch than its k-th best score so
+    far skips the batch.  No (query, chunk) pair becomes a row unless it is among the best ``k``
+    of its task.  Query words that fit are broadcast; beyond that blocks of queries meet blocks
+    of chunks, scored in the same way.
     """
     if stats_scope not in ("index", "snapshot"):
         raise ValueError("stats_scope must be 'index' or 'snapshot'")
@@ -180,66 +183,109 @@ def bm25_topk(
     avgdl = max(total_len / n, 1e-9) if n else 1.0
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(statistics.select("term", "df"), "term").select(
-        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight"),
-        (F.col("df") > COMMON_SHARE * n).alias("common"), "df",
+        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight")
     )
+    until = F.lit(None).cast("long").alias("until")
     if version_per_query:
-        weights = weights.join(queries.select("query_id", "as_of"), "query_id")
+        weights, until = weights.join(queries.select("query_id", "as_of"), "query_id"), F.col("as_of").cast("long").alias("until")
+    weights = reliable_checkpoint(weights.select("query_id", "term", "weight", until))
     tf, dl = F.col("tf"), F.col("dl")
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
     live = as_of(matched, corpus_version).select("term", "chunk_id", "corpus_version", gain.alias("gain"))
-    pairs = weights.agg(F.sum("df").alias("p")).first()["p"] or 0
-    sums = _sums(live, weights, small) if pairs <= prune_pairs else _pruned_sums(live, weights, k, small)
-    return ranked(sums.select("query_id", "chunk_id", F.round(-F.col("s"), SCORE_DIGITS).alias("score")), k)
+    return ranked(block_scores(live, weights, k, broadcast_bytes), k)
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _sums(live: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
-    """Sum of term contributions per (query, chunk)."""
-    if small:
-        joined = live.join(F.broadcast(weights), "term")
-    else:
-        joined = live.withColumn("_salt", row_hash_salt("chunk_id")).join(weights.withColumn("_salt", all_salts()), ["term", "_salt"])
-    if "as_of" in weights.columns:
-        joined = joined.filter(F.col("corpus_version") <= F.col("as_of"))
-    return joined.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("s"))
-
-
-def _pruned_sums(live: DataFrame, weights: DataFrame, k: int, small: bool) -> DataFrame:
-    """The same sums for every pair that can be among the best ``k`` of its query.
-
-    Rare terms are scored first.  The k-th best of these sums is a floor for the final
-    k-th best, and all common terms of a query together add at most their weights times the
-    largest possible gain.  A chunk whose rare sum plus that reach stays below the floor
-    cannot enter the top, nor can a chunk without any rare term where the reach alone stays
-    below it; so common terms are looked up only for the remaining chunks.  Queries whose
-    reach is not below their floor are scored in full.  Rare sums and the bounds (one row
-    per query) are checkpointed.
-    """
-    rare, common = weights.filter(~F.col("common")), weights.filter("common")
-    partial = reliable_checkpoint(_sums(live, rare, small))
-    kth = first_rows(partial, ["query_id"], [F.col("s").desc()], k, "_n").filter(F.col("_n") == k)
-    reach = F.sum(F.when(F.col("common"), F.col("weight") * (K1 + 1)).otherwise(0.0)).alias("reach")
-    bounds = weights.groupBy("query_id").agg(reach).join(kth.select("query_id", F.col("s").alias("floor")), "query_id", "left")
-    closed = F.coalesce(F.col("floor") > F.col("reach") + MARGIN, F.lit(False))
-    bounds = reliable_checkpoint(bounds.withColumn("closed", closed))
-    able = partial.join(_hinted(bounds.filter("closed"), small), "query_id").filter(
-        F.col("s") + F.col("reach") + MARGIN >= F.col("floor")
-    ).select("query_id", "chunk_id", "s")
-    frequent = live.join(_hinted(common.select("term").distinct(), small), "term", "left_semi").select("term", "chunk_id", "gain")
-    added = (
-        able.select("query_id", "chunk_id").join(frequent, "chunk_id")
-        .join(_hinted(common.select("query_id", "term", "weight"), small), ["query_id", "term"])
-        .select("query_id", "chunk_id", (F.col("weight") * F.col("gain")).alias("s"))
+class _Scorer:
+    """Dense scores of batches of chunks, with a running best ``k`` per query."""
+
+    def __init__(self, weights: pd.DataFrame, k: int):
+        code, self.query_ids = pd.factorize(weights["query_id"])
+        order = np.argsort(code, kind="stable")
+        term, names = pd.factorize(weights["term"])
+        self.k, self.query, self.term, self.weight = k, code[order], term[order], weights["weight"].to_numpy()[order]
+        self.terms = {name: i for i, name in enumerate(names)}
+        self.first = np.searchsorted(self.query, np.arange(len(self.query_ids) + 1))
+        self.until = weights["until"].astype("float64").fillna(np.inf).to_numpy()[order][self.first[:-1]]
+        self.floor = np.full(len(self.query_ids), -np.inf)
+        self.found = (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object))
+
+    def feed(self, frame: pd.DataFrame) -> None:
+        many, words = len(frame), len(self.terms)
+        known = [(c, self.terms[t], g) for c, (ts, gs) in enumerate(zip(frame["terms"], frame["gains"], strict=True)) for t, g in zip(ts, gs, strict=True) if t in self.terms]
+        if not known:
+            return
+        chunk, term, gain = (np.array(x) for x in zip(*known, strict=True))
+        order = np.argsort(term, kind="stable")
+        chunk, term, gain = chunk[order], term[order], gain[order]
+        at = np.searchsorted(term, np.arange(words + 1))
+        peak = np.zeros(words)
+        np.maximum.at(peak, term, gain)
+        reach = np.bincount(self.query, weights=self.weight * peak[self.term], minlength=len(self.query_ids))
+        ids, versions, parts = frame["chunk_id"].to_numpy(), frame["corpus_version"].to_numpy(), [self.found]
+        for q in np.flatnonzero((reach > 0) & (reach + MARGIN >= self.floor)):
+            scores = np.zeros(many)
+            for j in range(self.first[q], self.first[q + 1]):
+                lo, hi = at[self.term[j]], at[self.term[j] + 1]
+                scores[chunk[lo:hi]] += self.weight[j] * gain[lo:hi]
+            hit = np.flatnonzero((scores > 0) & (versions <= self.until[q]))
+            value = np.round(-scores[hit], SCORE_DIGITS)
+            if len(hit) > self.k:
+                keep = value <= np.partition(value, self.k - 1)[self.k - 1]
+                hit, value = hit[keep], value[keep]
+            parts.append((np.full(len(hit), q), value, ids[hit]))
+        self.found = _first_k(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k)
+        query, value, _ = self.found
+        last = np.flatnonzero(np.bincount(query, minlength=len(self.floor)) == self.k)
+        self.floor[last] = -value[np.searchsorted(query, last, side="right") - 1]
+
+    def frame(self) -> pd.DataFrame:
+        query, value, ids = self.found
+        return pd.DataFrame({"query_id": self.query_ids[query], "chunk_id": ids, "score": value})
+
+
+def _first_k(query: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` smallest values per query, ties by id, in order."""
+    tie = np.unique(ids, return_inverse=True)[1] if len(ids) else np.empty(0, dtype=np.int64)
+    order = np.lexsort((tie, value, query))
+    query, value, ids = query[order], value[order], ids[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], value[keep], ids[keep]
+
+
+def block_scores(live: DataFrame, weights: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Best ``k`` (query_id, chunk_id, score) per query and task, from ``live`` (term, chunk_id,
+    corpus_version, gain) that lies by chunk and stored ``weights`` (query_id, term, weight, until)."""
+    packed = live.groupBy("chunk_id").agg(
+        F.max("corpus_version").alias("corpus_version"), F.collect_list("term").alias("terms"), F.collect_list("gain").alias("gains")
     )
-    full = able.unionByName(added).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
-    unbounded = bounds.filter(~F.col("closed")).select("query_id")
-    if unbounded.isEmpty():
-        return full
-    return full.unionByName(_sums(live, weights.join(_hinted(unbounded, small), "query_id", "left_semi"), small))
+    kinds = {f.name: f.dataType.simpleString() for f in [*weights.schema.fields, *live.schema.fields]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    size = measured_bytes(weights)
+    if size <= broadcast_bytes:
+        sent = weights.sparkSession.sparkContext.broadcast(weights.toPandas())
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = _Scorer(sent.value, k)
+            for frame in frames:
+                scorer.feed(frame)
+            yield scorer.frame()
+
+        return packed.mapInPandas(scan, schema)
+    query_blocks, chunk_blocks = -(-size // max(1, broadcast_bytes)), max(1, -(-packed.count() // BLOCK_CHUNKS))
+    left = weights.withColumn("_q", row_hash_salt("query_id", salts=query_blocks)).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))))
+    right = packed.withColumn("_v", row_hash_salt("chunk_id", salts=chunk_blocks)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+
+    def meet(asked: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        scorer = _Scorer(asked, k)
+        if len(asked) and len(chunks):
+            scorer.feed(chunks)
+        return scorer.frame()
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, schema)
 
 
 def ranked(scored: DataFrame, k: int, order: list[Column] | None = None) -> DataFrame:
@@ -282,28 +328,38 @@ def select_all_each(requests: DataFrame, chunks: DataFrame, limit: int | None =
 
 # --- nearest neighbours -------------------------------------------------------------------
 DISTANCE_DIGITS = 6
-HIT_SCHEMA = "query_id long, chunk_id string, distance double"
-
-
-def _hit_frame(rows: list[tuple]) -> pd.DataFrame:
-    """Typed also when empty."""
-    columns = list(zip(*rows)) or [(), (), ()]
-    kinds = {"query_id": "int64", "chunk_id": object, "distance": "float64"}
-    return pd.DataFrame({name: np.array(column, dtype=kind) for (name, kind), column in zip(kinds.items(), columns)})
-
-
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query the ``k`` nearest rows of one block, ties by chunk id."""
-    squared = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2.0 * (queries @ vectors.T)
-    distance = np.round(np.sqrt(np.maximum(squared, 0.0)), DISTANCE_DIGITS)
-    keep = min(k, len(ids))
-    edge = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
-    rows: list[tuple] = []
-    for q, query_id in enumerate(query_ids):
-        near = np.flatnonzero(distance[q] <= edge[q])
-        best = sorted(zip(distance[q][near].tolist(), ids[near].tolist()))[:keep]
-        rows.extend((query_id, chunk_id, d) for d, chunk_id in best)
-    return _hit_frame(rows)
+#: Distances held at once: queries of a step times vectors of a step.
+CELLS = 8_000_000
+
+
+class _Nearest:
+    """Running best ``k`` per query, ties by chunk id, fed with batches of vectors."""
+
+    def __init__(self, queries: np.ndarray, versions: np.ndarray | None, k: int):
+        self.queries, self.versions, self.k = queries, versions, k
+        self.squares = (queries**2).sum(1)
+        self.found = (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object))
+
+    def feed(self, ids: np.ndarray, vectors: np.ndarray, versions: np.ndarray | None) -> None:
+        wide = max(1, min(len(ids), 4096))
+        tall = max(1, CELLS // wide)
+        for v in range(0, len(ids), wide):
+            block, squares = vectors[v : v + wide], (vectors[v : v + wide] ** 2).sum(1)
+            parts = [self.found]
+            for q in range(0, len(self.queries), tall):
+                squared = self.squares[q : q + tall, None] + squares[None, :] - 2.0 * (self.queries[q : q + tall] @ block.T)
+                distance = np.round(np.sqrt(np.maximum(squared, 0.0)), DISTANCE_DIGITS)
+                if versions is not None and self.versions is not None:
+                    distance[versions[None, v : v + wide] > self.versions[q : q + tall, None]] = np.inf
+                keep = min(self.k, len(block)) - 1
+                edge = np.partition(distance, keep, axis=1)[:, keep]
+                row, column = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
+                parts.append((row + q, distance[row, column], ids[v : v + wide][column]))
+            self.found = _first_k(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k)
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        query, distance, ids = self.found
+        return pd.DataFrame({"query_id": query_ids[query], "chunk_id": ids, "distance": distance})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -311,33 +367,43 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def knn_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, *, corpus_version: int | None = None,
+    queries: DataFrame, vectors: DataFrame, k: int, *, corpus_version: int | None = None, version_per_query: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 100_000,
 ) -> DataFrame:
     """Exact L2 nearest chunks: queries (query_id, embedding) against
     vectors (chunk_id, embedding, corpus_version) → (query_id, chunk_id, distance, rank).
 
-    Runs one job to measure the queries.  Small query sets are broadcast and every Arrow
-    batch of vectors gives its own top ``k``; larger ones meet the vectors block by block
-    in co-grouped tasks of bounded size.  Either way only ``k`` rows per query and block
-    leave a task.
+    Ids keep their types.  With ``version_per_query`` each query sees vectors up to its own
+    ``as_of`` (NULL: all).  Runs one job to measure the queries.  Small query sets are broadcast
+    to tasks over the vectors; larger ones meet the vectors block by block in co-grouped tasks.
+    Either way a task holds at most ``CELLS`` distances at a time and a running top ``k``, and only
+    ``k`` rows per query leave it.
     """
-    live = as_of(vectors, corpus_version).select("chunk_id", "embedding")
-    queries = queries.select("query_id", "embedding")
+    live = as_of(vectors, corpus_version).select("chunk_id", "embedding", F.col("corpus_version").cast("long").alias("_version"))
+    until = F.coalesce(F.col("as_of").cast("long"), F.lit(2**62)) if version_per_query else F.lit(2**62)
+    queries = queries.select("query_id", "embedding", until.alias("_until"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *live.schema.fields]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, distance double"
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if size["n"] == 0:
-        return ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k, [F.col("distance")])
+        return ranked(queries.sparkSession.createDataFrame([], schema), k, [F.col("distance")])
+
+    def ask(best: _Nearest, frame: pd.DataFrame) -> None:
+        if len(frame):
+            best.feed(frame["chunk_id"].to_numpy(), _matrix(frame["embedding"]), frame["_version"].fillna(0).to_numpy() if version_per_query else None)
+
     if size["n"] * size["dim"] * 8 <= broadcast_bytes:
         local = queries.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["embedding"])))
+        shared = queries.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["embedding"]), local["_until"].to_numpy()))
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, block = shared.value
+            query_ids, block, versions = shared.value
+            best = _Nearest(block, versions, k)
             for frame in frames:
-                if len(frame):
-                    yield _nearest(query_ids, block, frame["chunk_id"].to_numpy(), _matrix(frame["embedding"]), k)
+                ask(best, frame)
+            yield best.frame(query_ids)
 
-        near = live.mapInPandas(scan, HIT_SCHEMA)
+        near = live.mapInPandas(scan, schema)
     else:
         total = live.count()
         query_blocks = max(1, -(-size["n"] * size["dim"] * 8 // max(1, broadcast_bytes)))
@@ -350,11 +416,12 @@ def knn_topk(
         )
 
         def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(v):
-                return _hit_frame([])
-            return _nearest(q["query_id"].to_numpy(), _matrix(q["embedding"]), v["chunk_id"].to_numpy(), _matrix(v["embedding"]), k)
+            best = _Nearest(_matrix(q["embedding"]) if len(q) else np.empty((0, 1)), q["_until"].to_numpy(), k)
+            if len(q):
+                ask(best, v)
+            return best.frame(q["query_id"].to_numpy())
 
-        near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, HIT_SCHEMA)
+        near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, schema)
     return ranked(near, k, [F.col("distance").asc(), F.col("chunk_id").asc()])
 
 
@@ -413,24 +480,44 @@ class Corpus:
     index: Index
     vectors: DataFrame | None = None
     embedding_model: str | None = None
+    embed_fn: EmbedFn | None = None
+
+
+def embed_queries(queries: DataFrame, embed_fn: EmbedFn, batch: int = 64) -> DataFrame:
+    """(query_id, embedding) of query texts, ``batch`` texts per call of the plugged-in model."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["query"].tolist()
+            made = [v for at in range(0, len(texts), batch) for v in embed_fn(texts[at : at + batch])]
+            yield pd.DataFrame({"query_id": frame["query_id"], "embedding": made})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, embedding array<double>")
 
 
 def retrieve(
     queries: DataFrame, corpus: Corpus, *, limit: int = 50, corpus_version: int | None = None,
-    query_vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None, version_per_query: bool = False,
 ) -> DataFrame:
     """Hits per query with the method used and the number of candidates considered.
 
     Without a model the list is BM25.  With a model but no vectors it falls back to BM25
-    and ``fallback`` says so.  Otherwise both lists are fused.  ``candidates_considered``
-    counts the BM25 rows after the limit, or the distinct chunks of both lists.
+    and ``fallback`` says so.  Otherwise both lists are fused; query vectors come from
+    ``query_vectors`` or the corpus's ``embed_fn``.  With ``version_per_query`` both lists keep
+    to each query's own ``as_of``.  ``candidates_considered`` counts the BM25 rows after the
+    limit, or the distinct chunks of both lists.  Both lists are stored: each is read twice.
     """
-    lexical = bm25_topk(queries, corpus.index, limit, corpus_version=corpus_version)
+    lexical = reliable_checkpoint(bm25_topk(queries, corpus.index, limit, corpus_version=corpus_version, version_per_query=version_per_query))
+    if query_vectors is None and corpus.embed_fn is not None and corpus.vectors is not None:
+        query_vectors = reliable_checkpoint(embed_queries(queries, corpus.embed_fn))
     hybrid = corpus.embedding_model is not None and corpus.vectors is not None and query_vectors is not None
     if hybrid:
-        near = knn_topk(query_vectors, corpus.vectors, limit, corpus_version=corpus_version)
+        if version_per_query:
+            query_vectors = query_vectors.select("query_id", "embedding").join(queries.select("query_id", "as_of"), "query_id")
+        near = knn_topk(query_vectors, corpus.vectors, limit, corpus_version=corpus_version, version_per_query=version_per_query)
         near = near.select(F.col("query_id"), "chunk_id", "rank")
-        alive = rerank(near.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi"))
+        alive = reliable_checkpoint(rerank(near.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi")))
         both = lexical.select("query_id", "chunk_id").unionByName(alive.select("query_id", "chunk_id")).distinct()
         hits = rrf_fuse(lexical, alive, limit=limit).drop("fused_score")
         considered = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates_considered"))

@@ -65,16 +65,15 @@ def find_candidates(claims: DataFrame, corpus: R.Corpus, *, k: int = K, pool: in
     )
     by_match = F.col("mode").isin(*MATCHED) | F.col("evidence_id").isNull()
     by_words = asked.filter(by_match)
-    words = R.bm25_topk(by_words.select("query_id", "query", "as_of"), corpus.index, pool, version_per_query=True)
-    found = words.select("query_id", "chunk_id", "rank", "score", F.lit("bm25").alias("method"))
+    matched = R.retrieve(by_words.select("query_id", "query", "as_of"), corpus, limit=pool, version_per_query=True)
+    found = matched.select("query_id", "chunk_id", "rank", "score", "method", F.col("candidates_considered").alias("_considered"))
     passages = asked.filter(~by_match)
     method = F.concat("mode", F.lit("_all"))
     staged = R.select_all_each(passages.select("query_id", "evidence_id", "as_of"), corpus.chunks)
-    whole = staged.select("query_id", "chunk_id", "rank", "score").join(passages.select("query_id", method.alias("method")), "query_id")
-    both = found.unionByName(whole)
-    considered = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates_considered"))
-    kept = both.filter((F.col("method") != "bm25") | (F.col("rank") < k))
-    return kept.join(considered, "query_id").withColumnRenamed("query_id", "claim_id")
+    whole = staged.select("query_id", "chunk_id", "rank", "score", "chunks_found").join(passages.select("query_id", method.alias("method")), "query_id")
+    whole = whole.withColumn("_considered", F.col("chunks_found")).drop("chunks_found")
+    both = found.filter(F.col("rank") < k).unionByName(whole)
+    return both.withColumnRenamed("_considered", "candidates_considered").withColumnRenamed("query_id", "claim_id")
 
 
 def _hydrated(hits: DataFrame, corpus: R.Corpus) -> DataFrame:
