@@ -118,14 +118,19 @@ def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) ->
     outputs are replaced.  No shuffle; the sample is at most ``sample_rows`` texts.
     """
     docs = docs.drop(*COUNTS, "base_failed", "kept", "_counts")
-    counted = docs.withColumn("_counts", text_counts(F.col("text")))
-    counted = counted.select("*", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS]).drop("_counts").withColumn("base_failed", base_failed())
     keys = sample_keys(docs.select("doc_id"), sample_rows, seed)
-    sample = counted.join(F.broadcast(keys.distinct()), "doc_id", "left_semi").filter(~F.col("base_failed"))
+    # Stored before anything is counted: a filter on counts would move below the join.
+    sample = stored(docs.join(F.broadcast(keys.distinct()), "doc_id", "left_semi").select("text"), "sample")
+    passed = _counted(sample).filter(~F.col("base_failed"))
     of = rules()
-    order = cascade_order(stored(sample.select("text", *COUNTS), "sample"), of)
+    order = cascade_order(stored(passed.select("text", *COUNTS), "passed"), of)
     # CASE asks its branches in turn and stops at the first that holds.
     verdict = F.when(F.col("base_failed"), False)
     for name in order:
         verdict = verdict.when(of[name], False)
-    return counted.withColumn("kept", verdict.otherwise(True))
+    return _counted(docs).withColumn("kept", verdict.otherwise(True))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    counted = docs.withColumn("_counts", text_counts(F.col("text")))
+    return counted.select("*", *[F.col(f"_counts.{c}").alias(c) for c in COUNTS]).drop("_counts").withColumn("base_failed", base_failed())
