@@ -23,29 +23,47 @@ class Refused(ValueError):
     """The expression is not plain arithmetic."""
 
 
+def _checked(tree: ast.AST) -> ast.AST:
+    """The same tree, once every node is found to be plain arithmetic.  Nodes are looked at level
+    by level before anything is computed, so a fault of form wins over one of value.  The texts of
+    faults are fixed values: recordings hold them."""
+    level = [tree]
+    while level:
+        below: list[ast.AST] = []
+        for node in level:
+            match node:
+                case ast.Constant(value=bool()):
+                    raise Refused("only numeric literals allowed, got bool")
+                case ast.Constant(value=int() | float()):
+                    pass
+                case ast.Constant(value=other):
+                    raise Refused(f"only numeric literals allowed, got {type(other).__name__}")
+                case ast.UnaryOp(op=op, operand=inner):
+                    if type(op) not in UNARY:
+                        raise Refused(f"unary operator not allowed: {type(op).__name__}")
+                    below.append(inner)
+                case ast.BinOp(left=left, op=op, right=right):
+                    if type(op) not in BINARY:
+                        raise Refused(f"operator not allowed: {type(op).__name__}")
+                    below += [left, right]
+                case _:
+                    raise Refused(f"AST node not allowed: {type(node).__name__}")
+        level = below
+    return tree
+
+
 def _value(node: ast.AST) -> float:
-    match node:
-        case ast.Constant(value=bool()):
-            raise Refused("only numeric literals allowed, got bool")
-        case ast.Constant(value=int() | float() as number):
-            return float(number)
-        case ast.Constant(value=other):
-            raise Refused(f"only numeric literals allowed, got {type(other).__name__}")
-        case ast.UnaryOp(op=op, operand=inner) if type(op) in UNARY:
-            return UNARY[type(op)](_value(inner))
-        case ast.UnaryOp(op=op):
-            raise Refused(f"unary operator not allowed: {type(op).__name__}")
-        case ast.BinOp(left=left, op=op, right=right) if type(op) in BINARY:
-            a, b = _value(left), _value(right)
-            if isinstance(op, ast.Pow) and abs(b) > MAX_EXPONENT:
-                raise Refused("exponent too large (max abs 64)")
-            result = BINARY[type(op)](a, b)
-            if isinstance(result, complex):
-                raise Refused("result is not a real number")
-            return result
-        case ast.BinOp(op=op):
-            raise Refused(f"operator not allowed: {type(op).__name__}")
-    raise Refused(f"AST node not allowed: {type(node).__name__}")
+    if isinstance(node, ast.Constant):
+        return float(node.value)
+    if isinstance(node, ast.UnaryOp):
+        return UNARY[type(node.op)](_value(node.operand))
+    a, b = _value(node.left), _value(node.right)
+    if isinstance(node.op, ast.Pow) and abs(b) > MAX_EXPONENT:
+        raise Refused("exponent too large (max abs 64)")
+    result = BINARY[type(node.op)](a, b)
+    if isinstance(result, complex):
+        raise Refused("result is not a real number")
+    return result
 
 
 def calculate(expression: str | None) -> str:
@@ -56,7 +74,7 @@ def calculate(expression: str | None) -> str:
             raise Refused("expression must be a non-empty string")
         if len(expression) > MAX_CHARS:
             raise Refused("expression too long (max 256 chars)")
-        result = _value(ast.parse(expression, mode="eval").body)
+        result = _value(_checked(ast.parse(expression, mode="eval").body))
         if not math.isfinite(result):
             raise Refused("result is not a finite number")
     except Refused as fault:

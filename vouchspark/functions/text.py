@@ -86,8 +86,8 @@ def first_title(text: Column, fallback: Column) -> Column:
     """Text of the first line among the first 50 that starts with ``# ``; else the
     fallback.  A title line without text gives NULL, as an empty fallback does."""
     lines = F.slice(F.split(text, LINE_BREAK), 1, 50)
-    marked = F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: F.startswith(line, F.lit("# ")))
-    title = F.trim(F.substring(F.get(marked, F.lit(0)), 3, 2147483647))
+    marked = F.filter(F.transform(lines, strip_blanks), lambda line: F.startswith(line, F.lit("# ")))
+    title = strip_blanks(F.substring(F.get(marked, F.lit(0)), 3, 2147483647))
     return F.nullif(F.when(F.size(marked) > 0, title).otherwise(fallback), F.lit(""))
 
 

@@ -168,7 +168,9 @@ def ancestry(links: DataFrame, max_rounds: int = 32) -> DataFrame:
     table ends the chain.  Runs one job per round; a cycle raises.
     """
     ids = links.select(F.col("run_id").alias("parent_run"), F.lit(True).alias("known")).distinct()
-    known = links.select("run_id", "parent_run").join(ids, "parent_run", "left")
+    # Roots have no parent to look up; joined, they would all meet under the NULL key.
+    rooted = links.filter(F.col("parent_run").isNull()).select("parent_run", "run_id", F.lit(None).cast("boolean").alias("known"))
+    known = links.filter(F.col("parent_run").isNotNull()).select("run_id", "parent_run").join(ids, "parent_run", "left").unionByName(rooted)
     state = known.select(
         "run_id", F.when(F.col("known"), F.col("parent_run")).otherwise(F.col("run_id")).alias("root"),
         F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth"),

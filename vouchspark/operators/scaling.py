@@ -113,9 +113,12 @@ def hot_key_join(big: DataFrame, unique: DataFrame, key: str, hot_rows: int = 1_
     """Inner join with a table that has one row per key and is as long as ``big``.
 
     Keys with more than ``hot_rows`` rows are joined by broadcasting their rows of
-    ``unique``; there are at most ``rows / hot_rows`` of them.  The rest is a plain join.
+    ``unique``; the rest is a plain join.  The hot keys are measured: where they are too many
+    for a broadcast, the join is salted for all rows.
     """
-    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    hot = reliable_checkpoint(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key))
+    if not fits_broadcast(hot):
+        return salted_join(big, unique, key, "inner", [c for c in big.columns if c != key])
     few = F.broadcast(unique.join(F.broadcast(hot), key, "left_semi"))
     cold = big.join(F.broadcast(hot), key, "left_anti")
     return big.join(few, key).unionByName(cold.join(unique, key))

@@ -134,12 +134,13 @@ def _markdown(spark, sf):
 
 
 @query(f"""
-    SELECT doc_id, 'T' || doc_id AS with_heading, 'doc' || doc_id AS without_heading FROM ({MARKDOWN_SQL})""")
+    SELECT doc_id, 'T' || doc_id AS with_heading, 'doc' || doc_id AS without_heading, 'T' || doc_id AS after_tabs FROM ({MARKDOWN_SQL})""")
 def titles(spark, sf):
     """C4: title line or fallback."""
     fallback = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     return _markdown(spark, sf).select(
-        "doc_id", first_title(F.col("text"), fallback).alias("with_heading"), first_title(F.col("raw"), fallback).alias("without_heading")
+        "doc_id", first_title(F.col("text"), fallback).alias("with_heading"), first_title(F.col("raw"), fallback).alias("without_heading"),
+        first_title(F.concat(F.lit("\t"), F.regexp_replace("text", "\n## S", "\t\n## S")), fallback).alias("after_tabs"),
     )
 
 

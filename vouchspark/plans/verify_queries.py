@@ -233,13 +233,17 @@ def tiered_verdicts(spark, sf):
 
 @query("""
     SELECT run_id, calls, disagreements, round(CAST(disagreements AS DOUBLE) / calls, 6) AS mismatch_rate FROM (
-      SELECT l_orderkey AS run_id, count(*) AS calls, count(*) FILTER (l_linenumber = 3) AS disagreements FROM lineitem GROUP BY 1)""")
+      SELECT l_orderkey AS run_id, count(*) AS calls, count(*) FILTER (l_linenumber IN (3, 5)) AS disagreements FROM lineitem GROUP BY 1)""")
 def calculation_rechecks(spark, sf):
-    """Recorded sums evaluated again; every third line was recorded wrong."""
+    """Recorded sums evaluated again.  Every third line was recorded wrong; the fourth and
+    the fifth have two faults, of which the fourth recorded the one that counts."""
     quantity, line = F.col("l_quantity").cast("long"), F.col("l_linenumber")
     expression = F.concat(F.lit("("), quantity.cast("string"), F.lit(" + "), line.cast("string"), F.lit(") * 2 - 1"))
     value = (quantity + line) * 2 - 1 + F.when(line == 3, 1).otherwise(0)
-    calls = spread(D.load(spark, sf, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("run_id"), expression.alias("expression"), value.cast("string").alias("result"))
+    faulty, recorded = line.isin(4, 5), F.when(line == 4, "ERROR: AST node not allowed: Name").otherwise("ERROR: division by zero")
+    asked = F.when(faulty, F.concat(quantity.cast("string"), F.lit(" / 0 + total"))).otherwise(expression)
+    found = F.when(faulty, recorded).otherwise(value.cast("string"))
+    calls = spread(D.load(spark, sf, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("run_id"), asked.alias("expression"), found.alias("result"))
     return V.calculation_faults(V.recheck_calculations(calls)).withColumn("mismatch_rate", F.round("mismatch_rate", 6))
 
 

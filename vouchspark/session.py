@@ -22,6 +22,9 @@ def build_session(app_name: str = "vouchspark", master: str | None = None, **ext
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Groups are cut to their first rows before a shuffle up to this number of rows.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **extra,
     }
     for key, value in settings.items():
