@@ -104,10 +104,10 @@ def test_bitmaps_never_rule_out_a_link():
             continue
         a, b = jaccard_join._band(len(x)), jaccard_join._band(len(y))
         assert abs(a - b) <= 1
-        words = jaccard_join.bitmap_bits(max(a, b)) // 64
+        words = jaccard_join.bitmap_bits(max(a, b), jaccard_join.THIN) // 64
         import pyarrow as pa
 
-        m = jaccard_join._matrix(pa.array([jaccard_join.bitmap(x), jaccard_join.bitmap(y)]), words)
+        m = jaccard_join._matrix(pa.array([jaccard_join.bitmap(x, jaccard_join.THIN), jaccard_join.bitmap(y, jaccard_join.THIN)]), words)
         assert jaccard_join.can_link(len(x), len(y), int(np.bitwise_count(m[0] ^ m[1]).sum()))
 
 

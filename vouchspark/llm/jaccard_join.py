@@ -7,10 +7,11 @@ tile every set has a hashed bitmap: the bits in which two bitmaps differ bound t
 above, and only pairs that can still reach the threshold go on to the exact intersection of
 their sorted arrays.
 
+Tokens whose documents all share one other token bring no new pair and are left out first.
 Sets that are already connected need not meet again, which keeps groups of near copies from
-growing into all their pairs.  So three rounds first link every row to one pivot per token and
-band: the smallest id, then the set with the most links, then one that differs from token to
-token.  The tiles compare rows of different components only, and a tile with very many rows is
+growing into all their pairs.  So some rounds first link every row to one pivot per token and
+band: the smallest id, then the set with the most links, then others that differ from round to
+round.  The tiles compare rows of different components only, and a tile with very many rows is
 cut into blocks: rows outside its largest component meet that component block by block.
 """
 
@@ -36,8 +37,10 @@ PART = 80
 #: Frequencies for the global order are kept per hash bucket, a table of fixed size.
 COUNT_BITS = 16
 BLOCK_ROWS = 2048
-#: Bits of a bitmap per token of the largest set of its band, at least.
-LOAD = 4
+#: Bits of a bitmap per token of the largest set of its band, at least; tiles carry thin ones.
+LOAD, THIN = 4, 2
+#: Rounds with pivots that differ from token to token and from round to round.
+MIXED_ROUNDS = 3
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -73,14 +76,14 @@ def _band(n: int) -> int:
     return math.floor(math.log(n) / math.log(100 / PART))
 
 
-def bitmap_bits(band: int) -> int:
+def bitmap_bits(band: int, load: int) -> int:
     """Width of the bitmaps in the tiles of a band, a power of two."""
-    return max(64, 1 << math.ceil(math.log2(LOAD * (100 / PART) ** (band + 1))))
+    return max(64, 1 << math.ceil(math.log2(load * (100 / PART) ** (band + 1))))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
+def bitmap(hashes: np.ndarray, load: int) -> bytes:
     """Bitmap as wide as the band above needs; its halves or-ed are the narrower one."""
-    bits = np.zeros(bitmap_bits(_band(len(hashes)) + 1), dtype=bool)
+    bits = np.zeros(bitmap_bits(_band(len(hashes)) + 1, load), dtype=bool)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -110,31 +113,33 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """Per document: ``n`` (set size), ``class`` (128-bit hash of the set), ``prefix`` (its first
-    tokens in the global order) and ``bits`` (its bitmap); the last three are NULL without words."""
+    tokens in the global order), ``bits`` and ``thin`` (bitmaps); all but ``n`` are NULL without
+    words."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = sent.value
         for batch in batches:
-            sizes, classes, prefixes, maps = [], [], [], []
+            sizes, classes, prefixes, maps, thins = [], [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 n = len(own)
                 sizes.append(n)
                 if not n:
-                    classes.append(None), prefixes.append(None), maps.append(None)
+                    classes.append(None), prefixes.append(None), maps.append(None), thins.append(None)
                     continue
                 # np.unique sorted the hashes, and a stable sort keeps them in order within a rank.
                 order = np.argsort(ranks[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")
                 classes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefixes.append(own[order[: n - least_overlap(n) + 1]].view(np.int64))
-                maps.append(bitmap(own))
+                maps.append(bitmap(own, LOAD))
+                thins.append(bitmap(own, THIN))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                ["doc_id", "n", "class", "prefix", "bits"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(thins, pa.binary())],
+                ["doc_id", "n", "class", "prefix", "bits", "thin"],
             )
 
-    return _texts(docs).mapInArrow(sketch, "doc_id long, n long, class binary, prefix array<long>, bits binary")
+    return _texts(docs).mapInArrow(sketch, "doc_id long, n long, class binary, prefix array<long>, bits binary, thin binary")
 
 
 def can_link(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
@@ -144,6 +149,12 @@ def can_link(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray) -> np.ndar
     return (100 + PART) * (total - differing) >= 2 * PART * total
 
 
+def _differing(x: bytes, y: bytes) -> int:
+    words = min(len(x), len(y)) // 8
+    x, y = (np.bitwise_or.reduce(np.frombuffer(m, dtype="<u8").reshape(-1, words), axis=0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _matrix(maps: pa.Array, words: int) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, folded to the asked width."""
     out = np.zeros((len(maps), words), dtype=np.uint64)
@@ -154,17 +165,14 @@ def _matrix(maps: pa.Array, words: int) -> np.ndarray:
 
 
 def bitmap_filter(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of one size band whose bitmaps leave room for a link."""
+    """Pairs ``a``, ``b`` of one or two neighbouring size bands whose bitmaps leave room for a link."""
     one = sketch.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     two = sketch.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, ba, bb = (batch.column(c) for c in ("a", "b", "na", "nb", "ba", "bb"))
-            differing = np.fromiter(
-                (np.bitwise_count(np.frombuffer(x, dtype="<u8") ^ np.frombuffer(y, dtype="<u8")).sum() for x, y in zip(ba.to_pylist(), bb.to_pylist(), strict=True)),
-                dtype=np.int64, count=len(batch),
-            )
+            differing = np.fromiter((_differing(x, y) for x, y in zip(ba.to_pylist(), bb.to_pylist(), strict=True)), dtype=np.int64, count=len(batch))
             keep = pa.array(can_link(na.to_numpy(), nb.to_numpy(), differing))
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
@@ -203,12 +211,29 @@ def exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def shared_tokens(sketch: DataFrame) -> DataFrame:
-    """``token``, ``doc_id``, ``band`` of the tokens of prefixes that two documents or more share.
-    One shuffle of narrow rows; a row only looks at its neighbours in the order of its token."""
-    rows = sketch.select("doc_id", size_band(F.col("n")).alias("band"), F.explode("prefix").alias("token"))
-    order = Window.partitionBy("token").orderBy("doc_id")
-    shared = rows.withColumn("_back", F.lag("doc_id").over(order)).withColumn("_on", F.lead("doc_id").over(order))
-    return shared.filter("_back is not null or _on is not null").drop("_back", "_on")
+    """``token``, ``doc_id``, ``band`` of prefix tokens that a document shares with one of a size
+    it can link with.  One shuffle of narrow rows; in the order of sizes of its token a row only
+    looks at its neighbours."""
+    rows = sketch.select("doc_id", "n", F.explode("prefix").alias("token"))
+    order = Window.partitionBy("token").orderBy("n", "doc_id")
+    near = rows.withColumn("_less", F.lag("n").over(order)).withColumn("_more", F.lead("n").over(order))
+    near = near.filter((100 * F.col("_less") >= PART * F.col("n")) | (PART * F.col("_more") <= 100 * F.col("n")))
+    return near.select("token", "doc_id", size_band(F.col("n")).alias("band"))
+
+
+def leading_tokens(rows: DataFrame) -> DataFrame:
+    """Rows without the tokens that bring no pair of their own.
+
+    Every document names its most frequent shared token.  Where all documents of a token name
+    the same other one, they share that one as well, so every pair of the token is met there.  A
+    token that some document names is never left out, since that document names no other.
+    """
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"))
+    counted = rows.join(counts, "token")
+    named = counted.groupBy("doc_id").agg(F.max_by("token", F.struct("_c", "token")).alias("_best"))
+    told = rows.join(named, "doc_id")
+    bare = told.groupBy("token").agg(F.min("_best").alias("_lo"), F.max("_best").alias("_hi")).filter("_lo <> _hi or _lo = token").select("token")
+    return rows.join(bare, "token")
 
 
 def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -264,9 +289,12 @@ def tile_rows(rows: DataFrame, sketch: DataFrame) -> DataFrame:
     lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(lo == hi, 0).when(F.col("_own") == lo, 1).otherwise(2)
     many = many.select("doc_id", "label", "token", lo.alias("gi"), hi.alias("gj"), side.cast("int").alias("side"))
-    narrow = sketch.select("doc_id", "n", "bits", size_band(F.col("n")).alias("band"))
-    placed = few.unionByName(many).join(narrow, "doc_id")
-    return placed.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.col("band") + F.when(F.col("home"), 0).otherwise(1))
+    narrow = sketch.select("doc_id", "n", F.col("thin").alias("bits"), size_band(F.col("n")).alias("band"))
+    # A guest is needed only where the token has documents of the band above.
+    bands = rows.groupBy("token").agg(F.collect_set("band").alias("_bands"))
+    placed = few.unionByName(many).join(bands, "token").join(narrow, "doc_id")
+    homes = F.when(F.array_contains("_bands", F.col("band") + 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    return placed.withColumn("home", F.explode(homes)).withColumn("tile", F.col("band") + F.when(F.col("home"), 0).otherwise(1)).drop("_bands")
 
 
 def tile_pairs(rows: DataFrame) -> DataFrame:
@@ -312,7 +340,7 @@ def _compared(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = rows.slice(lo, hi - lo)
         n, doc, label, side, home = (part.column(c).to_numpy() for c in ("n", "doc_id", "label", "side", "home"))
         own = group[lo:hi]
-        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo])) // 64)
+        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo]), THIN) // 64)
         left, found = np.arange(hi - lo), []
         for d in range(1, hi - lo):
             # Sizes rise within a group: a row that cannot link with row i + d ends there.
@@ -351,9 +379,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # One document per class goes on: those without copies, and the first of each other class.
     salted = made.filter("n > 0 and doc_id is not null").withColumn("_salt", row_hash_salt("doc_id"))
     met = salted.join(copies.withColumn("_salt", all_salts()), ["class", "_salt"], "left")
-    single = stored(met.filter(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).select("doc_id", "n", "prefix", "bits"), "single")
-    rows, links = stored(shared_tokens(single), "shared"), None
-    for order in (F.struct("doc_id"), F.struct(-F.col("degree"), "doc_id"), F.struct(F.xxhash64("doc_id", "token"), "doc_id")):
+    single = stored(met.filter(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).select("doc_id", "n", "prefix", "bits", "thin"), "single")
+    rows, links = stored(leading_tokens(stored(shared_tokens(single), "shared")), "leading"), None
+    mixed = [F.struct(F.xxhash64("doc_id", "token", F.lit(k)), "doc_id") for k in range(MIXED_ROUNDS)]
+    for order in (F.struct("doc_id"), F.struct(-F.col("degree"), "doc_id"), *mixed):
         if links is not None:
             rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
         else:
@@ -362,7 +391,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         found = exact_links(near, known)
         links = stored(found if links is None else links.unionByName(found), "links")
     rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
-    tiled = stored(tile_pairs(tile_rows(rows, single)), "pairs")
+    tiled = stored(bitmap_filter(tile_pairs(tile_rows(rows, single)), single), "pairs")
     label = stored(components(links.unionByName(exact_links(tiled, known))), "components")
     # Copies take the component of the first of their class.
     of_class = copies.join(label.withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("component", "first").alias("_of_class"))
