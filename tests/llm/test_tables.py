@@ -128,6 +128,63 @@ def test_templates_learn_from_rules(spark):
     assert got["http://h.com/new/1"]["verdict"] == "allow"
 
 
+def templates_of(shapes):
+    """(template, parent) of every (host, shape) of ``shapes`` with pages, all levels by hand."""
+    out = {}
+
+    def grow(node, rows, k):
+        deeper = {}
+        for (host, shape), n in rows:
+            segments = shape.split("/")[1:]
+            if len(segments) > k:
+                deeper.setdefault(segments[k], []).append(((host, shape), n))
+        distinct, pages = len(deeper), sum(n for of in deeper.values() for _, n in of)
+        groups = {}
+        for s, of in deeper.items():
+            groups.setdefault("*" if distinct >= 8 and pages < 4 * distinct else s, []).extend(of)
+        for s, of in groups.items():
+            for (host, shape), _ in of:
+                out[host, shape] = (f"{node}/{s}", node)
+            grow(f"{node}/{s}", of, k + 1)
+
+    hosts = {}
+    for (host, shape), n in shapes.items():
+        out[host, shape] = (host, host)
+        hosts.setdefault(host, []).append(((host, shape), n))
+    for host, rows in hosts.items():
+        grow(host, rows, 0)
+    return out
+
+
+def test_templates_of_any_depth(spark):
+    rng = random.Random(9)
+    shapes = {("h", ""): 2, ("h", "/"): 1, ("h", "/" * 40): 1, ("g", "//a//"): 3, ("", ""): 1, ("h", "x"): 1}
+    for host, few, most in (("h", 3, 9), ("g", 2, 7), ("i", 12, 5)):
+        for _ in range(300):
+            depth = rng.randint(1, most)
+            path = "".join("/" + (f"s{rng.randrange(few)}" if rng.random() < 0.8 else "".join(rng.choices("abcdef", k=4))) for _ in range(depth))
+            shapes[host, path] = rng.choice((1, 1, 1, 2, 9))
+    shapes |= {("k", f"/a/b/c/d/{''.join(rng.choices('abcdef', k=4))}/{end}/{''.join(rng.choices('abcdef', k=4))}"): 1 for end in "xy" for _ in range(30)}
+    df = spark.createDataFrame([(h, s, n, 0, 0) for (h, s), n in shapes.items()], "host string, shape string, n long, a long, b long")
+    got = url_tree.generalised(df).collect()
+    assert len(got) == len(shapes)
+    want = templates_of(shapes)
+    assert {(r["host"], r["shape"]): (r["template"], r["parent"]) for r in got} == want
+    assert any("*" in t.split("/")[5:] for t, _ in want.values())
+
+
+def test_branches_part_at_the_sixth_segment(spark):
+    letters = "abcdefghijkl"
+    rows = [f"http://h.com/a/b/c/d/{kind}/{x}{x}" for kind in ("good", "bad") for x in letters]
+    rows += [f"http://h.com/a/b/c/d/{kind}/new{x}" for kind in ("good", "bad") for x in letters]
+    rules = tuple(("h.com", f"/a/b/c/d/{kind}/{x}{x}", v) for kind, v in (("good", "allow"), ("bad", "block")) for x in letters)
+    got = {r["url"]: r for r in url_tree.url_verdicts(spark.createDataFrame([(u,) for u in rows], "url string"), rules).collect()}
+    for x in letters:
+        assert got[f"http://h.com/a/b/c/d/good/new{x}"]["verdict"] == "allow"
+        row = got[f"http://h.com/a/b/c/d/bad/new{x}"]
+        assert (row["rule"], row["verdict"]) == (None, "block")
+
+
 def legal(roles):
     state = chat.START
     for r in roles:
