@@ -185,6 +185,61 @@ def test_branches_part_at_the_sixth_segment(spark):
         assert (row["rule"], row["verdict"]) == (None, "block")
 
 
+def branch_verdict(counts):
+    """Verdict of every template of ``counts`` (template -> allowed, blocked) from its whole path."""
+    total = {}
+    for template, (a, b) in counts.items():
+        parts = template.split("/")
+        for i in range(1, len(parts) + 1):
+            x = total.setdefault("/".join(parts[:i]), [0, 0])
+            x[0], x[1] = x[0] + a, x[1] + b
+
+    def group(node):
+        if "/" not in node:
+            return total[node]
+        near = {n: c for n, c in total.items() if "/" in n and n.rsplit("/", 1)[0] == node.rsplit("/", 1)[0]}
+        ta, tb = sum(c[0] for c in near.values()), sum(c[1] for c in near.values())
+
+        def alone(c):
+            a, b = c
+            below = (a + b) * (ta + tb - a - b) * ta * tb
+            return below > 0 and (ta + tb) * (a * (tb - b) - b * (ta - a)) ** 2 / below >= 3.841
+
+        if alone(total[node]):
+            return total[node]
+        rest = [c for c in near.values() if not alone(c)]
+        return sum(c[0] for c in rest), sum(c[1] for c in rest)
+
+    out = {}
+    for template in counts:
+        node, found = template, group(template)
+        while not sum(found) and "/" in node:
+            node = node.rsplit("/", 1)[0]
+            found = group(node)
+        out[template] = "block" if (found[0] + 3) / (sum(found) + 4) < 0.5 else "allow"
+    return out
+
+
+def test_branches_take_evidence_from_higher_up(spark):
+    rng = random.Random(12)
+    counts = {}
+    for i in range(120):
+        template = f"h{i % 6}" + "".join(f"/{rng.choice('abc')}" for _ in range(rng.randint(0, 6)))
+        bad = rng.random() < (0.9 if "/a" in template else 0.2)
+        counts[template] = (0, 0) if rng.random() < 0.6 else (0, rng.randint(1, 30)) if bad else (rng.randint(1, 30), 0)
+    rows = [(t.split("/")[0], t.rsplit("/", 1)[0], t, a, b) for t, (a, b) in counts.items()]
+    df = spark.createDataFrame(rows, "host string, parent string, template string, a long, b long")
+    got = {r["template"]: r["_judged"] for r in url_tree.branch_verdicts(df).collect()}
+    assert got == branch_verdict(counts)
+    urls = [f"http://x.com/bad/l/{'abcdefghi'[i]}/q" for i in range(9)] + ["http://x.com/bad/other/deep/one", "http://y.com/bad/other/deep/one", "http://x.com"]
+    rules = (("x.com", "/bad/l/", "block"),)
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r["verdict"] for r in url_tree.url_verdicts(df, rules, branches=True).collect()}
+    assert got[urls[9]] == "block" and got[urls[10]] == "allow" and got[urls[11]] == "block"
+    plain = {r["url"]: r["verdict"] for r in url_tree.url_verdicts(df, rules).collect()}
+    assert plain[urls[9]] == "allow"
+
+
 def legal(roles):
     state = chat.START
     for r in roles:
