@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vouchspark.functions.text import first_title
 from vouchspark.operators import corpus as C
+from vouchspark.streaming import ingest
 from vouchspark.sources import files as FS
 
 
@@ -107,6 +108,16 @@ def test_hot_content_is_reduced_to_its_first_copy(spark):
     assert found == want
 
 
+def test_rows_without_text_are_named(spark, tmp_path):
+    rows = [(1, "a", "s"), (2, None, "s"), (3, None, "s"), (4, "a", "s"), (5, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = C.quarantined(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
+    assert sorted(r.doc_id for r in C.new_evidence(df).collect()) == [1, 5]
+    ingest.ingest_batch(df, 0, str(tmp_path), target=200, overlap=25)
+    assert sorted(r.doc_id for r in ingest.quarantine_table(spark, str(tmp_path)).collect()) == [2, 3]
+
+
 def test_versions_follow_the_order_and_the_start(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("doc_id")).repartition(7)
     rows = sorted((r.doc_id, r.corpus_version) for r in C.stamp_versions(df, 10).collect())

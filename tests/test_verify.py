@@ -119,6 +119,18 @@ def test_extraction_retries_and_reads_whole_documents(spark):
     assert [r.part for r in found if r.doc_id == 4] == [2]
 
 
+def test_requests_end_at_sentences(spark):
+    claim = "The claim across the bound stays whole."
+    text = "a. " * 66_660 + claim + " b." * 80_000
+    whole = V.extract_claims(spark.createDataFrame([(1, text)], "doc_id long, text string"), lambda t, _: ([claim] if claim in t else [], False)).collect()
+    assert [(r.claim, r.part) for r in whole] == [(claim, 1)]
+    for text, parts in (
+        ("", [""]), ("ab. cd. ef.", ["ab. cd.", " ef."]), ("ab cd ef gh", ["ab cd ef", " gh"]), ("ab cd efg h", ["ab cd", " efg h"]), ("x" * 18, ["x" * 8, "x" * 8, "xx"]),
+        (" " + "y" * 16, [" " + "y" * 7, "y" * 8, "y"]), (" " * 18, [" " * 8, " " * 8, "  "]), ("aaaaaaa. b", ["aaaaaaa.", " b"]),
+    ):
+        assert V.request_parts(text, 8) == parts and "".join(parts) == text
+
+
 def test_topics(spark):
     topics = spark.createDataFrame([(1, "known"), (2, "silent")], "topic_id long, topic string")
     found = hits(spark, 1).withColumn("text", F.lit("body")).withColumn("evidence_title", F.lit("a<b")).withColumn("headings_path", F.lit(None).cast("string"))

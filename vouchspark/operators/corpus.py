@@ -34,7 +34,8 @@ def new_evidence(batch: DataFrame, evidence: DataFrame | None = None, *, order:
 
     Copies are reduced to one key before any shuffle, so a content that makes up a third
     of the batch costs no more than a rare one; the wide rows are then picked by a
-    semi join on the unique (content, order) pair.
+    semi join on the unique (content, order) pair.  Rows without content have no hash and are
+    not evidence; ``quarantined`` returns them.
     """
     hashed = batch if "sha256" in batch.columns else with_sha256(batch)
     first = hashed.groupBy("sha256").agg(F.min(order).alias(order))
@@ -43,6 +44,13 @@ def new_evidence(batch: DataFrame, evidence: DataFrame | None = None, *, order:
     return hashed.join(first, ["sha256", order], "left_semi")
 
 
+def quarantined(batch: DataFrame) -> DataFrame:
+    """Rows of ``batch`` that ``new_evidence`` cannot take: those with a NULL text, or a NULL
+    ``sha256`` where the batch brings its own.  Copies are all returned."""
+    hashed = batch if "sha256" in batch.columns else with_sha256(batch)
+    return hashed.filter(F.col("sha256").isNull()).select(*batch.columns)
+
+
 def with_evidence_id(df: DataFrame) -> DataFrame:
     return df.withColumn("evidence_id", F.upper(F.substring("sha256", 1, 26)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -237,11 +238,28 @@ def tiered_by_policy(first: DataFrame, second: DataFrame, policy: DataFrame) ->
 
 # --- extraction, synthesis, documents --------------------------------------------------------------
 REQUEST_CHARS = 200_000
+# Where a part may end; never at its own start.
+PART_END, PART_BLANK = re.compile(SENTENCE_END), re.compile(r"(?<=[^ \t\r\n\f])[ \t\r\n\f]")
 BUDGET_FACTORS = (1, 4, 16)
 
 ExtractFn = Callable[[str, int], tuple[list[str], bool]]
 
 
+def request_parts(text: str, size: int = REQUEST_CHARS) -> list[str]:
+    """``text`` cut into parts of at most ``size`` characters that add up to it.  A part ends
+    behind the last sentence end that fits, in a longer sentence behind the last blank, and in
+    a longer word at the bound."""
+    parts, start = [], 0
+    while len(text) - start > size:
+        # One character more shows a sentence that ends at the bound.
+        window = text[start : start + size + 1]
+        ends = [m.start() for m in PART_END.finditer(window)] or [m.start() for m in PART_BLANK.finditer(window)]
+        cut = start + (ends[-1] if ends else size)
+        parts.append(text[start:cut])
+        start = cut
+    return [*parts, text[start:]]
+
+
 def extract_claims(docs: DataFrame, fn: ExtractFn | None = None, budget: int = 1024) -> DataFrame:
     """Claims per document: (doc_id, part, claim_index, claim, error).
 
@@ -249,20 +267,17 @@ def extract_claims(docs: DataFrame, fn: ExtractFn | None = None, budget: int = 1
     text and a budget; a truncated answer is asked again with 4 and 16 times the budget,
     and if that is still cut the part yields one error row instead of a partial list.
     One request carries at most 200,000 characters; a longer document goes out in several
-    parts, so its whole text is read.
+    parts, so its whole text is read.  Parts end at sentence ends (see ``request_parts``).
     """
     filled = docs.filter(strip_blanks(F.coalesce("text", F.lit(""))) != "")
     if fn is None:
         claims = filled.select("doc_id", F.lit(0).alias("part"), F.posexplode(sentences(F.col("text"))).alias("claim_index", "claim"))
         return claims.withColumn("error", F.lit(None).cast("string"))
-    last = F.floor((F.length("text") - 1) / F.lit(REQUEST_CHARS)).cast("int")
-    parts = filled.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    requests = parts.select("doc_id", "part", F.substr("text", F.col("part") * REQUEST_CHARS + 1, F.lit(REQUEST_CHARS)).alias("text"))
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, part, text in zip(frame["doc_id"], frame["part"], frame["text"]):
+            requests = ((d, part, text) for d, whole in zip(frame["doc_id"], frame["text"]) for part, text in enumerate(request_parts(whole)))
+            for doc_id, part, text in requests:
                 for factor in BUDGET_FACTORS:
                     claims, truncated = fn(text, budget * factor)
                     if not truncated:
@@ -273,7 +288,7 @@ def extract_claims(docs: DataFrame, fn: ExtractFn | None = None, budget: int = 1
             out = pd.DataFrame(rows, columns=["doc_id", "part", "claim_index", "claim", "error"])
             yield out.astype({"claim_index": "Int32", "part": "int32"})
 
-    return requests.mapInPandas(run, "doc_id long, part int, claim_index int, claim string, error string")
+    return filled.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, claim_index int, claim string, error string")
 
 
 def filter_key_points(df: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ RESULT = ("claim_id", "claim", "mode", "label", "confidence", "reasoning", "supp
 
 
 def ingest_documents(batch: DataFrame, evidence: DataFrame | None = None, *, start: int = 0, **chunking) -> tuple[DataFrame, DataFrame]:
-    """(evidence, chunks) of the new documents of a batch (doc_id, text, source_path, mime_type)."""
+    """(evidence, chunks) of the new documents of a batch (doc_id, text, source_path, mime_type).
+    Documents without a text are in neither: ``corpus.quarantined(batch)`` names them."""
     new = C.stamp_versions(C.with_evidence_id(C.new_evidence(batch, evidence)), start)
     stem = F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"(?<=.)\.[^.]*\z", "")
     titled = C.with_title(new, stem)

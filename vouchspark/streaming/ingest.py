@@ -11,6 +11,7 @@ from vouchspark.operators import retrieval as R
 from vouchspark.streaming.tables import read_table, run_batches, write_batch
 
 EVIDENCE = "doc_id long, evidence_id string, sha256 string, source string, corpus_version long"
+QUARANTINE = "doc_id long, source string"
 CHUNKS = (
     "chunk_id string, evidence_id string, sha256 string, source string, corpus_version long, doc_id long, seq int, "
     "text string, token_count int, headings_path string, start_offset int, end_offset int"
@@ -21,10 +22,11 @@ def ingest_batch(batch: DataFrame, number: int, root: str, *, target: int, overl
     """New documents of one micro-batch as evidence and chunks.
 
     Copies are dropped against the whole history, of which only the hash column is read;
-    versions go on from the last one."""
+    versions go on from the last one.  Documents without a text go to the quarantine table."""
     spark = batch.sparkSession
     history = read_table(spark, root, "evidence", EVIDENCE, before=number)
     last = history.agg(F.max("corpus_version").alias("v")).first()["v"] or 0
+    write_batch(C.quarantined(batch).select("doc_id", "source"), root, "quarantine", number)
     new = C.stamp_versions(C.with_evidence_id(C.new_evidence(batch, history)), last)
     write_batch(new.select("doc_id", "evidence_id", "sha256", "source", "corpus_version", "text"), root, "documents", number)
     # Chunks are cut from the written rows, so both tables agree whatever is recomputed.
@@ -45,6 +47,10 @@ def evidence_table(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "evidence", EVIDENCE)
 
 
+def quarantine_table(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "quarantine", QUARANTINE)
+
+
 def chunk_table(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "chunks", CHUNKS)
 
