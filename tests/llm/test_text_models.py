@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vouchspark.llm import langid, toxicity
-from vouchspark.llm.samples import held_out
+from vouchspark.llm.samples import held_out, sample_keys, stratified_keys
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -84,6 +84,22 @@ def test_held_out_languages(spark):
     assert r["right"] >= 0.97 * r["n"] and r["gone"] <= 0.01 * r["n"]
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr") for i in range(6000)]
+    rows += [(6000 + i, "zxq vwk qqj kzz", "rare") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = d.filter(~held_out()).select("doc_id", "lang")
+    keys = stratified_keys(learned, "lang", 50, 300, langid.SEED).collect()
+    assert len(set(keys)) == 300
+    assert {r["doc_id"] for r in keys if r["lang"] == "rare"} == {r["doc_id"] for r in learned.filter("lang = 'rare'").collect()}
+    assert set(keys) == set(stratified_keys(learned.repartition(7), "lang", 50, 300, langid.SEED).collect())
+    assert {r["lang"] for r in stratified_keys(learned, "lang", 50, 3, langid.SEED).collect()} == {"en", "fr", "rare"}
+    usual = learned.filter("lang <> 'rare'")
+    assert set(stratified_keys(usual, "lang", 50, 300, langid.SEED).collect()) == set(sample_keys(usual, 300, langid.SEED).collect())
+    model = langid.fit(d, sample_rows=300)
+    assert "rare" in model.languages
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !?", None), (4, "aaa bbb " * 100_000, "en"), (5, "ccc ddd", "fr"), (5, "ccc ddd", "fr"), (None, "aaa", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_score", F.lit("clash"))

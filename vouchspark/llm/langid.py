@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchspark.llm.samples import held_out, sample_keys
+from vouchspark.llm.samples import held_out, stratified_keys
 from vouchspark.llm.worker import kept
 
 UNKNOWN = "und"
@@ -27,6 +27,8 @@ DIMENSIONS = 16
 ORDERS = (2, 3, 4)
 #: Bound of the training sample: rows that reach the driver as bucket counts.
 SAMPLE_ROWS = 3000
+#: Every language has so many rows among them, if it has them at all.
+LEAST_ROWS = 50
 EPOCHS, RATE, SEED = 4, 2.0, 7
 #: Share of right predictions on the validation part that rejection may cost, at most.
 REJECT_SHARE = 0.001
@@ -159,12 +161,13 @@ def _calibrated(model: LanguageModel, rows: list, place: dict[str, int]) -> Lang
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> LanguageModel:
     """Learn from text and language of rows that are not held out.
 
-    At most ``sample_rows`` rows are sampled by a seeded hash of their ids; their texts are read
+    At most ``sample_rows`` rows are sampled by a seeded hash of their ids, ``LEAST_ROWS`` of every
+    language among them (all it has, if fewer; fewer where languages are too many); their texts are read
     whole in tasks, and only bucket counts (at most 2^15 per row) come to the driver.  Rows with
     a NULL language are never learned from.  Without labelled rows the model knows no language.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
-    keys = sample_keys(labelled, sample_rows, seed)
+    keys = stratified_keys(labelled, "lang", LEAST_ROWS, sample_rows, seed)
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
