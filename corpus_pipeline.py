@@ -53,7 +53,8 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: Learned models, hashes and tokenisers are beyond SQL: tests compare with a brute-force version.
+#: Learned models, hashes and tokenisers are beyond SQL.  Tests compare the ids that the stages keep
+#: on made rows; the mixture and the packing are compared with brute force apart, run() with nothing.
 ORACLE_SQL = None
 
 
