@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vouchspark.llm import chat, jaccard_join, langid, mixing, packing, quality, token_files, toxicity, url_tree, vector_dedup
+from vouchspark.llm import chat, jaccard_join, langid, middle, mixing, packing, quality, token_files, toxicity, url_tree, vector_dedup
 from vouchspark.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from vouchspark.llm.samples import held_out
 
@@ -159,3 +159,22 @@ def op9_url_filters(spark, folder):
 @query()
 def op4_chat_repair(spark, folder):
     return chat.repaired_turns(table(spark, folder, "conversations"))
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+x AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN n = 0 OR doc_id IS NULL OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM x),
+p AS (SELECT doc_id, t, n, form, a, b, left(t, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+)
+def op13_fill_in_middle(spark, folder):
+    docs = table(spark, folder, "documents")
+    return middle.transform(docs, texts=False, digests=True).drop("pieces", "output")
