@@ -195,6 +195,12 @@ def porter_stem(word: str) -> str:
     return word
 
 
+@F.pandas_udf(T.StringType())
+def stem_word(words: pd.Series) -> pd.Series:
+    """Stems of single words, for a table of distinct ones."""
+    return words.map(porter_stem, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_terms(tokens: pd.Series) -> pd.Series:
     """Stem token arrays.  Each distinct word of an Arrow batch is stemmed once, so no

@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchspark.functions.text import query_terms, terms
+from vouchspark.functions.text import query_terms, stem_word, terms
+from vouchspark.operators import block_index as S
+from vouchspark.operators.block_index import B, K1, MARGIN, SCORE_DIGITS, BlockIndex, inverse_frequency
+from vouchspark.operators.block_index import first_k as _first_k
 from vouchspark.operators.corpus import EmbedFn, as_of
 from vouchspark.operators.scaling import (
     BROADCAST_BYTES, first_rows, fits_broadcast, measured_bytes, row_hash_salt, salted_join,
 )
 from vouchspark.session import reliable_checkpoint
 
-K1, B = 1.2, 0.75
-IDF_FLOOR = 1e-6
-SCORE_DIGITS = 6
 FUSION_K = 60
 
 
@@ -29,23 +29,23 @@ ALL_TERMS = ""
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, chunk_id, tf, dl, corpus_version)`` and what corpus totals come from.
-
-    Chunk length and version ride along in each posting, so scoring joins nothing back.
-    A fresh index keeps its analysed chunks, not moved anywhere, in ``docs``; a stored one has ``totals`` (one
-    row: n_chunks, total_len) and ``buckets``, its files being split by term bucket.
+    """``postings(term, chunk_id, tf, dl, corpus_version)`` of chunks that were just analysed, not moved
+    anywhere.  Chunk length and version ride along in each posting, so scoring joins nothing back.
+    ``docs`` are the chunks with their unstemmed words; ``stems`` (word, term) is set in a stemmed index.
     """
 
     postings: DataFrame
-    docs: DataFrame | None = None
-    totals: DataFrame | None = None
-    buckets: int | None = None
-    stem: bool = False
+    docs: DataFrame
+    stems: DataFrame | None = None
+
+    @property
+    def stem(self) -> bool:
+        return self.stems is not None
 
 
-def analysed(chunks: DataFrame, *, stem: bool = False) -> DataFrame:
-    tokens = terms(F.col("text"), stem=stem)
-    return chunks.select("chunk_id", "corpus_version", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+def analysed(chunks: DataFrame) -> DataFrame:
+    """Chunks with their words, unstemmed, and the number of these."""
+    return chunks.select("chunk_id", "corpus_version", terms(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def build_index(chunks: DataFrame, *, stem: bool = False) -> Index:
@@ -54,78 +54,59 @@ def build_index(chunks: DataFrame, *, stem: bool = False) -> Index:
     The chunk texts are spread by chunk id once.  Everything a chunk needs afterwards, the
     count per term and later its score for every query, is grouped by that id as well, so
     it needs no further shuffle; postings, several times larger than the text, stay put.
+
+    Stems are made once per distinct word, in a table of its own that is joined back
+    (broadcast behind a size check, else over salts).  That runs two jobs.
     """
     texts = chunks.select("chunk_id", "corpus_version", "text")
-    docs, placed = analysed(texts, stem=stem), analysed(texts.repartition("chunk_id"), stem=stem)
+    docs, placed = analysed(texts), analysed(texts.repartition("chunk_id"))
     # The outer form keeps Spark from adding a filter that would analyse every text twice.
-    words = placed.select("chunk_id", "corpus_version", "dl", F.explode_outer("tokens").alias("term"))
-    postings = (
-        words.filter(F.col("term").isNotNull())
-        .groupBy("chunk_id", "corpus_version", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return Index(postings, docs=docs, stem=stem)
-
-
-def index_totals(index: Index) -> DataFrame:
+    words = placed.select("chunk_id", "corpus_version", "dl", F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
+    stems = None
+    if stem:
+        listed = docs.select(F.explode("tokens").alias("word")).distinct()
+        stems = reliable_checkpoint(listed.select("word", stem_word("word").alias("term")))
+        words = words.withColumnRenamed("term", "word")
+        words = words.join(F.broadcast(stems), "word") if fits_broadcast(stems) else salted_join(words, stems, "word", "inner", ["chunk_id"])
+    postings = words.groupBy("chunk_id", "corpus_version", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return Index(postings, docs, stems)
+
+
+def index_totals(index: Index | BlockIndex) -> DataFrame:
     """One row: number of chunks and sum of their lengths."""
-    if index.totals is not None:
-        return index.totals.select("n_chunks", "total_len")
+    if isinstance(index, BlockIndex):
+        return index.totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len"))
     return index.docs.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
 
 
 def term_statistics(index: Index, matched: DataFrame, version: int | None = None) -> DataFrame:
     """(term, df, total_len): chunks per term, and the corpus totals in the row ALL_TERMS.
 
-    For a fresh index both come from one pass over the chunks: the distinct words of a chunk
-    are taken inside its row, so only one counter per term is shuffled.
+    Without stems both come from one pass over the chunks: the distinct words of a chunk are
+    taken inside its row, so only one counter per term is shuffled.  Two words of a chunk may
+    share a stem, so with stems the chunks are counted in the postings of the wanted terms.
     """
-    if index.docs is not None:
+    live = as_of(index.docs, version)
+    if not index.stem:
         words = F.explode(F.concat(F.array(F.lit(ALL_TERMS)), F.array_distinct("tokens")))
-        listed = as_of(index.docs, version).select("dl", words.alias("term"))
-        return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len"))
+        return live.select("dl", words.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len"))
     counted = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(0).cast("long").alias("total_len"))
-    totals = index_totals(index)
-    if version is not None:
-        per_chunk = as_of(index.postings, version).groupBy("chunk_id").agg(F.max("dl").alias("dl"))
-        totals = per_chunk.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_len"))
-    return counted.unionByName(totals.select(F.lit(ALL_TERMS).alias("term"), F.col("n_chunks").alias("df"), "total_len"))
+    return counted.unionByName(live.agg(F.lit(ALL_TERMS).alias("term"), F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_len")))
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def write_index(index: Index, path: str, buckets: int = 256, *, batch: int = 0) -> None:
+    """Store an index once for many query batches; ``batch`` numbers an appended part."""
+    S.write_batch(index.docs, path, stem=index.stem, buckets=buckets, batch=batch)
 
 
-def write_index(index: Index, path: str, buckets: int = 256, *, files: int | None = None, batch: int = 0) -> None:
-    """Store an index once for many query batches; ``batch`` numbers an appended part.
-
-    Rows are spread by bucket and chunk and not by term alone, so that one hot term does
-    not land in one task; files are cut by term bucket and sorted by term for row-group
-    skipping.
-    """
-    spread = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).withColumn(
-        "_salt", row_hash_salt("chunk_id", salts=4)
-    )
-    parts = [F.col("bucket"), F.col("_salt")]
-    spread = spread.repartition(files, *parts) if files else spread.repartition(*parts)
-    spread.drop("_salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/postings/batch={batch}"
-    )
-    index_totals(index).withColumn("stem", F.lit(index.stem)).withColumn("buckets", F.lit(buckets)).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/totals/batch={batch}")
+def read_index(spark: SparkSession, path: str) -> BlockIndex:
+    """Stored index; totals and frequencies of appended batches add up."""
+    return S.read_blocks(spark, path)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """Stored index; totals of appended batches add up."""
-    totals = spark.read.parquet(f"{path}/totals")
-    found = totals.select("stem", "buckets").distinct().limit(2).collect()
-    if len(found) != 1:
-        raise ValueError("the parts of a stored index must agree in stem and buckets")
-    settings = found[0]
-    postings = spark.read.parquet(f"{path}/postings").drop("batch")
-    summed = totals.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len"))
-    return Index(postings, totals=summed, buckets=settings["buckets"], stem=settings["stem"])
+def compact_index(spark: SparkSession, path: str, into: str) -> None:
+    """Write all batches of a stored index as one, with full blocks and one vocabulary."""
+    S.compact(spark, path, into)
 
 
 def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
@@ -137,14 +118,12 @@ def question_terms(queries: DataFrame, *, stem: bool = False) -> DataFrame:
     )
 
 
-#: Room for rounding when a block's reach is held against the k-th best score so far.
-MARGIN = 1e-5
 #: Chunks of a block where query words are too many to broadcast.
 BLOCK_CHUNKS = 100_000
 
 
 def bm25_topk(
-    queries: DataFrame, index: Index, k: int = 50, *, corpus_version: int | None = None, stats_scope: str = "index",
+    queries: DataFrame, index: Index | BlockIndex, k: int = 50, *, corpus_version: int | None = None, stats_scope: str = "index",
     version_per_query: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Best ``k`` chunks per query, any word may match: (query_id, chunk_id, score, rank).
@@ -154,6 +133,8 @@ def bm25_topk(
     frequencies from the whole index even under a snapshot, ``"snapshot"`` from the
     snapshot alone.  With ``version_per_query`` each query row has its own ``as_of`` version.
 
+    A stored index (``read_index``) is asked through its block bounds, see ``block_index``.
+
     Jobs run here: the size of the query words, and their frequencies (one row per word).
     Postings lie together by chunk and are packed to one row per chunk with the query words in
     it.  A task scores a batch of chunks at a time in dense arrays and carries a running top
@@ -165,25 +146,21 @@ def bm25_topk(
     if stats_scope not in ("index", "snapshot"):
         raise ValueError("stats_scope must be 'index' or 'snapshot'")
     wanted = question_terms(queries, stem=index.stem)
+    within = corpus_version if stats_scope == "snapshot" else None
+    if isinstance(index, BlockIndex):
+        until = queries.select("query_id", "as_of") if version_per_query else None
+        found = S.blocks_topk(wanted, index, k, corpus_version=corpus_version, within=within, as_of=until, broadcast_bytes=broadcast_bytes)
+        return ranked(found, k)
     small = fits_broadcast(wanted, broadcast_bytes)
     vocabulary = wanted.select("term").distinct()
-    postings = index.postings
-    if index.buckets and small:
-        # At most ``buckets`` numbers: the folders a stored index has to be read from.
-        needed = vocabulary.select(term_bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()
-        postings = postings.filter(F.col("bucket").isin([row["b"] for row in needed]))
-    within = corpus_version if stats_scope == "snapshot" else None
-    matched = as_of(postings, within).join(_hinted(vocabulary, small), "term", "left_semi")
-    if index.buckets and small:
-        matched = matched.repartition("chunk_id")
+    matched = as_of(index.postings, within).join(_hinted(vocabulary, small), "term", "left_semi")
     listed = vocabulary.unionByName(vocabulary.limit(1).select(F.lit(ALL_TERMS).alias("term")))
     statistics = reliable_checkpoint(term_statistics(index, matched, within).join(_hinted(listed, small), "term", "left_semi"))
     corpus = statistics.filter(F.col("term") == ALL_TERMS).first()
     n, total_len = (corpus["df"], corpus["total_len"] or 0) if corpus else (0, 0)
     avgdl = max(total_len / n, 1e-9) if n else 1.0
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(statistics.select("term", "df"), "term").select(
-        "query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(IDF_FLOOR)).alias("weight")
+        "query_id", "term", (F.col("qtf") * inverse_frequency(F.col("df"), n)).alias("weight")
     )
     until = F.lit(None).cast("long").alias("until")
     if version_per_query:
@@ -247,15 +224,6 @@ class _Scorer:
         return pd.DataFrame({"query_id": self.query_ids[query], "chunk_id": ids, "score": value})
 
 
-def _first_k(query: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` smallest values per query, ties by id, in order."""
-    tie = np.unique(ids, return_inverse=True)[1] if len(ids) else np.empty(0, dtype=np.int64)
-    order = np.lexsort((tie, value, query))
-    query, value, ids = query[order], value[order], ids[order]
-    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-    return query[keep], value[keep], ids[keep]
-
-
 def block_scores(live: DataFrame, weights: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Best ``k`` (query_id, chunk_id, score) per query and task, from ``live`` (term, chunk_id,
     corpus_version, gain) that lies by chunk and stored ``weights`` (query_id, term, weight, until)."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from vouchspark.plans.stem_sql import stems
+
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
 
@@ -62,6 +64,11 @@ TABLES: dict[str, str] = {
                              THEN ln((s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END)
                * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))) AS gain
         FROM qterms q JOIN postings p ON p.term = q.term JOIN df d ON d.term = q.term, totals s""",
+    "stems": stems("SELECT unnest(t) AS word FROM chunk_terms UNION ALL SELECT term AS word FROM qterms"),
+    "stem_postings": """
+        SELECT p.chunk_id, p.dl, s.term, CAST(sum(p.tf) AS BIGINT) AS tf FROM postings p JOIN stems s ON s.word = p.term GROUP BY ALL""",
+    "stem_df": "SELECT term, count(*) AS df FROM stem_postings GROUP BY term",
+    "stem_qterms": "SELECT q.query_id, s.term, sum(q.qtf) AS qtf FROM qterms q JOIN stems s ON s.word = q.term GROUP BY ALL",
     "bm25": "SELECT query_id, chunk_id, round(-sum(gain), 6) AS score FROM scored GROUP BY ALL",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS rank FROM bm25",
     "hits": "SELECT query_id AS claim_id, chunk_id, rank, score FROM ranked WHERE rank < 10",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchspark.functions.text import query_tokens, stem_terms, terms
+from vouchspark.functions.text import query_tokens, stem_word, terms
 from vouchspark.operators import retrieval as R
 from vouchspark.operators.scaling import global_positions
 from vouchspark.plans import derived as D
 from vouchspark.plans.registry import query
+from vouchspark.plans.stem_sql import stems
 
 
 @query(r"""
@@ -18,11 +19,30 @@ def index_terms(spark, sf):
     return D.documents(spark, sf).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_DOCUMENT_WORDS = r"SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS word FROM documents"
+
+
+@query(f"SELECT s.term, count(*) AS n FROM ({_DOCUMENT_WORDS}) w JOIN ({stems(_DOCUMENT_WORDS)}) s ON s.word = w.word GROUP BY 1")
 def stemmed_terms(spark, sf):
-    """The same with stemming."""
-    words = D.documents(spark, sf).select(stem_terms(terms(F.col("text"))).alias("tokens"))
-    return words.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """The same with stemming, once per distinct word."""
+    words = D.documents(spark, sf).select(F.explode(terms(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(stem_word("word").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+STEMMED_SQL = """
+    WITH g AS (SELECT q.query_id, p.chunk_id, q.qtf * (CASE WHEN ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) > 0
+                 THEN ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END)
+               * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / t.avgdl))) AS gain
+        FROM stem_qterms q JOIN stem_postings p ON p.term = q.term JOIN stem_df d ON d.term = q.term, totals t),
+    b AS (SELECT query_id, chunk_id, round(-sum(gain), 6) AS score FROM g GROUP BY ALL)
+    SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS rank FROM b
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) <= 10"""
+
+
+@query(STEMMED_SQL)
+def stemmed_hits(spark, sf):
+    """Best ten chunks of every claim, words compared by their stems."""
+    return R.bm25_topk(D.questions(spark, sf), R.build_index(D.ch(spark, sf), stem=True), 10)
 
 
 @query(r"""

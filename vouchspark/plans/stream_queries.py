@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vouchspark.operators import retrieval as R
 from vouchspark.plans import derived as D
 from vouchspark.plans.registry import query
+from vouchspark.plans.retrieval_queries import STEMMED_SQL
 from vouchspark.session import checkpoint_root
 from vouchspark.streaming import approvals as SA
 from vouchspark.streaming import ingest as SI
@@ -64,6 +65,18 @@ def stored_index(spark, sf):
     return R.bm25_topk(D.questions(spark, sf), R.read_index(spark, root), 10)
 
 
+@query(STEMMED_SQL)
+def stored_stemmed_index(spark, sf):
+    """A stored index of stems, made once per word of its vocabulary, grown by a second
+    batch and compacted to one."""
+    root, chunks = _root(spark), D.ch(spark, sf)
+    for part in range(2):
+        own = chunks.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part)
+        R.write_index(R.build_index(own, stem=True), f"{root}/parts", buckets=8, batch=part)
+    R.compact_index(spark, f"{root}/parts", f"{root}/whole")
+    return R.bm25_topk(D.questions(spark, sf), R.read_index(spark, f"{root}/whole"), 10)
+
+
 def _in_order(df, column: str, parts: int):
     """Cut a table into consecutive parts of its time column."""
     cuts = df.agg(F.percentile_approx(F.to_timestamp(column).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"]
