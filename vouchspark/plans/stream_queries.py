@@ -17,6 +17,7 @@ from vouchspark.plans.retrieval_queries import STEMMED_SQL
 from vouchspark.session import checkpoint_root
 from vouchspark.streaming import approvals as SA
 from vouchspark.streaming import ingest as SI
+from vouchspark.streaming import keyed as SK
 
 
 def _root(spark) -> str:
@@ -40,7 +41,27 @@ def streamed_corpus(spark, sf):
     """Documents ingested batch by batch; copies are dropped against all history."""
     root = _root(spark)
     docs = D.documents(spark, sf).select("doc_id", "text", "source").withColumn("_part", (F.col("doc_id") % 3).cast("int"))
-    _run_parts(spark, docs, root, 3, lambda stream: SI.stream_ingest(stream, root, target=D.TARGET, overlap=D.OVERLAP))
+    _run_parts(spark, docs, root, 3, lambda stream: SI.stream_ingest(stream, root, target=D.TARGET, overlap=D.OVERLAP, buckets=16))
+    return _one_version_each(spark, root)
+
+
+@query("""
+    SELECT f.sha256, count(DISTINCT c.chunk_id) AS chunks, true AS one_version_each FROM first_docs f LEFT JOIN ch c ON c.sha256 = f.sha256 GROUP BY 1""")
+def compacted_corpus(spark, sf):
+    """The same with the tables compacted between the runs of the stream."""
+    root = _root(spark)
+    docs = D.documents(spark, sf).select("doc_id", "text", "source").withColumn("_part", (F.col("doc_id") % 3).cast("int"))
+
+    def start(stream):
+        SI.compact_corpus(spark, root)
+        return SI.stream_ingest(stream, root, target=D.TARGET, overlap=D.OVERLAP, buckets=16)
+
+    _run_parts(spark, docs, root, 3, start)
+    SI.compact_corpus(spark, root)
+    return _one_version_each(spark, root)
+
+
+def _one_version_each(spark, root):
     evidence, chunks = SI.evidence_table(spark, root), SI.chunk_table(spark, root)
     per_document = chunks.groupBy("sha256").agg(F.count_distinct("chunk_id").alias("chunks"))
     versions = evidence.groupBy("corpus_version").agg(F.count(F.lit(1)).alias("n"))
@@ -131,3 +152,42 @@ def streamed_attempts(spark, sf):
     letters = SA.dead_letters(spark, root).select("approval_id", F.lit(True).alias("dead_letter"))
     found = SA.execution_status(spark, root).join(letters, "approval_id", "left")
     return found.select("approval_id", "attempts", "exec_status", F.coalesce("dead_letter", F.lit(False)).alias("dead_letter"))
+
+
+@query("SELECT approval_id, status, decided_at, decided_by FROM folded")
+def keyed_decisions(spark, sf):
+    """Status from keyed state, the stream stopped and started again after every part."""
+    root = _root(spark)
+    asked, made = D.proposals_and_decisions(spark, sf)
+    asked.write.parquet(f"{root}/proposals")
+    asked = spark.read.parquet(f"{root}/proposals")
+    made.select("decision_id", "approval_id", "decision", "decided_by", "decided_at", "note").write.parquet(f"{root}/decisions")
+
+    def start(stream):
+        SK.stream_votes(stream, asked, root).awaitTermination()
+        return SK.keyed_status(SK.votes_stream(spark, root), root)
+
+    _run_parts(spark, _in_order(spark.read.parquet(f"{root}/decisions"), "decided_at", 3), root, 3, start)
+    return SK.settled_status(spark, root, asked).select("approval_id", "status", "decided_at", "decided_by")
+
+
+#: Seconds until the next try; the odd millisecond keeps a due time apart from any attempt's.
+ALARM_BACKOFF = 21600.001
+
+
+@query(f"""
+    WITH t AS (SELECT approval_id, at_time, ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS failures, max(CAST(ok AS INTEGER)) OVER w AS won, lead(at_time) OVER w AS next_at
+               FROM attempts WINDOW w AS (PARTITION BY approval_id ORDER BY at_time, attempt_id)),
+    u AS (SELECT *, at_time + INTERVAL {round(ALARM_BACKOFF * 1000)} MILLISECONDS AS later FROM t WHERE won = 0 AND failures <= 3),
+    m AS (SELECT max(at_time) - INTERVAL 1 HOUR AS mark FROM attempts)
+    SELECT approval_id, CASE WHEN failures = 3 THEN 'dead' ELSE 'retry' END AS alarm, CAST(failures AS BIGINT) AS failures,
+           epoch_ms(CASE WHEN failures = 3 THEN at_time ELSE later END) AS due_ms
+    FROM u, m WHERE failures = 3 OR next_at > later OR (next_at IS NULL AND later <= mark)""")
+def due_retries(spark, sf):
+    """Retries that came due and dead letters, told by event-time timers."""
+    root = _root(spark)
+    tries = D.attempts(spark, sf).join(D.proposals(spark, sf).select("idx", "approval_id"), "idx")
+    tries.select("attempt_id", "approval_id", "ok", "at", "at_time").write.parquet(f"{root}/tries")
+    parts = _in_order(spark.read.parquet(f"{root}/tries"), "at", 3).drop("at")
+    _run_parts(spark, parts, root, 3, lambda stream: SK.stream_alarms(stream, root, backoff=ALARM_BACKOFF))
+    return SK.alarm_table(spark, root).select("approval_id", "alarm", "failures", F.unix_millis("due").alias("due_ms"))

@@ -20,17 +20,19 @@ from vouchspark.session import ROCKSDB
 
 ALARM = "approval_id long, alarm string, failures int"
 STATE = "status string, failures int"
+#: Milliseconds after its last attempt in which the state of an approval ends.
+KEEP_MS = 90 * 24 * 3600 * 1000
 
 
 class RetryAlarms(StatefulProcessor):
     """Per approval: how often it failed, and whether it is settled."""
 
-    def __init__(self, max_attempts: int, backoff: float) -> None:
-        self.max_attempts, self.backoff = max_attempts, backoff
+    def __init__(self, max_attempts: int, backoff: float, keep_ms: int = KEEP_MS) -> None:
+        self.max_attempts, self.backoff, self.keep_ms = max_attempts, backoff, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("execution", STATE)
+        self.state = handle.getValueState("execution", STATE, ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, failures = self.state.get() if self.state.exists() else ("pending", 0)
@@ -49,7 +51,7 @@ class RetryAlarms(StatefulProcessor):
             yield self._alarm(key, "dead", failures)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, failures = self.state.get()
+        status, failures = self.state.get() if self.state.exists() else ("gone", 0)
         if status == "pending":
             yield self._alarm(key, "retry", failures)
 
