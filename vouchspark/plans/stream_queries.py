@@ -176,12 +176,12 @@ ALARM_BACKOFF = 21600.001
 
 
 @query(f"""
-    WITH t AS (SELECT approval_id, at_time, ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS failures, max(CAST(ok AS INTEGER)) OVER w AS won, lead(at_time) OVER w AS next_at
-               FROM attempts WINDOW w AS (PARTITION BY approval_id ORDER BY at_time, attempt_id)),
-    u AS (SELECT *, at_time + INTERVAL {round(ALARM_BACKOFF * 1000)} MILLISECONDS AS later FROM t WHERE won = 0 AND failures <= 3),
-    m AS (SELECT max(at_time) - INTERVAL 1 HOUR AS mark FROM attempts)
-    SELECT approval_id, CASE WHEN failures = 3 THEN 'dead' ELSE 'retry' END AS alarm, CAST(failures AS BIGINT) AS failures,
-           epoch_ms(CASE WHEN failures = 3 THEN at_time ELSE later END) AS due_ms
+    WITH a AS (SELECT approval_id, attempt_id, ok, epoch_us(at_time) // 1000 AS tick FROM attempts),
+    t AS (SELECT approval_id, tick, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS failures, max(CAST(ok AS INTEGER)) OVER w AS won, lead(tick) OVER w AS next_at
+          FROM a WINDOW w AS (PARTITION BY approval_id ORDER BY tick, attempt_id)),
+    u AS (SELECT *, tick + {round(ALARM_BACKOFF * 1000)} AS later FROM t WHERE won = 0 AND failures <= 3),
+    m AS (SELECT max(tick) - 3600000 AS mark FROM a)
+    SELECT approval_id, CASE WHEN failures = 3 THEN 'dead' ELSE 'retry' END AS alarm, CAST(failures AS BIGINT) AS failures, CASE WHEN failures = 3 THEN tick ELSE later END AS due_ms
     FROM u, m WHERE failures = 3 OR next_at > later OR (next_at IS NULL AND later <= mark)""")
 def due_retries(spark, sf):
     """Retries that came due and dead letters, told by event-time timers."""

@@ -186,7 +186,8 @@ def due_alarms(
     failure.  Alarms are told once the watermark, ``delay`` behind the latest attempt, has passed them;
     attempts may come late by that much.  State of a settled approval ends ``keep_ms`` later."""
     use_rocksdb(attempts.sparkSession)
-    timed = attempts.select("approval_id", "attempt_id", "ok", "at_time", F.unix_millis("at_time").alias("at_ms")).withWatermark("at_time", delay)
+    when = F.col("at_time").cast("timestamp")
+    timed = attempts.select("approval_id", "attempt_id", "ok", when.alias("at_time"), F.unix_millis(when).alias("at_ms")).withWatermark("at_time", delay)
     found = timed.groupBy("approval_id").transformWithStateInPandas(
         statefulProcessor=DueAlarms(max_attempts, int(backoff * 1000), keep_ms), outputStructType="approval_id long, alarm string, failures long, due_ms long",
         outputMode="Update", timeMode="EventTime",
