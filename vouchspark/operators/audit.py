@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from vouchspark.operators.scaling import salted_join
 from vouchspark.operators.runs import gate_schema, retrieval_rows, trace_version
+from vouchspark.sources.corpus_source import all_files, file_hashes
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below ``path``, sorted by path; one file per row at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length").orderBy("path")
+    """SHA-256 of every file below ``path``, sorted by path.  Files are read piece by piece in
+    tasks of about equal size, so one may be larger than a row or a task's memory."""
+    return file_hashes(all_files(spark, path)).orderBy("path")
 
 
 def flatten(approvals: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Approvals and decisions as one stream of text rows, columns of the other kind blank."""
+    """Approvals and decisions as one stream of text rows, columns of the other kind blank.
+
+    ``order_key`` sorts all approvals first: (kind, time, id) as text, so that a writer that sorts by
+    it, or a range partition over it, gives one order."""
     own = [
         "approval_id", "workspace", "directive", "skill", "source_run_id", "status", "summary", "approvers_required",
         "created_at", "decided_at", "decided_by", "decision_note",
@@ -34,7 +38,10 @@ def flatten(approvals: DataFrame, decisions: DataFrame) -> DataFrame:
         F.lit("decision").alias("row_kind"),
         *[(text(decisions, shown[c]) if c in shown else F.lit("")).alias(c) for c in [*own, *extra]],
     )
-    return first.unionByName(second)
+    both = first.unionByName(second)
+    kind = F.when(F.col("row_kind") == "approval", "0").otherwise("1")
+    when, own_id = (F.when(kind == "0", F.col(a)).otherwise(F.col(b)) for a, b in (("created_at", "decided_at_decision"), ("approval_id", "decision_id")))
+    return both.withColumn("order_key", F.concat_ws("|", kind, when, F.lpad(own_id, 20, "0")))
 
 
 def missing_traces(runs: DataFrame, traces: DataFrame) -> DataFrame:

@@ -13,13 +13,21 @@ from vouchspark.operators.scaling import first_rows, running_sums
 
 def validate_gold(df: DataFrame, *, strict: bool = True) -> DataFrame:
     """Gold claims with one of the four labels, ordered by (added_at, gold_id).  ``strict``
-    fails the job on another label, otherwise such rows are dropped."""
+    fails the job on another label, otherwise such rows are left out; ``judged_gold`` returns them
+    with what is wrong."""
     valid = F.coalesce(F.col("expected_label").isin(*schemas.LABELS), F.lit(False))
     if strict:
         valid = F.assert_true(valid, F.lit("expected_label must be one of the four labels")).isNull()
     return df.filter(valid).orderBy("added_at", "gold_id")
 
 
+def judged_gold(df: DataFrame) -> DataFrame:
+    """All rows with ``error``: NULL for a known label, else what is wrong.  Nothing is dropped."""
+    label = F.col("expected_label")
+    error = F.when(label.isNull(), "expected_label is missing").when(~label.isin(*schemas.LABELS), F.concat(F.lit("unknown expected_label: "), label))
+    return df.withColumn("error", error)
+
+
 def load_gold(df: DataFrame, corpus_version: int | Column) -> DataFrame:
     """Imported rows (text, expected, optional relevant_chunk_ids and note) as gold claims
     of the current corpus version."""

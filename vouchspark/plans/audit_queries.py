@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vouchspark.operators import audit as U
+from vouchspark.operators.scaling import global_positions
 from vouchspark.plans import derived as D
 from vouchspark.plans.registry import query
 
@@ -23,6 +24,16 @@ def approval_rows(spark, sf):
     return found.select("row_kind", "approval_id", "workspace", "approvers_required", "created_at", "decision_id", "decision", "decided_by", "decided_at_decision", "note")
 
 
+@query("""
+    SELECT row_kind, id, row_number() OVER (ORDER BY row_kind, moment, id) AS place FROM (
+      SELECT 'approval' AS row_kind, approval_id AS id, created_at AS moment FROM proposals UNION ALL SELECT 'decision', decision_id, decided_at FROM decisions)""")
+def approval_order(spark, sf):
+    """The order of that stream, all approvals first."""
+    found = U.flatten(*_approvals(spark, sf))
+    placed = global_positions(found, ["order_key"], "place")
+    return placed.select("row_kind", F.when(F.col("row_kind") == "approval", F.col("approval_id")).otherwise(F.col("decision_id")).cast("long").alias("id"), "place")
+
+
 def _held_traces(spark, sf):
     return D.traces(spark, sf).filter(F.col("run_id") % 13 != 0)
 

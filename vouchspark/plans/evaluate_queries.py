@@ -35,6 +35,13 @@ def valid_gold(spark, sf):
     return E.validate_gold(_gold_rows(spark, sf), strict=False).select("gold_id", "expected_label")
 
 
+@query("""
+    SELECT 'g' || doc_id AS gold_id, CASE WHEN doc_id % 11 = 0 THEN 'unknown expected_label: unsure' END AS error FROM labels""")
+def gold_faults(spark, sf):
+    """Every gold claim with what is wrong with its label."""
+    return E.judged_gold(_gold_rows(spark, sf)).select("gold_id", "error")
+
+
 @query("""
     SELECT doc_id, 'claim ' || doc_id AS claim, CASE WHEN quality = 1 THEN 'supported' ELSE 'not_found' END AS expected_label, 77 AS corpus_version,
            'import' AS source, CASE WHEN doc_id % 2 = 0 THEN 'c' || doc_id END AS relevant, 'n' || toxic AS note FROM labels""")

@@ -7,6 +7,7 @@ from vouchspark.plans import (  # noqa: F401
     evaluate_queries,
     retrieval_queries,
     run_queries,
+    source_queries,
     stream_queries,
     verify_queries,
 )

@@ -7,6 +7,8 @@ import mimetypes
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vouchspark.sources.corpus_source import read_corpus
+
 # Folders never read, and the non-text types that are still read.
 SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv", "venv", ".pytest_cache")
 TEXT_MIMES = ("text/markdown", "text/x-markdown", "text/plain", "text/html", "text/x-rst", "application/json")
@@ -69,19 +71,12 @@ def kept_path(relative: Column) -> Column:
 def scan_corpus(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Files below ``path`` as (path, relative, content, mime_type, admitted, text).
 
-    Hidden and tool folders are skipped at any depth.  PDF content is admitted with NULL
-    text: extracting it is left to a plug-in.  Spark's own listing hides names that start
-    with an underscore.
+    Hidden and tool folders are not entered, at any depth, and files of other types are listed
+    with NULL content, not opened.  PDF content is admitted with NULL text: extracting it is
+    left to a plug-in.
     """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-        .select("path", "content", inside(F.col("path"), path).alias("relative"))
-    )
-    if not recursive:
-        found = found.filter(~F.contains("relative", F.lit("/")))
-    typed = with_mime(found.filter(kept_path(F.col("relative"))))
     readable = F.col("admitted") & (F.col("mime_type") != PDF_MIME)
-    return typed.withColumn("text", F.when(readable, decode_text(F.col("content"))))
+    return read_corpus(spark, path, recursive).withColumn("text", F.when(readable, decode_text(F.col("content"))))
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
