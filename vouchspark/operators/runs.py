@@ -119,6 +119,7 @@ def replay_requests(traces: DataFrame, defaults: dict[str, str], *, live: bool =
     return resolved.select(
         F.col("run_id").alias("query_id"), F.try_element_at("kwargs", F.lit("claim")).alias("query"), version.alias("as_of"),
         "kwargs_source", F.lit("live" if live else "frozen").alias("mode"), F.col("corpus_version").alias("original_corpus_version"),
+        "workspace" if "workspace" in traces.columns else F.lit(None).cast("string").alias("workspace"), "kwargs", "inputs",
     )
 
 

@@ -204,7 +204,8 @@ def decompose(claims: DataFrame, fn: DecomposeFn | None = None) -> DataFrame:
                 rows.extend((claim_id, i, atom) for i, atom in enumerate(found))
             yield pd.DataFrame(rows, columns=["claim_id", "atom_index", "atom"])
 
-    return claims.select("claim_id", "claim").mapInPandas(run, "claim_id long, atom_index int, atom string")
+    kind = claims.schema["claim_id"].dataType.simpleString()
+    return claims.select("claim_id", "claim").mapInPandas(run, f"claim_id {kind}, atom_index int, atom string")
 
 
 DEFAULT_THRESHOLD = 0.9
@@ -236,6 +237,15 @@ def tiered_by_policy(first: DataFrame, second: DataFrame, policy: DataFrame) ->
     return kept.unionByName(again.select(*columns, F.lit(2).alias("tier"), F.lit(True).alias("escalated")))
 
 
+def answered_atoms(atoms: DataFrame, votes: DataFrame, hits: DataFrame) -> DataFrame:
+    """``atoms`` per claim: text, label and confidence in order, with ids that were not retrieved
+    redacted from the text.  A claim has as many as its decomposition gave."""
+    ids = hits.groupBy("claim_id").agg(F.collect_list("chunk_id").alias("candidates"))
+    told = atoms.select("claim_id", "atom_id", "atom_index", "atom").join(votes.select("atom_id", "label", "confidence"), "atom_id").join(ids, "claim_id")
+    clean = F.struct("atom_index", redact(F.col("atom"), F.col("candidates")).alias("atom"), "label", "confidence")
+    return told.groupBy("claim_id").agg(F.array_sort(F.collect_list(clean)).alias("listed")).select("claim_id", F.transform("listed", lambda a: F.struct(a["atom"].alias("atom"), a["label"].alias("label"), a["confidence"].alias("confidence"))).alias("atom_verdicts"))
+
+
 # --- extraction, synthesis, documents --------------------------------------------------------------
 REQUEST_CHARS = 200_000
 # Where a part may end; never at its own start.
@@ -288,7 +298,8 @@ def extract_claims(docs: DataFrame, fn: ExtractFn | None = None, budget: int = 1
             out = pd.DataFrame(rows, columns=["doc_id", "part", "claim_index", "claim", "error"])
             yield out.astype({"claim_index": "Int32", "part": "int32"})
 
-    return filled.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, claim_index int, claim string, error string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return filled.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, part int, claim_index int, claim string, error string")
 
 
 def filter_key_points(df: DataFrame) -> DataFrame:
@@ -310,7 +321,7 @@ def filter_key_points(df: DataFrame) -> DataFrame:
 SILENT_SUMMARY = "Corpus is silent on this topic."
 SILENT_GAPS = "All relevant evidence is missing."
 TOPIC_K, TOPIC_POOL = 12, 60
-SYNTHESIS = "topic_id long, summary string, key_points array<struct<point:string,supporting_chunk_ids:array<string>>>, gaps string"
+SYNTHESIS = "topic_id {}, summary string, key_points array<struct<point:string,supporting_chunk_ids:array<string>>>, gaps string"
 
 
 def research_topics(topics: DataFrame, hits: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -319,7 +330,8 @@ def research_topics(topics: DataFrame, hits: DataFrame, fn: Callable[[pd.DataFra
     get the fixed answer."""
     best = hits.filter(F.col("rank") < TOPIC_K)
     requests = topics.join(J.corpus_block(best).withColumnRenamed("claim_id", "topic_id"), "topic_id")
-    written = J.judge(requests.select("topic_id", "topic", "corpus"), fn, SYNTHESIS)
+    kind = topics.schema["topic_id"].dataType.simpleString()
+    written = J.judge(requests.select("topic_id", "topic", "corpus"), fn, SYNTHESIS.format(kind))
     ids = best.groupBy("claim_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("candidates"))
     checked = filter_key_points(written.join(ids.withColumnRenamed("claim_id", "topic_id"), "topic_id")).drop("candidates")
     silent = topics.join(best.select(F.col("claim_id").alias("topic_id")).distinct(), "topic_id", "left_anti")

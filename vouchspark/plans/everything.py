@@ -5,6 +5,7 @@ from vouchspark.plans import (  # noqa: F401
     audit_queries,
     corpus_queries,
     evaluate_queries,
+    job_queries,
     retrieval_queries,
     run_queries,
     source_queries,
