@@ -37,8 +37,8 @@ PART = 80
 #: Frequencies for the global order are kept per hash bucket, a table of fixed size.
 COUNT_BITS = 16
 BLOCK_ROWS = 2048
-#: Bits of a bitmap per token of the largest set of its band, at least; tiles carry thin ones.
-LOAD, THIN = 4, 2
+#: Bits of a bitmap per token of the largest set of its band, at least.
+LOAD = 4
 #: Rounds with pivots that differ from token to token and from round to round.
 MIXED_ROUNDS = 3
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -113,33 +113,31 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """Per document: ``n`` (set size), ``class`` (128-bit hash of the set), ``prefix`` (its first
-    tokens in the global order), ``bits`` and ``thin`` (bitmaps); all but ``n`` are NULL without
-    words."""
+    tokens in the global order) and ``bits`` (bitmap); all but ``n`` are NULL without words."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = sent.value
         for batch in batches:
-            sizes, classes, prefixes, maps, thins = [], [], [], [], []
+            sizes, classes, prefixes, maps = [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 n = len(own)
                 sizes.append(n)
                 if not n:
-                    classes.append(None), prefixes.append(None), maps.append(None), thins.append(None)
+                    classes.append(None), prefixes.append(None), maps.append(None)
                     continue
                 # np.unique sorted the hashes, and a stable sort keeps them in order within a rank.
                 order = np.argsort(ranks[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")
                 classes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefixes.append(own[order[: n - least_overlap(n) + 1]].view(np.int64))
                 maps.append(bitmap(own, LOAD))
-                thins.append(bitmap(own, THIN))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(thins, pa.binary())],
-                ["doc_id", "n", "class", "prefix", "bits", "thin"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                ["doc_id", "n", "class", "prefix", "bits"],
             )
 
-    return _texts(docs).mapInArrow(sketch, "doc_id long, n long, class binary, prefix array<long>, bits binary, thin binary")
+    return _texts(docs).mapInArrow(sketch, "doc_id long, n long, class binary, prefix array<long>, bits binary")
 
 
 def can_link(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
@@ -165,7 +163,13 @@ def _matrix(maps: pa.Array, words: int) -> np.ndarray:
 
 
 def bitmap_filter(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of one or two neighbouring size bands whose bitmaps leave room for a link."""
+    """Pairs ``a``, ``b`` of one or two neighbouring size bands whose bitmaps leave room for a link.
+
+    Only bitmaps of the documents in ``pairs`` move: their ids are broadcast to the sketches where
+    they are measured to be few."""
+    pairs = stored(pairs, "asked")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sketch = sketch.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id", "left_semi")
     one = sketch.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     two = sketch.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
@@ -289,7 +293,7 @@ def tile_rows(rows: DataFrame, sketch: DataFrame) -> DataFrame:
     lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(lo == hi, 0).when(F.col("_own") == lo, 1).otherwise(2)
     many = many.select("doc_id", "label", "token", lo.alias("gi"), hi.alias("gj"), side.cast("int").alias("side"))
-    narrow = sketch.select("doc_id", "n", F.col("thin").alias("bits"), size_band(F.col("n")).alias("band"))
+    narrow = sketch.select("doc_id", "n", "bits", size_band(F.col("n")).alias("band"))
     # A guest is needed only where the token has documents of the band above.
     bands = rows.groupBy("token").agg(F.collect_set("band").alias("_bands"))
     placed = few.unionByName(many).join(bands, "token").join(narrow, "doc_id")
@@ -340,7 +344,7 @@ def _compared(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = rows.slice(lo, hi - lo)
         n, doc, label, side, home = (part.column(c).to_numpy() for c in ("n", "doc_id", "label", "side", "home"))
         own = group[lo:hi]
-        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo]), THIN) // 64)
+        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo]), LOAD) // 64)
         left, found = np.arange(hi - lo), []
         for d in range(1, hi - lo):
             # Sizes rise within a group: a row that cannot link with row i + d ends there.
@@ -376,10 +380,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     made = stored(sketches(docs, shingle_counts(docs)), "sketches")
     classes = made.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n"))
     copies = stored(classes.filter("_n > 1").select("class", "first"), "copies")
-    # One document per class goes on: those without copies, and the first of each other class.
-    salted = made.filter("n > 0 and doc_id is not null").withColumn("_salt", row_hash_salt("doc_id"))
-    met = salted.join(copies.withColumn("_salt", all_salts()), ["class", "_salt"], "left")
-    single = stored(met.filter(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).select("doc_id", "n", "prefix", "bits", "thin"), "single")
+    # One document per class goes on: the copies that are not its first are listed, narrow, and left out.
+    salted = made.filter("n > 0 and doc_id is not null").select("doc_id", "class").withColumn("_salt", row_hash_salt("doc_id"))
+    met = salted.join(copies.withColumn("_salt", all_salts()), ["class", "_salt"])
+    repeats = stored(met.filter("first <> doc_id").select("doc_id", "class").distinct(), "repeats")
+    known_class = made.filter("n > 0 and doc_id is not null")
+    single = known_class.join(F.broadcast(repeats) if fits_broadcast(repeats) else repeats, ["doc_id", "class"], "left_anti").select("doc_id", "n", "prefix", "bits")
     rows, links = stored(leading_tokens(stored(shared_tokens(single), "shared")), "leading"), None
     mixed = [F.struct(F.xxhash64("doc_id", "token", F.lit(k)), "doc_id") for k in range(MIXED_ROUNDS)]
     for order in (F.struct("doc_id"), F.struct(-F.col("degree"), "doc_id"), *mixed):
