@@ -12,12 +12,15 @@ import xxhash
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
-    """Object kept for the life of a worker process.  Functions travel by value, so a module
-    global would be built anew for every task; worker processes are reused."""
+    """Object that a worker process keeps until another one is asked for.  Functions travel by
+    value, so a module global would be built anew for every task; worker processes are reused, by
+    later stages too, so what a stage kept goes when the next one keeps something of its own."""
     holder = sys.modules.setdefault("_vouchspark_worker", types.ModuleType("_vouchspark_worker"))
-    if name not in holder.__dict__:
-        holder.__dict__[name] = make()
-    return holder.__dict__[name]
+    held = holder.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
 
 class Memo(dict):
