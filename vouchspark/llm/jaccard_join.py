@@ -37,8 +37,9 @@ PART = 80
 #: Frequencies for the global order are kept per hash bucket, a table of fixed size.
 COUNT_BITS = 16
 BLOCK_ROWS = 2048
-#: Bits of a bitmap per token of the largest set of its band, at least.
+#: Bits of a bitmap per token of the largest set of its band, at least; tiles carry whole ones.
 LOAD = 4
+THIN = LOAD
 #: Rounds with pivots that differ from token to token and from round to round.
 MIXED_ROUNDS = 3
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -344,7 +345,7 @@ def _compared(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = rows.slice(lo, hi - lo)
         n, doc, label, side, home = (part.column(c).to_numpy() for c in ("n", "doc_id", "label", "side", "home"))
         own = group[lo:hi]
-        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo]), LOAD) // 64)
+        bits = _matrix(part.column("bits").combine_chunks(), bitmap_bits(int(tile[lo]), THIN) // 64)
         left, found = np.arange(hi - lo), []
         for d in range(1, hi - lo):
             # Sizes rise within a group: a row that cannot link with row i + d ends there.
