@@ -43,6 +43,40 @@ def test_long_text_and_late_insult():
     assert m.score("fine words here. " * 50_000 + "you moron") > 0.8
 
 
+def test_marks_change_predictions_on_given_documents(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    toxic = [r["text"] for r in docs.join(labels, "doc_id").filter("toxic = 1 and lang = 'en' and length(text) < 3000").collect()]
+    caught = [t for t in toxic if model.score(t) >= toxicity.CUT]
+    assert len(caught) >= 20
+    mark = lambda text, before: toxicity.WORD.sub(lambda w: f"{before} {w[0]}" if model.code(w[0].lower()) == toxicity.INSULT else w[0], text)
+    few = [t for t in caught if sum(model.code(w.lower()) == toxicity.INSULT for w in toxicity.WORD.findall(t)) <= 2]
+    assert few and all(model.score(mark(t, "not")) < toxicity.CUT for t in few)
+    assert all(model.score(mark(t, "said")) < model.score(t) for t in few)
+    for clean in ("The path leads to Morocco.", "Das Wort ist gut.", "He is worth a lot.", "A disguise of clowns."):
+        assert model.score(clean) < 0.1
+
+
+def test_doubtful_stems_count_together(spark):
+    docs, labels, rng = [], [], np.random.default_rng(5)
+    letters = ["".join(x) for x in itertools.product("abcd", "efgh", "ijkl", "mnop", "qr")]
+    hits = [f"krumm{x}" for x in ("en", "er", "ig", "ung", "lich")]
+    for i in range(900):
+        words = [letters[k] for k in rng.integers(0, 400, 60)]
+        n = 4 if i % 9 == 0 else 1 if i % 9 == 1 else 0
+        for k in range(n):
+            words[10 * k] = f"{hits[(i // 9 + k) % 5]}."
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(n == 4)))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, l)
+    assert 0 < model.symbol("krummes")[1] < toxicity.SURE_P
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(d, model).collect()}
+    assert all((got[i] >= toxicity.CUT) == (i % 9 == 0) for i in range(900))
+    # The same four hits are nothing special in a text that is long enough.
+    assert model.score(docs[0][1] + " afin" * 100_000) < toxicity.CUT <= model.score(docs[0][1])
+
+
 def test_toxicity_learns_terms_and_stems(spark):
     docs, labels, rng = [], [], np.random.default_rng(4)
     letters = ["".join(x) for x in itertools.product("abcd", "efgh", "ijkl", "mnop", "qr")]

@@ -7,7 +7,10 @@ marked insult or threat is a path, every path has a factor, and a clause weighs
 strongest path times the word's own probability.  Clauses join by a noisy-or.
 
 The words of the insult class, their probabilities and the factors of the paths are learned
-from a bounded sample of labelled rows on top of a small seed grammar.
+from a bounded sample of labelled rows on top of a small seed grammar.  A stem counts only where
+several words carry it.  Stems that clean texts know too are doubtful: one hit says little, so a
+last counter adds the doubtful hits of all clauses, less what a clean text of this length has,
+and the probability of each level is learned.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchspark.llm.samples import held_out, sample_keys
@@ -29,13 +32,18 @@ from vouchspark.llm.worker import Memo
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
 NEGATED, REPORTED, AIMED, INTENDED = 1, 2, 4, 8
 CUT = 0.7
-#: Bounds of what is learned: labelled rows, and words that reach the driver.
-SAMPLE_ROWS, MAX_TERMS = 8000, 5000
+#: Bound of what is learned from: labelled rows.
+SAMPLE_ROWS = 8000
 SEED = 11
+#: Insults below this probability are doubtful.
+SURE_P = 0.75
 #: A term needs so many rows, this purity, and a log-likelihood ratio against independence that
 #: lets through so many wrong terms, in expectation, among all that are tested.
 LEAST_ROWS, LEAST_PURITY, WRONG_TERMS = 5, 0.95, 0.05
-STEMS = (4, 5, 6, 7)
+STEMS = (5, 6, 7)
+#: A stem of this purity and below ``LEAST_PURITY`` is doubtful; hits in excess of the usual, as
+#: levels, with their probabilities before any evidence.
+DOUBTFUL_PURITY, LEVELS = 0.3, (0.0, 0.1, 0.5, 0.8, 0.9)
 SEED_P, SEED_ROWS, PATH_ROWS = 0.85, 4.0, 4.0
 SHORTEST_WORD = 3
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
@@ -51,8 +59,10 @@ SEEDS = {
     NEGATION: "not never no don't isn't aren't nicht kein keine niemals nie pas jamais no nunca jamás",
     REPORT: "said says saying called calls wrote writes claimed quoted reported sagte sagt schrieb dit écrit dijo dice escribió",
 }
-#: Factors of paths before any evidence: marks to a share of the plain weight.
+#: Factors of paths before any evidence: marks to a share of the plain weight.  A single insult
+#: aimed at nobody stays below ``CUT`` unless the sample says more.
 PRIOR = {NEGATED: 0.3, REPORTED: 0.4, NEGATED | REPORTED: 0.15}
+PRIOR_LOOSE = 0.8
 
 
 @dataclass(frozen=True)
@@ -114,14 +124,17 @@ class ToxicityModel:
     stems: dict[str, float] = field(default_factory=dict)
     factors: dict[tuple[int, int], float] = field(default_factory=dict)
     base: float = 0.02
+    levels: tuple[float, ...] = LEVELS
+    usual: float = 0.0
     table: dict = field(default_factory=grammar)
 
     def symbol(self, word: str) -> tuple[int, float]:
-        """Class of a lower-cased word and its probability; the longest known stem counts."""
+        """Class of a lower-cased word and its probability; the shortest known stem counts, since
+        most rows speak for it."""
         own = self.words.get(word)
         if own is not None:
             return own
-        for n in sorted(STEMS, reverse=True):
+        for n in STEMS:
             if len(word) >= n and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
         return OTHER, 0.0
@@ -129,8 +142,9 @@ class ToxicityModel:
     def code(self, word: str) -> int:
         return self.symbol(word)[0]
 
-    def paths(self, text: str) -> list[list[tuple[int, int, float]]]:
-        """Per clause with insults or threats: class, marks and word probability of each."""
+    def paths(self, text: str) -> list[list[tuple[int, int, float, bool]]]:
+        """Per clause with insults or threats: class, marks, word probability of each, and
+        whether it rests on a doubtful stem."""
         out, clause = [], []
         for token in [*TOKENS.findall(text.lower()), "\n"]:
             if token in ".!?;:\n":
@@ -141,14 +155,14 @@ class ToxicityModel:
                 clause.append(self.symbol(token))
         return out
 
-    def _read(self, clause: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+    def _read(self, clause: list[tuple[int, float]]) -> list[tuple[int, int, float, bool]]:
         state, found = 0, []
         # Somebody named after the insult is its target as well.
         last = max((i for i, (s, _) in enumerate(clause) if s == TARGET), default=-1)
         for i, (symbol, p) in enumerate(clause):
             state, marks = self.table[state, symbol]
             if symbol in (INSULT, THREAT):
-                found.append((symbol, marks | (AIMED if last > i else 0), p))
+                found.append((symbol, marks | (AIMED if last > i else 0), p, p < SURE_P))
         return found
 
     def factor(self, symbol: int, marks: int) -> float:
@@ -157,8 +171,13 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         clear = 1.0 - self.base
         if text and self.has_hit(text):
+            doubt = 0.0
             for clause in self.paths(text):
-                clear *= 1.0 - max(p * self.factor(s, m) for s, m, p in clause)
+                sure = [p * self.factor(s, m) for s, m, p, d in clause if not d]
+                clear *= 1.0 - max(sure, default=0.0)
+                doubt += max((share(m) for _, m, _, d in clause if d), default=0.0)
+            if doubt:
+                clear *= 1.0 - self.levels[level(doubt, self.usual * len(WORD.findall(text)))]
         return float(min(1.0, max(0.0, 1.0 - clear)))
 
     def has_hit(self, text: str) -> bool:
@@ -168,12 +187,21 @@ class ToxicityModel:
         return INSULT in seen or THREAT in seen
 
 
+def share(marks: int) -> float:
+    """What negation and reported speech leave of a hit."""
+    return PRIOR.get(marks & (NEGATED | REPORTED), 1.0)
+
+
+def level(hits: float, usual: float) -> int:
+    """Whole doubtful hits beyond those that a clean text of the same length has."""
+    return int(min(max(hits - usual, 0.0), len(LEVELS) - 1))
+
+
 def prior_factor(symbol: int, marks: int) -> float:
-    share = PRIOR.get(marks & (NEGATED | REPORTED), 1.0)
     if symbol == THREAT:
         # A verb of violence alone says little; aimed and intended it is a threat.
-        share *= {0: 0.2, AIMED: 0.5, INTENDED: 0.5}.get(marks & (AIMED | INTENDED), 1.0)
-    return share
+        return share(marks) * {0: 0.2, AIMED: 0.5, INTENDED: 0.5}.get(marks & (AIMED | INTENDED), 1.0)
+    return share(marks) * (1.0 if marks & AIMED else PRIOR_LOOSE)
 
 
 def seeded() -> ToxicityModel:
@@ -183,16 +211,21 @@ def seeded() -> ToxicityModel:
 
 
 def _document_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct words and stems of each sampled text, with a key that near copies share (the
-    smallest hash of its five-word runs)."""
+    """Distinct words and stems of each sampled text, a stem with the first and last of its words,
+    and a key that near copies share (the smallest hash of its five-word runs)."""
     for frame in frames:
         keys, terms = [], []
         for text in frame["text"]:
             words = WORD.findall((text or "").lower())
             runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
             keys.append(min(xxhash.xxh3_64_intdigest(r) >> 1 for r in runs))
-            distinct = {w for w in words if len(w) >= SHORTEST_WORD}
-            terms.append(sorted(distinct | {w[:n] + "*" for w in distinct for n in STEMS if len(w) >= n}))
+            found: dict[str, list[str]] = {}
+            for w in sorted({w for w in words if len(w) >= SHORTEST_WORD}):
+                found[w] = [w, w]
+                for n in STEMS:
+                    if len(w) >= n:
+                        found.setdefault(w[:n] + "*", [w, w])[1] = w
+            terms.append([{"term": t, "lo": lo, "hi": hi} for t, (lo, hi) in sorted(found.items())])
         yield pd.DataFrame({"key": keys, "toxic": frame["toxic"].to_numpy(), "terms": terms})
 
 
@@ -203,35 +236,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> ToxicityModel:
-    """Learn insult words, their stems and the factors of paths.
+    """Learn insult words, their stems, the factors of paths and the levels of doubtful hits.
 
     Of near copies in the sample one counts, so that a copied toxic text does not make all its
-    words toxic.  Terms are counted by Spark; those that pass the likelihood ratio, at most
-    ``MAX_TERMS``, reach the driver.  Rows with a NULL label or text teach nothing.  Reads the
-    sample twice.
+    words toxic.  Terms are counted and tested by Spark; those that pass the likelihood ratio
+    reach the driver, all of them: the sample bounds their number.  A stem needs two words that
+    carry it; a word with a doubtful stem is judged by that.  Rows with a NULL label or text
+    teach nothing; a label that repeats counts once.  Reads the sample twice.
     """
     model = seeded()
     sample = labelled_sample(docs, labels, rows, seed).filter(F.col("text").isNotNull())
-    each = sample.mapInPandas(_document_terms, "key long, toxic int, terms array<string>")
+    each = sample.mapInPandas(_document_terms, "key long, toxic int, terms array<struct<term: string, lo: string, hi: string>>")
     one = each.groupBy("key").agg(F.min_by(F.struct("toxic", "terms"), F.struct("toxic", F.size("terms"))).alias("d"))
+    everything = F.array(F.struct(*[F.lit("").alias(c) for c in ("term", "lo", "hi")]))
     counted = stored(
-        one.select("d.toxic", F.explode(F.concat("d.terms", F.array(F.lit("")))).alias("term"))
-        .groupBy("term").agg(F.sum("toxic").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
+        one.select("d.toxic", F.explode(F.concat("d.terms", everything)).alias("t")).groupBy("t.term")
+        .agg(F.sum("toxic").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"), F.min("t.lo").alias("lo"), F.max("t.hi").alias("hi"))
         .filter((F.col("n") >= LEAST_ROWS) | F.col("term").isin("", *SEEDS[INSULT].split())),
         "terms",
     )
     every = counted.filter(F.col("term") == "").first()
     if every is None:
         return model
-    n, bad, least = every["n"], every["bad"], 2 * np.log(counted.count() / WRONG_TERMS)
-    pure = counted.filter((F.col("term") != "") & (F.col("n") >= LEAST_ROWS) & ((F.col("bad") + 0.1) / (F.col("n") + 0.2) >= LEAST_PURITY))
-    for r in pure.orderBy(F.desc("bad"), "term").limit(MAX_TERMS).collect():
-        p = (r["bad"] + 0.1) / (r["n"] + 0.2)
-        if _ratio(r["bad"], r["n"], bad, n) >= least:
-            if r["term"].endswith("*"):
-                model.stems[r["term"][:-1]] = p
-            elif model.words.get(r["term"], (INSULT,))[0] == INSULT:
-                model.words[r["term"]] = (INSULT, p)
+    least = 2 * float(np.log(counted.count() / WRONG_TERMS))
+    tested = counted.withColumn("p", (F.col("bad") + 0.1) / (F.col("n") + 0.2)).filter((F.col("term") != "") & (F.col("n") >= LEAST_ROWS))
+    stem = F.col("term").endswith("*")
+    pure = tested.filter(F.when(stem, (F.col("lo") != F.col("hi")) & (F.col("p") >= DOUBTFUL_PURITY)).otherwise(F.col("p") >= LEAST_PURITY))
+    found = {r["term"]: r["p"] for r in pure.filter(_ratio(F.col("bad"), F.col("n"), every["bad"], every["n"]) >= least).collect()}
+    # Between doubtful and pure enough a stem stays doubtful.
+    model.stems = {t[:-1]: p if p >= LEAST_PURITY else min(p, SURE_P - 0.01) for t, p in found.items() if t.endswith("*")}
+    for term, p in found.items():
+        if not term.endswith("*") and model.words.get(term, (INSULT,))[0] == INSULT and not 0 < model.symbol(term)[1] < SURE_P:
+            model.words[term] = (INSULT, p)
     _temper_seeds(model, counted.filter(F.col("term").isin(SEEDS[INSULT].split())).collect())
     return _learn_paths(model, sample)
 
@@ -243,42 +279,55 @@ def _temper_seeds(model: ToxicityModel, counts: list) -> None:
             model.words[r["term"]] = (INSULT, (r["bad"] + SEED_ROWS * SEED_P) / (r["n"] + SEED_ROWS))
 
 
-def _ratio(k: float, n: float, bad: float, total: float) -> float:
+def _ratio(k: Column, n: Column, bad: float, total: float) -> Column:
     """Log-likelihood ratio of a term's rows against the rest."""
 
-    def loss(a: float, b: float) -> float:
-        return sum(x * np.log(x / (a + b)) for x in (a, b) if x > 0)
+    def loss(a: Column, b: Column) -> Column:
+        one = lambda x: F.when(x > 0, x * F.log(x / (a + b))).otherwise(0.0)
+        return one(a) + one(b)
 
-    return 2 * (loss(k, n - k) + loss(bad - k, total - n - bad + k) - loss(bad, total - bad))
+    toxic, clean = F.lit(bad), F.lit(total - bad)
+    return 2 * (loss(k, n - k) + loss(toxic - k, clean - n + k) - loss(toxic, clean))
 
 
 def _learn_paths(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
-    """Share of toxic rows among those whose strongest path is of a kind, against its prior."""
+    """Share of toxic rows among those whose strongest path is of a kind, against its prior, and
+    among those without a sure path by their level of doubtful hits.  One narrow row per sampled
+    text reaches the driver."""
 
     def strongest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                paths = [x for clause in model.paths(text) for x in clause]
-                s, m, p = max(paths, key=lambda x: x[2] * prior_factor(x[0], x[1]), default=(OTHER, 0, 0.0))
-                rows.append((s, m, p, int(toxic)))
-            yield pd.DataFrame(rows, columns=["symbol", "marks", "p", "toxic"])
-
-    kinds = sample.mapInPandas(strongest, "symbol int, marks int, p double, toxic int").groupBy("symbol", "marks")
-    for r in kinds.agg(F.sum("toxic").alias("bad"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")).collect():
-        if r["symbol"] == OTHER:
-            model.base = min(0.5, (r["bad"] + 0.02) / (r["n"] + 1.0))
-        else:
-            prior = prior_factor(r["symbol"], r["marks"])
-            model.factors[r["symbol"], r["marks"]] = min(1.0, (r["bad"] + PATH_ROWS * prior) / (r["p"] + PATH_ROWS))
+                clauses = model.paths(text)
+                sure = [x[:3] for clause in clauses for x in clause if not x[3]]
+                s, m, p = max(sure, key=lambda x: x[2] * prior_factor(x[0], x[1]), default=(OTHER, 0, 0.0))
+                doubt = sum(max((share(x[1]) for x in clause if x[3]), default=0.0) for clause in clauses)
+                rows.append((s, m, p, doubt, len(WORD.findall(text)), int(toxic)))
+            yield pd.DataFrame(rows, columns=["symbol", "marks", "p", "doubt", "words", "toxic"])
+
+    seen = sample.mapInPandas(strongest, "symbol int, marks int, p double, doubt double, words long, toxic int").toPandas()
+    for (symbol, marks), rows in seen[seen["symbol"] != OTHER].groupby(["symbol", "marks"]):
+        prior = prior_factor(symbol, marks)
+        model.factors[int(symbol), int(marks)] = min(1.0, float(rows["toxic"].sum() + PATH_ROWS * prior) / float(rows["p"].sum() + PATH_ROWS))
+    rest = seen[seen["symbol"] == OTHER]
+    clean = seen[seen["toxic"] == 0]
+    model.usual = float(clean["doubt"].sum() / max(1, clean["words"].sum()))
+    levels = np.array([level(d, model.usual * w) if d else -1 for d, w in zip(rest["doubt"], rest["words"], strict=True)], dtype=int)
+    toxic = rest["toxic"].to_numpy()
+    none = toxic[levels <= 0]
+    model.base = min(0.5, float(none.sum() + 0.02) / (len(none) + 1.0))
+    shares = [(toxic[levels == k].sum() + PATH_ROWS * prior) / ((levels == k).sum() + PATH_ROWS) for k, prior in enumerate(LEVELS)]
+    # More hits never count for less.
+    model.levels = (0.0, *np.maximum.accumulate(shares[1:]).tolist())
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of ``docs`` with ``toxicity`` (0 to 1).  Reads ``text`` alone.
 
-    A NULL or empty text, and one without an insult or a threat, has the base score.  An
-    existing column of this name is replaced.  No shuffle.
+    A NULL or empty text, and one without an insult or a threat, has the base score.  A text is
+    read whole, whatever its length; rows that repeat are scored alike.  An existing column of this name is replaced.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
