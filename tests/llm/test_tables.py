@@ -59,6 +59,21 @@ def test_the_order_of_rules_never_changes_verdicts(spark, monkeypatch):
     assert quality.judged(df.limit(0)).count() == 0
 
 
+def test_rules_change_places_by_cost_and_selectivity(spark):
+    rows = spark.createDataFrame([(i, ("good words " if i % 2 else "bad! ") * 300) for i in range(400)], "doc_id long, text string").cache()
+    cheap, dear = F.length("text") < 0, F.length(F.regexp_replace("text", r"(\w+) (?=\w)", "$1")) < 0
+    half = F.col("text").startswith("bad")
+    order = lambda of: quality.cascade_order(rows, of)
+    # Idle rules go by cost, whatever their order; a selective rule overtakes an idle one, dear or not.
+    assert order({"dear": dear, "cheap": cheap}) == ["cheap", "dear"] == order({"cheap": cheap, "dear": dear})
+    assert order({"idle": dear, "hits": half}) == ["hits", "idle"]
+    assert order({"cheap": cheap & ~half, "dear hits": dear | half})[0] == "dear hits"
+    assert order({"hits": half, "dear hits": dear | half}) == ["hits", "dear hits"] == order({"dear hits": dear | half, "hits": half})
+    cost = quality.measured(rows, {"hits": half, "idle": cheap})
+    assert cost["hits"][1] > 0.49 and 0 < cost["idle"][1] < 0.01
+    assert quality.cascade_order(rows.limit(0), {"a": cheap, "b": dear}) == ["a", "b"]
+
+
 def fill(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + ([None] if None in sizes else [])
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -310,3 +325,23 @@ def test_repair_over_segments(spark):
         assert paid == (cheapest(codes, costs) if len(codes) < 40 else (machine.matrix(codes)[chat.START] + machine.ends).min())
         assert [t for r in taken if (t := r["rendered"].removeprefix(f"<|{r['role']}|>\n")) is not None] == [f"{r[3] or ''}\n" for r in own]
     assert chat.repaired_turns(df.limit(0)).count() == 0
+
+
+def test_rows_of_long_ties_keep_one_order(spark):
+    rng = random.Random(8)
+    roles = ["user", "assistant", "system", "tool", None]
+    rows = [(c, None if c == 1 else 7, rng.choice(roles), f"{c}-{i}") for c in (1, 2) for i in range(3000)] + [(c, 0, "user", "x") for c in range(3, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat.repaired_turns(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({(r["conv_id"], r["place"], r["part"]) for r in got}) == len(got)
+    for conv in (1, 2):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[2] is not None, r[2] or "", r[3]))
+        out = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: (r["place"], r["part"]))
+        assert legal([chat.ROLES.index(r["role"]) + 1 for r in out if r["action"] != "merge"])
+        taken = [r for r in out if r["action"] != "insert"]
+        assert [r["place"] for r in taken] == list(range(3000))
+        assert [r["rendered"].removeprefix(f"<|{r['role']}|>\n") for r in taken] == [f"{r[3]}\n" for r in own]

@@ -123,7 +123,7 @@ def role_code(role: str | None) -> int:
 
 #: Stand for a NULL conversation and a NULL turn inside the jobs; sorted first and last.
 NO_CONVERSATION, NO_TURN = -(1 << 63), (1 << 63) - 1
-OUTPUT = "conv_id long, turn long, part int, role string, action string, rendered string"
+OUTPUT = "conv_id long, turn long, place long, part int, role string, action string, rendered string"
 BATCH_ROWS = 8192
 
 
@@ -173,7 +173,8 @@ def _state_rows(machine: Repair, steps: list[np.ndarray]) -> list[tuple[int, int
 
 
 def segment_states(turns: DataFrame, machine: Repair) -> DataFrame:
-    """``conv_id``, ``segment``, ``first``, ``last`` (states around it), ``final``.
+    """``conv_id``, ``segment``, ``first``, ``last`` (states around it), ``final``, ``before`` (rows
+    of the conversation in earlier segments).
 
     Only the first and the last conversation of a segment can go on in another one, so at most
     two rows per partition are chained; all others are settled where they lie."""
@@ -186,7 +187,7 @@ def segment_states(turns: DataFrame, machine: Repair) -> DataFrame:
             if edge and out:
                 out[-1][5] = True
             (first, last, final), = _state_rows(machine, [m])
-            out.append([run["conv_id"][0], run["segment"][0], first, last, final, edge, m.ravel().tolist()])
+            out.append([run["conv_id"][0], run["segment"][0], first, last, final, edge, m.ravel().tolist(), len(run["role"])])
             if len(out) > BATCH_ROWS:
                 yield _frame(out[:-1])
                 out = out[-1:]
@@ -195,29 +196,32 @@ def segment_states(turns: DataFrame, machine: Repair) -> DataFrame:
         yield _frame(out)
 
     def _frame(rows: list[list]) -> pd.DataFrame:
-        rows = [[*r[:6], r[6] if r[5] else None] for r in rows]
-        return pd.DataFrame(rows, columns=["conv_id", "segment", "first", "last", "final", "edge", "costs"])
+        rows = [[*r[:5], 0, r[5], r[6] if r[5] else None, r[7]] for r in rows]
+        return pd.DataFrame(rows, columns=["conv_id", "segment", "first", "last", "final", "before", "edge", "costs", "rows"])
 
     def chained(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("segment", ignore_index=True)
         states = _state_rows(machine, [np.array(c).reshape(4, 4) for c in rows["costs"]])
-        return rows[["conv_id", "segment"]].assign(**dict(zip(("first", "last", "final"), zip(*states, strict=True), strict=True)))
+        told = rows[["conv_id", "segment"]].assign(**dict(zip(("first", "last", "final"), zip(*states, strict=True), strict=True)))
+        return told.assign(before=rows["rows"].cumsum() - rows["rows"])
 
-    shape = "conv_id long, segment int, first int, last int, final boolean"
-    each = stored(_in_segments(turns.drop("text")).mapInPandas(summed, f"{shape}, edge boolean, costs array<double>"), "matrices")
+    shape = "conv_id long, segment int, first int, last int, final boolean, before long"
+    each = stored(_in_segments(turns.drop("text")).mapInPandas(summed, f"{shape}, edge boolean, costs array<double>, rows long"), "matrices")
     edges = each.filter("edge").groupBy("conv_id").applyInPandas(chained, shape)
-    return each.filter("not edge").drop("edge", "costs").unionByName(edges)
+    return each.filter("not edge").drop("edge", "costs", "rows").unionByName(edges)
 
 
 def repaired_turns(conversations: DataFrame, costs: Costs = Costs(), template: str = TEMPLATE) -> DataFrame:
     """Repaired and rendered turns of all conversations (``conv_id``, ``turn``, ``role``, ``text``).
 
     One row per recorded turn and one per inserted turn: ``conv_id``, ``turn`` (of the record; an
-    inserted turn has that of the turn it stands before, or of the last turn), ``part`` (order
-    among the rows of a turn), ``role``, ``action`` (``keep``, ``relabel``, ``merge``, ``insert``)
+    inserted turn has that of the turn it stands before, or of the last turn), ``place`` (number
+    of that recorded row in its whole conversation, from 0), ``part`` (rises within a place),
+    ``role``, ``action`` (``keep``, ``relabel``, ``merge``, ``insert``)
     and ``rendered``, the text of the row in the template.  The rendered rows of a conversation,
-    put together in order of ``turn`` and ``part``, are its legal sequence: a merged row goes on
-    inside the turn before it.
+    put together in order of ``place`` and ``part``, which name a row, are its legal sequence: a
+    merged row goes on inside the turn before it.  ``place`` runs through however many tasks a
+    conversation is cut into, so turns of equal number have one order too.
 
     A NULL or unknown role is free to take user or assistant; a NULL text is empty; a NULL turn
     comes last; rows with a NULL ``conv_id`` form one conversation; turns of equal number go by
@@ -229,26 +233,26 @@ def repaired_turns(conversations: DataFrame, costs: Costs = Costs(), template: s
 
     def rendered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        names = ["conv_id", "turn", "part", "role", "action", "rendered"]
+        names = ["conv_id", "turn", "place", "part", "role", "action", "rendered"]
         before: tuple | None = None
         for run in _runs(frames):
             conv = run["conv_id"][0]
             path = machine.path([role_code(r) for r in run["role"]], run["first"][0], run["last"][0])
             empty = lambda role: template.format(role=ROLES[role - 1], text="")
             part = 0
-            for turn, text, (to, inserted, action) in zip(run["turn"], run["text"], path, strict=True):
+            for place, (turn, text, (to, inserted, action)) in enumerate(zip(run["turn"], run["text"], path, strict=True), run["before"][0]):
                 # Rows that share a turn number are numbered through, in every segment from its own start.
                 part = part if before == (conv, turn) else 0
                 before = (conv, turn)
                 for role in inserted:
-                    out.append((conv, turn, part, ROLES[role - 1], "insert", empty(role)))
+                    out.append((conv, turn, place, part, ROLES[role - 1], "insert", empty(role)))
                     part += 1
                 text = text or ""
-                out.append((conv, turn, part, ROLES[to - 1], action, f"{text}\n" if action == "merge" else template.format(role=ROLES[to - 1], text=text)))
+                out.append((conv, turn, place, part, ROLES[to - 1], action, f"{text}\n" if action == "merge" else template.format(role=ROLES[to - 1], text=text)))
                 part += 1
             if run["final"][0]:
                 for role in machine.fill[run["last"][0], START][1]:
-                    out.append((conv, turn, part, ROLES[role - 1], "insert", empty(role)))
+                    out.append((conv, turn, place, part, ROLES[role - 1], "insert", empty(role)))
                     part += 1
             if len(out) > BATCH_ROWS:
                 yield pd.DataFrame(out, columns=names)
