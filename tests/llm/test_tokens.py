@@ -1,5 +1,6 @@
 """Token files and packing: exact round trips, edge rows."""
 
+import random
 import zlib
 from array import array
 
@@ -39,6 +40,19 @@ def test_units_give_the_library_s_ids(path, bare):
     assert enc.encode(TEXTS[5]) == array("I", ids(path, TEXTS[5])).tobytes()
 
 
+@pytest.mark.parametrize(("path", "bare"), [(BYTE, False), (WORD, True)])
+def test_cut_units_give_the_library_s_ids(path, bare):
+    enc, rng = bpe.UnitEncoder(path, bare), random.Random(2)
+    assert enc.cuts
+    letters = "ab \n\tZé.ß,'!<|>$#_Σσ́ İ1語 ×ẞ$"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts += ["x<|endoftext|>", "x<|endoftext|>,", "<|startoftext|> a.", "it's, don't' we'll!", "\nword.", "\n Word", "\r\nword#", "été... Straße''s'", "x İ$$ İ."]
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    for text in texts:
+        assert enc.encode(text) == array("I", tok.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
 def test_token_files_round_trip(spark):
     docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     folder = shared_folder(spark, "test")

@@ -21,8 +21,11 @@ SPACED_UNITS = re.compile(rf"{_BLANK}+(?={_BLANK}{_TEXT})|{_BLANK}?{_TEXT}+|{_BL
 BARE_UNITS = re.compile(rf"{_TEXT}+")
 UNIT_LIMIT = 500_000
 LONG_UNIT = 48
-#: Marks that are a token of their own behind an ASCII letter, in every vocabulary used here.
-_MARKS = frozenset(".,;:!?")
+#: A run of ASCII marks behind a Latin letter is a piece of its own, and so is a line feed before a
+#: word; ``>`` may end the name of a special token, which some pre-tokenizers keep whole.
+_MARKS = "!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~"
+_LAST_LATIN = "\u024f"
+_CUTS = (("word", "."), ("word", ",&&&"), ("word", "'"), ("Stra\u00dfe", "###"), ("\u00e9t\u00e9", "?!"), ("x", "*"), ("\n", "word"), ("\n", "\u00e9t\u00e9"))
 #: Byte-level vocabularies write printable bytes as themselves and the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -35,7 +38,8 @@ class UnitEncoder:
     ``drops_blanks`` says that the vocabulary ignores white space and lower-cases.  Strings of
     special tokens inside a text are ordinary text.  A unit of letters alone is one piece to the
     pre-tokenizer, so it goes straight to the merges of the model, in the model's byte writing;
-    that this gives the same ids is tried on a few words when the vocabulary is loaded.
+    that this gives the same ids is tried on a few words when the vocabulary is loaded, and so is
+    cutting marks off a word.
     """
 
     def __init__(self, path: str, drops_blanks: bool):
@@ -47,6 +51,7 @@ class UnitEncoder:
         self.merge, self.straight = self.tokenizer.model.tokenize, True
         tried = _PROBES if drops_blanks else (*_PROBES, *(" " + w for w in _PROBES))
         self.straight = all(self._letters(u) == self._encode(u) for u in tried)
+        self.cuts = all(self._encode(a + b) == self._encode(a) + self._encode(b) for a, b in _CUTS if not (self.bare and a == "\n"))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -73,14 +78,21 @@ class UnitEncoder:
         """Ids of a unit met for the first time, or again after a while; long ones are not kept."""
         ids = self.older.get(unit)
         if ids is None:
-            if unit[-1] in _MARKS and unit[-2:-1].isalpha() and unit.isascii():
-                ids = self._get(unit[:-1]) + self._get(unit[-1])
-            else:
-                ids = (self._letters(unit) if self.straight else None) or self._encode(unit)
+            ids = (self._cut(unit) if self.cuts else None) or (self._letters(unit) if self.straight else None) or self._encode(unit)
         if len(unit) <= LONG_UNIT:
             self.known[unit] = ids
         return ids
 
+    def _cut(self, unit: str) -> bytes | None:
+        """Ids of a word and of what is sure to be a piece of its own beside it."""
+        if unit[0] == "\n" and unit[1:].isalpha() and not self.bare:
+            return self._get("\n") + self._get(unit[1:])
+        word = unit.rstrip(_MARKS)
+        # A dotted capital becomes a letter and a mark in lower case.
+        if len(word) < len(unit) and word and word[-1] <= _LAST_LATIN and word[-1].lower().isalpha():
+            return self._get(word) + self._get(unit[len(word) :])
+        return None
+
     def _get(self, unit: str) -> bytes:
         return self.known.get(unit) or self._new(unit)
 
@@ -89,12 +101,11 @@ class UnitEncoder:
             return b""
         if len(self.known) >= UNIT_LIMIT:  # what is asked for again moves over, the rest goes next time
             self.known, self.older = {}, self.known
-        units, known = self.units.findall(text), self.known
-        new = {u for u in units if u not in known}
-        if not new:
-            return b"".join(map(known.__getitem__, units))
-        ids = {u: self._new(u) for u in new}
-        return b"".join([ids[u] if u in ids else known[u] for u in units])
+        units = self.units.findall(text)
+        ids = list(map(self.known.get, units))
+        if None in ids:
+            ids = [self._get(u) if known is None else known for u, known in zip(units, ids, strict=True)]
+        return b"".join(ids)
 
 
 def encoder(path: str, drops_blanks: bool) -> UnitEncoder:
