@@ -83,6 +83,18 @@ def test_hot_key_join_equals_plain_join(spark):
     assert left(scaling.salted_join(big, unique, "k", "left", ["id"])) == left(big.join(unique, "k", "left"))
 
 
+def test_repeated_rows_of_a_salted_join_count_for_a_broadcast(spark):
+    """Rows that fit a broadcast once but not ``salts`` times are not sent through the driver."""
+    big, unique = spark.range(1_000_000).select((F.col("id") % 1000).alias("k"), "id"), spark.range(1000).select(F.col("id").alias("k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = scaling.salted_join(big, unique, "k", "left", ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_running_sums_and_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit(2).alias("w")).repartition(6)
     found = sorted(tuple(r) for r in scaling.running_sums(df, [F.col("x").asc()], {"total": "w"}).select("x", "total").collect())
