@@ -1,6 +1,10 @@
 """Stored index in blocks: bounds, skipped blocks, batches and compaction."""
 
+from pathlib import Path
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +88,28 @@ def test_reach_bounds_every_score():
     scorer.feed(np.arange(3), np.array(["x", "y", "z"]), np.array([1, 1, 1]), dls, codes, places, tfs)
     for query, best in scorer.frame().groupby("query_id")["score"].min().items():
         assert -best <= reach[0]["abc".index(query)] + S.MARGIN
+
+
+def test_words_of_texts_are_not_stored_as_rows(spark, tmp_path, monkeypatch):
+    """The placed texts are written in columns, and go once the batch is whole."""
+    kept, checkpoint = [], S.reliable_checkpoint
+    monkeypatch.setattr(S, "reliable_checkpoint", lambda df: kept.append(df.columns) or checkpoint(df))
+    chunks = spark.createDataFrame([(f"c{i}", 1, "one two two") for i in range(20)], "chunk_id string, corpus_version long, text string")
+    R.write_index(R.build_index(chunks, stem=True), str(tmp_path), buckets=2)
+    assert kept and not any("tokens" in columns for columns in kept)
+    assert not (Path(tmp_path) / "placed").exists()
+
+
+def test_reach_is_taken_for_a_few_blocks_at_once():
+    """However many blocks Spark puts into one frame."""
+    frame = pd.DataFrame({"block": np.arange(5000), "codes": [np.array([1])] * 5000, "peaks": [np.array([1.0])] * 5000})
+    sizes = []
+
+    def reach(codes, peaks):
+        sizes.append(len(codes))
+        return np.ones((len(codes), 3))
+
+    sent = SimpleNamespace(value=SimpleNamespace(query_ids=np.arange(3), reach=reach))
+    local = SimpleNamespace(mapInPandas=lambda run, schema: pd.concat(run(iter([frame]))))
+    found = S.survivors(local, sent, np.zeros(3))
+    assert max(sizes) <= 1000 and found["block"].tolist() == list(range(5000))
