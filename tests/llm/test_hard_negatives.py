@@ -52,6 +52,10 @@ def test_products_are_exact(data):
     assert got.tolist() == want
 
 
+def test_components_wider_than_their_products():
+    assert H.scores(np.array([[0]], dtype=object), np.array([[0], [256]], dtype=object)).tolist() == [[0, 0]]
+
+
 def test_fields_do_not_touch():
     # The largest sums that a field must hold, side by side with empty ones.
     a = np.full((2, 64), 256)

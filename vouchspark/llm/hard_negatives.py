@@ -114,7 +114,7 @@ def _double_products(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
 
 def _wide_products(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """The same with one Python integer per component that holds a field for every row of ``b``."""
-    size = -(-width // 8)
+    size = -(-max(width, int(b.max()).bit_length()) // 8)  # a field holds its component too, where all of ``a`` is zero
     packed = [int.from_bytes(b"".join(int(c).to_bytes(size, "little") for c in column), "little") for column in b.T]
     out = np.empty((len(a), len(b)), dtype=object)
     for i, anchor in enumerate(a):
