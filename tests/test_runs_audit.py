@@ -135,3 +135,13 @@ def test_range_ends_compare_as_text(spark):
     runs = spark.createDataFrame([(1, "2026-05-31T10:00:00.000Z"), (2, "2026-05-30T10:00:00.000Z")], "run_id long, started_at string")
     kept = AT.between_text(runs, "started_at", "2026-05-30", "2026-05-31")
     assert [r.run_id for r in kept.collect()] == [2]
+
+
+def test_growing_keys_are_not_sent_through_the_driver(spark):
+    """Checks and salted inner joins shuffle both sides, however small Spark takes them to be."""
+    runs, paths = spark.range(50).withColumnRenamed("id", "run_id"), spark.range(50).select(F.col("id").cast("string").alias("path"), F.lit("h").alias("sha256"))
+    evidence = paths.select(F.col("path").alias("evidence_id"), F.col("path").alias("source_path"), "sha256")
+    big = spark.range(1000).select((F.col("id") % 50).alias("run_id"), "id")
+    for found in (U.check_i1(paths, paths), U.check_i2(runs, runs), U.check_i4(evidence, paths), scaling.salted_join(big, runs, "run_id", "inner", ["id"])):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() in (50, 1000)

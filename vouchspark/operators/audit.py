@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchspark.operators.scaling import salted_join
+from vouchspark.operators.scaling import salted_join, unsent
 from vouchspark.operators.runs import gate_schema, retrieval_rows, trace_version
 from vouchspark.sources.corpus_source import all_files, file_hashes
 
@@ -83,7 +83,7 @@ def _checked(df: DataFrame, name: str, item: Column, failed: Column, detail: Col
 
 def check_i1(listed: DataFrame, found: DataFrame) -> DataFrame:
     """Every listed file is there and has the recorded hash."""
-    joined = listed.join(found.select("path", F.col("sha256").alias("actual")), "path", "left")
+    joined = listed.join(unsent(found.select("path", F.col("sha256").alias("actual"))), "path", "left")
     gone = F.col("actual").isNull()
     detail = F.when(gone, F.concat("path", F.lit(": not in bundle"))).otherwise(F.concat("path", F.lit(": hash mismatch")))
     return _checked(joined, "I1", F.col("path"), gone | (F.col("actual") != F.col("sha256")), detail)
@@ -92,7 +92,7 @@ def check_i1(listed: DataFrame, found: DataFrame) -> DataFrame:
 def check_i2(runs: DataFrame, traces: DataFrame) -> DataFrame:
     """Every run has a trace."""
     held = traces.select("run_id", F.lit(True).alias("held")).distinct()
-    joined = runs.select("run_id").join(held, "run_id", "left")
+    joined = runs.select("run_id").join(unsent(held), "run_id", "left")
     return _checked(joined, "I2", F.col("run_id"), F.col("held").isNull(), F.concat(F.lit("run "), F.col("run_id").cast("string"), F.lit(": trace missing")))
 
 
@@ -107,7 +107,7 @@ def check_i3(traces: DataFrame, evidence: DataFrame) -> DataFrame:
 def check_i4(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """Evidence hash equals its source where the source is still there."""
     source = files.select(F.col("path").alias("source_path"), F.col("sha256").alias("actual"))
-    joined = evidence.select("evidence_id", "source_path", "sha256").join(source, "source_path", "left")
+    joined = evidence.select("evidence_id", "source_path", "sha256").join(unsent(source), "source_path", "left")
     gone = F.col("actual").isNull()
     return _checked(joined, "I4", F.col("evidence_id"), F.col("actual") != F.col("sha256"), F.concat("evidence_id", F.lit(": sha256 differs")), gone)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vouchspark.operators import approvals as A
+from vouchspark.operators.scaling import unsent
 from vouchspark.streaming.tables import arrival_order, own_time, read_table, run_batches, write_batch
 
 DECISION = "decision_id long, approval_id long, decision string, decided_by string, decided_at string, note string"
@@ -21,7 +22,7 @@ ATTEMPT = "attempt_id long, approval_id long, ok boolean, at string, at_time tim
 
 def decision_batch(batch: DataFrame, number: int, root: str, proposals: DataFrame) -> None:
     columns = [c.split()[0] for c in DECISION.split(", ")]
-    touched = batch.select("approval_id").distinct()
+    touched = unsent(batch.select("approval_id").distinct())
     held = read_table(batch.sparkSession, root, "recorded", DECISION, before=number).join(touched, "approval_id", "left_semi")
     before = held.withColumn("decided_at", arrival_order(None, "decided_at")).select(*columns, F.lit(False).alias("is_new"))
     now = batch.withColumn("decided_at", arrival_order(number, "decided_at")).select(*columns, F.lit(True).alias("is_new"))
@@ -55,7 +56,7 @@ def decision_faults(spark: SparkSession, root: str) -> DataFrame:
 
 def attempt_batch(batch: DataFrame, number: int, root: str, max_attempts: int, backoff: int) -> None:
     columns = [c.split()[0] for c in ATTEMPT.split(", ")]
-    touched = batch.select("approval_id").distinct()
+    touched = unsent(batch.select("approval_id").distinct())
     held = read_table(batch.sparkSession, root, "attempts", ATTEMPT, before=number).join(touched, "approval_id", "left_semi")
     before = held.withColumn("at", arrival_order(None, "at")).select(*columns, F.lit(False).alias("is_new"))
     now = batch.withColumn("at", arrival_order(number, "at")).select(*columns, F.lit(True).alias("is_new"))
@@ -63,7 +64,7 @@ def attempt_batch(batch: DataFrame, number: int, root: str, max_attempts: int, b
     write_batch(counted.filter("is_new").drop("is_new").withColumn("at", own_time("at")), root, "attempts", number)
     dead = A.fold_attempts(counted, max_attempts=max_attempts, backoff=backoff).filter(F.col("exec_status") == "dead")
     already = A.fold_attempts(before, max_attempts=max_attempts, backoff=backoff).filter(F.col("exec_status") == "dead")
-    write_batch(dead.join(already.select("approval_id"), "approval_id", "left_anti").select("approval_id", "attempts"), root, "dead_letters", number)
+    write_batch(dead.join(unsent(already.select("approval_id")), "approval_id", "left_anti").select("approval_id", "attempts"), root, "dead_letters", number)
 
 
 def stream_attempts(
