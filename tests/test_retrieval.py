@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vouchspark.functions.text import porter_stem, query_tokens, terms
 from vouchspark.operators import retrieval as R
+from vouchspark.plans import derived as D
 
 
 def ranked_rows(df, *columns):
@@ -201,3 +202,35 @@ def test_dispatcher_embeds_queries_at_their_own_version(spark):
     got = R.retrieve(asked, corpus, limit=5, version_per_query=True).collect()
     assert {(r["query_id"], r["chunk_id"]) for r in got} == {("q1", "a"), ("q2", "a"), ("q2", "b")}
     assert {r["method"] for r in got} == {"hybrid_rrf"} and not any(r["fallback"] for r in got)
+
+
+def test_blocks_grow_before_rows_are_copied_often():
+    """Small blocks while these cost few copies of the other side, then larger ones up to the default."""
+    assert [R._blocks(n, 200, 100_000) for n in (0, 1000, 600_000, 10_000_000)] == [1, 5, 16, 100]
+
+
+def test_nearest_keeps_ties_over_many_batches():
+    rng = np.random.default_rng(3)
+    asked, vectors = rng.integers(0, 3, (40, 4)).astype(float), rng.integers(0, 3, (500, 4)).astype(float)
+    ids = np.array([f"c{i:03d}" for i in rng.permutation(500)], dtype=object)
+    best = R._Nearest(asked, None, 5)
+    for at in range(0, 500, 50):
+        best.feed(ids[at : at + 50], vectors[at : at + 50], None)
+    distance = np.round(np.sqrt(((asked[:, None] - vectors[None]) ** 2).sum(2)), R.DISTANCE_DIGITS)
+    expected = [(q, d, i) for q in range(40) for d, i in sorted(zip(distance[q], ids, strict=True))[:5]]
+    assert [tuple(r) for r in best.frame(np.arange(40))[["query_id", "distance", "chunk_id"]].itertuples(index=False)] == expected
+    # From the second batch on, only vectors that may come in are looked at.
+    assert np.isfinite(best.edge).all()
+
+
+def test_only_asked_words_are_joined_to_their_stems(spark):
+    chunks = spark.createDataFrame([("a", 1, "running runs run"), ("b", 1, "walks walking"), ("c", 1, "other words")], "chunk_id string, corpus_version long, text string")
+    index, asked = R.build_index(chunks, stem=True), spark.createDataFrame([("run",), ("walk",)], "term string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("chunk_id", "dl", "term", "tf").collect())
+    assert rows(index.matching(asked, True)) == rows(index.postings.join(asked, "term", "left_semi")) == [("a", 3, "run", 3), ("b", 2, "walk", 2)]
+
+
+def test_chunks_are_cut_once(spark):
+    """What several steps read is cut from the documents once and stored."""
+    plan = D.stored_ch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "stored-" in plan

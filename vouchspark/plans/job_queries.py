@@ -18,7 +18,7 @@ ASKED = "(SELECT query_id, list_distinct(list(term)) AS t FROM qterms GROUP BY 1
 
 
 def _corpus(spark, sf, versioned: bool = False) -> R.Corpus:
-    chunks = D.ch(spark, sf, versioned=versioned)
+    chunks = D.stored_ch(spark, sf, versioned=versioned)
     return R.Corpus(chunks, D.unversioned(spark, sf), R.build_index(chunks))
 
 

@@ -96,7 +96,7 @@ FROZEN_SQL = """
 @query(f"WITH {FROZEN_SQL} SELECT query_id, chunk_id, score, rank FROM frozen")
 def frozen_replay(spark, sf):
     """Every recorded question asked again at its own corpus version."""
-    return T.replay(_recorded_runs(spark, sf), R.build_index(D.ch(spark, sf, versioned=True)))
+    return T.replay(_recorded_runs(spark, sf), R.build_index(D.stored_ch(spark, sf, versioned=True)))
 
 
 @query(f"""
@@ -106,7 +106,7 @@ def frozen_replay(spark, sf):
     FROM o JOIN n ON n.claim_id = o.query_id""")
 def replay_drift(spark, sf):
     """Frozen against live: methods and chunk sets that differ."""
-    index = R.build_index(D.ch(spark, sf, versioned=True))
+    index = R.build_index(D.stored_ch(spark, sf, versioned=True))
     asked = _recorded_runs(spark, sf)
     old = T.chunk_sets(T.replay(asked, index)).withColumn("method", F.when(F.col("query_id") % 3 == 0, "hybrid_rrf").otherwise("bm25"))
     new = T.chunk_sets(R.bm25_topk(asked, index, 10)).withColumn("method", F.lit("bm25"))
