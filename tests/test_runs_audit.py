@@ -145,3 +145,21 @@ def test_growing_keys_are_not_sent_through_the_driver(spark):
     for found in (U.check_i1(paths, paths), U.check_i2(runs, runs), U.check_i4(evidence, paths), scaling.salted_join(big, runs, "run_id", "inner", ["id"])):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.count() in (50, 1000)
+
+
+def test_new_contents_and_left_salted_joins_stay_off_the_driver(spark):
+    from vouchspark.operators import corpus as C
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 20).cast("string").alias("text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    fresh = C.new_evidence(docs)
+    assert "BroadcastHashJoin" not in plan(fresh) and sorted(r.doc_id for r in fresh.collect()) == list(range(20))
+    joined = scaling.salted_join(docs, fresh.select("doc_id", "sha256"), "doc_id", "left", ["text"])
+    assert "BroadcastHashJoin" not in plan(joined) and joined.count() == 60
+
+
+def test_checks_derive_their_evidence_once(spark):
+    from vouchspark.plans import audit_queries
+
+    checks = audit_queries._all_checks(spark, "/root/testdata/sf0.001")
+    assert all("sha2(" not in c._jdf.queryExecution().executedPlan().toString() for c in checks)
