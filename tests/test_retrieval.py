@@ -234,3 +234,54 @@ def test_chunks_are_cut_once(spark):
     """What several steps read is cut from the documents once and stored."""
     plan = D.stored_ch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "stored-" in plan
+
+
+def _odd_texts(letters, n=200):
+    import random
+
+    rng = random.Random(1)
+    return [None, "", "  ", " a ", "a" * 64, "a" * 65, "a" * 129 + " b"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(n)]
+
+
+def test_coded_chunks_hold_what_the_pattern_finds(spark):
+    from collections import Counter
+
+    from vouchspark.functions.text import terms
+
+    letters = list("ab Z9\t\n\r\f\x0b\x00.é") + ["ß", " ", "中", "–", "İ", "x" * 70]
+    texts = _odd_texts(letters[:11]) + _odd_texts(letters)
+    chunks = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "chunk_id string, corpus_version long, text string").repartition(5)
+    words = ["9", "a", "ab", "b", "z", "e", "be", "ß", "zz"]
+    got = {r.chunk_id: (r.dl, {words[c]: n for c, n in zip(r.codes, r.tfs, strict=True)}) for r in R.coded(chunks, words).collect()}
+    for r in chunks.select("chunk_id", terms(F.col("text")).alias("t")).collect():
+        count = Counter(r.t or [])
+        assert got[r.chunk_id] == (None if r.t is None else len(r.t), {w: count[w] for w in words if count[w]})
+
+
+def test_windows_of_plain_texts_are_those_of_the_pattern(spark):
+    from vouchspark.operators import corpus as C
+
+    texts = _odd_texts([*"ab Z9\t\n\r\f\x0b\x00.é", "ß", " ", "–", "İ", "x" * 70])
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    one = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("headings_path"), F.col("text").alias("body"))
+    for target, overlap in ((200, 25), (7, 3), (1, 0), (10, 0)):
+        for r in docs.filter("text is not null").select(C._word_windows(one, target, overlap).alias("w"), C._plain_windows(target, overlap)("text").alias("p")).collect():
+            assert r.w == r.p
+    assert C._piece_starts("a 中") is None
+
+
+def test_repeated_chunks_count_together(spark):
+    """Rows with one chunk id are one chunk, whether equal or not, and an index analyses its chunks once."""
+    rows = [("a", 1, "red fox"), ("a", 1, "red fox"), ("b", 1, "red dog"), ("b", 1, "dog red"), ("c", 1, "blue")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, corpus_version long, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "dog")], "query_id long, query string")
+    index = R.build_index(chunks)
+    small = R.bm25_topk(asked, index, 5)
+    many = R.bm25_topk(asked, R.build_index(chunks), 5, broadcast_bytes=0)
+    columns = ("query_id", "chunk_id", "rank", "score")
+    assert ranked_rows(small, *columns) == ranked_rows(many, *columns)
+    kept = index.held["rows"]
+    R.bm25_topk(asked.filter("query_id = 2"), index, 5)
+    assert index.held["rows"] is kept
+    merged = R._merged(spark.createDataFrame([("a", 1, 2, [0, 1], [1, 2]), ("a", 1, 2, [1, 3], [4, 1])], "chunk_id string, corpus_version long, dl int, codes array<int>, tfs array<long>"))
+    assert [dict(zip(r.terms, r.tfs, strict=True)) for r in merged.collect()] == [{0: 1, 1: 6, 3: 1}]
