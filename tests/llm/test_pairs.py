@@ -172,3 +172,16 @@ def test_error_bounds_hold():
     bound = vector_dedup.upper_bounds(*vector_dedup.quantised(u), *vector_dedup.quantised(v))
     exact = u @ v.T
     assert (bound >= exact).all() and (bound - exact).max() < 0.12
+
+
+def test_join_sends_small_batches_and_restores_the_setting(spark, monkeypatch):
+    from vouchspark.llm import jaccard_join
+    from vouchspark.llm.worker import BATCH_ROWS
+
+    seen, made = [], jaccard_join.sketches
+    monkeypatch.setattr(jaccard_join, "sketches", lambda *a: seen.append(spark.conf.get(BATCH_ROWS)) or made(*a))
+    before = spark.conf.get(BATCH_ROWS, None)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    found = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect())
+    assert found == [(1, 2, 1), (2, 2, 1), (3, 1, 3)]
+    assert seen == ["1000"] and spark.conf.get(BATCH_ROWS, None) == before

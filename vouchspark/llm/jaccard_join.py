@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vouchspark.llm.graph import components
 from vouchspark.llm.storage import stored
-from vouchspark.llm.worker import word_hashes
+from vouchspark.llm.worker import batches_of, word_hashes
 from vouchspark.operators.scaling import all_salts, fits_broadcast, row_hash_salt
 
 WORDS = 5
@@ -37,6 +37,10 @@ PART = 80
 #: Frequencies for the global order are kept per hash bucket, a table of fixed size.
 COUNT_BITS = 16
 BLOCK_ROWS = 2048
+#: Rows of texts, sketches or pairs of sets that a worker gets at once.
+BATCH_ROWS = 1000
+#: Rows of tiles that are compared at once, at least.
+STEP_ROWS = 10_000
 #: Bits of a bitmap per token of the largest set of its band, at least; tiles carry whole ones.
 LOAD = 4
 THIN = LOAD
@@ -313,6 +317,9 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
         rest = None
         for batch in batches:
             whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if len(whole) < STEP_ROWS:
+                rest = whole
+                continue
             group = _groups(whole)
             cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
             rest = whole.slice(cut).combine_chunks()
@@ -374,9 +381,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest id that links reach, the document itself included.  A text
     without words has no shingles and links with nothing, and so does a row with a NULL id (its
     component is NULL).  Rows that repeat an id are one document to the links: it links where
-    any of its texts does.
+    any of its texts does.  All that runs in Python is stored here, in small batches.
     """
-    docs = docs.select("doc_id", "text")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _components(docs.select("doc_id", "text"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
     known = docs.filter(F.col("doc_id").isNotNull())
     made = stored(sketches(docs, shingle_counts(docs)), "sketches")
     classes = made.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n"))
