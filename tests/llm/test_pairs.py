@@ -111,6 +111,22 @@ def test_bitmaps_never_rule_out_a_link():
         assert jaccard_join.can_link(len(x), len(y), int(np.bitwise_count(m[0] ^ m[1]).sum()))
 
 
+def test_narrow_bitmaps_rule_out_unrelated_sets():
+    rng = np.random.default_rng(1)
+    for n in (80, 250, 900, 4000):
+        x, y = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        x_map, y_map = jaccard_join.bitmap(x, jaccard_join.LOAD), jaccard_join.bitmap(y, jaccard_join.LOAD)
+        # Tiles carry them once per token and row.
+        assert len(x_map) * 8 <= 4 * n
+        assert not jaccard_join.can_link(len(x), len(y), jaccard_join._differing(x_map, y_map))
+
+
+def test_pivots_of_several_orders_meet_at_once(spark):
+    rows = spark.createDataFrame([(1, i, 0, i) for i in (3, 4, 5, 6)], "token long, doc_id long, band int, label long")
+    got = jaccard_join.pivot_pairs(rows, F.struct("doc_id"), F.struct(-F.col("doc_id"))).collect()
+    assert sorted(map(tuple, got)) == [(3, 4), (3, 5), (3, 6), (4, 6), (5, 6)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 6000 + i) for i in range(50)] + [(7, 7)]

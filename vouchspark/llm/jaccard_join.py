@@ -5,13 +5,14 @@ of their first tokens in a global order (prefix filter); the order puts frequent
 Rows that share such a token meet in tiles of one size band and its lower neighbour.  Inside a
 tile every set has a hashed bitmap: the bits in which two bitmaps differ bound the overlap from
 above, and only pairs that can still reach the threshold go on to the exact intersection of
-their sorted arrays.
+their sorted arrays.  A bit of a bitmap is the parity of the tokens that hash to it, so that a
+bit per token tells sets apart where bits that are merely set would all be taken.
 
 Tokens whose documents all share one other token bring no new pair and are left out first.
 Sets that are already connected need not meet again, which keeps groups of near copies from
-growing into all their pairs.  So some rounds first link every row to one pivot per token and
-band: the smallest id, then the set with the most links, then others that differ from round to
-round.  The tiles compare rows of different components only, and a tile with very many rows is
+growing into all their pairs.  So two rounds first link every row to pivots of its token and
+band: to the smallest id, then to the set with the most links and to others that differ from
+token to token.  The tiles compare rows of different components only, and a tile with very many rows is
 cut into blocks: rows outside its largest component meet that component block by block.
 """
 
@@ -42,10 +43,10 @@ BATCH_ROWS = 1000
 #: Rows of tiles that are compared at once, at least.
 STEP_ROWS = 10_000
 #: Bits of a bitmap per token of the largest set of its band, at least; tiles carry whole ones.
-LOAD = 4
+LOAD = 1
 THIN = LOAD
-#: Rounds with pivots that differ from token to token and from round to round.
-MIXED_ROUNDS = 3
+#: Pivots of a token and band that differ from token to token.
+MIXED_PIVOTS = 3
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -87,10 +88,10 @@ def bitmap_bits(band: int, load: int) -> int:
 
 
 def bitmap(hashes: np.ndarray, load: int) -> bytes:
-    """Bitmap as wide as the band above needs; its halves or-ed are the narrower one."""
-    bits = np.zeros(bitmap_bits(_band(len(hashes)) + 1, load), dtype=bool)
-    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Bitmap as wide as the band above needs; the difference of its halves is the narrower one."""
+    width = bitmap_bits(_band(len(hashes)) + 1, load)
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -146,15 +147,15 @@ def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def can_link(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
-    """Each differing bit stands for a token that one set lacks: the overlap is at most half of
-    what the sizes exceed the differing bits by."""
+    """Each bit of differing parity stands for a token that one set lacks: the overlap is at most
+    half of what the sizes exceed the differing bits by."""
     total = n_a + n_b
     return (100 + PART) * (total - differing) >= 2 * PART * total
 
 
 def _differing(x: bytes, y: bytes) -> int:
     words = min(len(x), len(y)) // 8
-    x, y = (np.bitwise_or.reduce(np.frombuffer(m, dtype="<u8").reshape(-1, words), axis=0) for m in (x, y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(m, dtype="<u8").reshape(-1, words), axis=0) for m in (x, y))
     return int(np.bitwise_count(x ^ y).sum())
 
 
@@ -163,7 +164,7 @@ def _matrix(maps: pa.Array, words: int) -> np.ndarray:
     out = np.zeros((len(maps), words), dtype=np.uint64)
     for i, m in enumerate(maps.to_pylist()):
         row = np.frombuffer(m, dtype="<u8")
-        out[i] = np.bitwise_or.reduce(row.reshape(-1, words), axis=0) if len(row) > words else row
+        out[i] = np.bitwise_xor.reduce(row.reshape(-1, words), axis=0) if len(row) > words else row
     return out
 
 
@@ -264,13 +265,13 @@ def open_rows(rows: DataFrame) -> DataFrame:
     return rows.drop("rows").join(tokens.filter("_lo <> _hi and (rows > 2 or _b <> _c)").select("token", "rows"), "token")
 
 
-def pivot_pairs(rows: DataFrame, order: Column) -> DataFrame:
-    """Each document of labelled rows with the pivot of its token and band (the first by
-    ``order``), unless both are connected already."""
-    pivots = rows.groupBy("token", "band").agg(
-        F.min_by(F.struct("doc_id", "label"), order).alias("_p"), F.min("label").alias("_lo"), F.max("label").alias("_hi")
-    ).filter("_lo <> _hi")
-    met = rows.join(pivots, ["token", "band"]).filter(F.col("label") != F.col("_p.label"))
+def pivot_pairs(rows: DataFrame, *orders: Column) -> DataFrame:
+    """Each document of labelled rows with the pivots of its token and band (the first by each of
+    ``orders``), unless both are connected already."""
+    firsts = [F.min_by(F.struct("doc_id", "label"), order) for order in orders]
+    pivots = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*firsts)).alias("_all"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    pivots = pivots.filter("_lo <> _hi").select("token", "band", "_all")
+    met = rows.join(pivots, ["token", "band"]).withColumn("_p", F.explode("_all")).filter(F.col("label") != F.col("_p.label"))
     return met.select(F.least("doc_id", "_p.doc_id").alias("a"), F.greatest("doc_id", "_p.doc_id").alias("b")).distinct()
 
 
@@ -399,13 +400,13 @@ def _components(docs: DataFrame) -> DataFrame:
     known_class = made.filter("n > 0 and doc_id is not null")
     single = known_class.join(F.broadcast(repeats) if fits_broadcast(repeats) else repeats, ["doc_id", "class"], "left_anti").select("doc_id", "n", "prefix", "bits")
     rows, links = stored(leading_tokens(stored(shared_tokens(single), "shared")), "leading"), None
-    mixed = [F.struct(F.xxhash64("doc_id", "token", F.lit(k)), "doc_id") for k in range(MIXED_ROUNDS)]
-    for order in (F.struct("doc_id"), F.struct(-F.col("degree"), "doc_id"), *mixed):
+    mixed = [F.struct(F.xxhash64("doc_id", "token", F.lit(k)), "doc_id") for k in range(MIXED_PIVOTS)]
+    for orders in ([F.struct("doc_id")], [F.struct(-F.col("degree"), "doc_id"), *mixed]):
         if links is not None:
             rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
         else:
             rows = labelled(rows, None)
-        near = stored(bitmap_filter(pivot_pairs(rows, order), single), "pairs")
+        near = stored(bitmap_filter(pivot_pairs(rows, *orders), single), "pairs")
         found = exact_links(near, known)
         links = stored(found if links is None else links.unionByName(found), "links")
     rows = stored(open_rows(labelled(rows.select("token", "doc_id", "band"), links)), "open")
