@@ -162,3 +162,24 @@ def test_blocks_miss_nothing(monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 64)
     parts = sum(np.bincount(langid.subword_buckets(p), minlength=1 << langid.BUCKET_BITS) for p in langid.blocks(codes))
     assert (whole == parts).all() and whole.sum() > 1000
+
+
+def test_terms_of_a_sample_leave_in_small_frames():
+    import pandas as pd
+
+    letters = "abcdefghij"
+    texts = [" ".join(f"{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}word{letters[k // 10]}{letters[k % 10]}" for k in range(50)) for i in range(300)]
+    frames = list(toxicity._document_terms(iter([pd.DataFrame({"text": [*texts, "", "a b"], "toxic": [1] * 302})])))
+    # One row that names no term, 50 words and stems of 5, 6 and 7 letters, which are the same for all of a text.
+    assert len(frames) == 10 and max(map(len, frames)) == toxicity.TEXTS * 54
+    rows = pd.concat(frames)
+    assert (rows["term"] == "").sum() == 302 and (rows["term"] == "aaaworddc").sum() == 1
+    assert rows[rows["term"] == "aaawo*"].values.tolist() == [[1, "aaawo*", "aaawordaa", "aaawordej"]]
+
+
+def test_texts_keep_their_key_and_number_of_terms():
+    import pandas as pd
+
+    text = "one two three four five six"
+    keys = pd.concat(toxicity._near_keys(iter([pd.DataFrame({"text": [text, text + " seven", "other"], "toxic": [1, 0, 1]})])))
+    assert keys.columns.tolist() == ["key", "toxic", "size", "text"] and keys["size"].tolist() == [7, 9, 2]

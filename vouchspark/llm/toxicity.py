@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vouchspark.llm.samples import held_out, sample_keys
 from vouchspark.llm.storage import stored
-from vouchspark.llm.worker import Memo
+from vouchspark.llm.worker import WORD_LIMIT, Memo, batches_of
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
 NEGATED, REPORTED, AIMED, INTENDED = 1, 2, 4, 8
@@ -44,6 +44,8 @@ STEMS = (5, 6, 7)
 #: A stem of this purity and below ``LEAST_PURITY`` is doubtful; hits in excess of the usual, as
 #: levels, with their probabilities before any evidence.
 DOUBTFUL_PURITY, LEVELS = 0.3, (0.0, 0.1, 0.5, 0.8, 0.9)
+#: Rows of the sample that a worker gets at once, and texts whose terms it sends at once.
+BATCH_ROWS, TEXTS = 1000, 32
 SEED_P, SEED_ROWS, PATH_ROWS = 0.85, 4.0, 4.0
 SHORTEST_WORD = 3
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
@@ -182,7 +184,7 @@ class ToxicityModel:
 
     def has_hit(self, text: str) -> bool:
         # The broadcast model lives as long as the worker process, and so does its memo.
-        memo = self.__dict__.setdefault("_codes", Memo(self.code, 400_000))
+        memo = self.__dict__.setdefault("_codes", Memo(self.code, WORD_LIMIT))
         seen = bytes(map(memo.__getitem__, WORD.findall(text.lower())))
         return INSULT in seen or THREAT in seen
 
@@ -210,23 +212,40 @@ def seeded() -> ToxicityModel:
     return ToxicityModel(words)
 
 
-def _document_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct words and stems of each sampled text, a stem with the first and last of its words,
-    and a key that near copies share (the smallest hash of its five-word runs)."""
+def _text_terms(text: str | None) -> dict[str, list[str]]:
+    """Distinct words and stems of a text, a stem with the first and last of its words."""
+    found: dict[str, list[str]] = {}
+    for w in sorted({w for w in WORD.findall((text or "").lower()) if len(w) >= SHORTEST_WORD}):
+        found[w] = [w, w]
+        for n in STEMS:
+            if len(w) >= n:
+                found.setdefault(w[:n] + "*", [w, w])[1] = w
+    return found
+
+
+def _near_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sampled texts with a key that near copies share (the smallest hash of their five-word runs) and
+    the number of their terms."""
     for frame in frames:
-        keys, terms = [], []
+        keys, sizes = [], []
         for text in frame["text"]:
             words = WORD.findall((text or "").lower())
-            runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+            runs = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
             keys.append(min(xxhash.xxh3_64_intdigest(r) >> 1 for r in runs))
-            found: dict[str, list[str]] = {}
-            for w in sorted({w for w in words if len(w) >= SHORTEST_WORD}):
-                found[w] = [w, w]
-                for n in STEMS:
-                    if len(w) >= n:
-                        found.setdefault(w[:n] + "*", [w, w])[1] = w
-            terms.append([{"term": t, "lo": lo, "hi": hi} for t, (lo, hi) in sorted(found.items())])
-        yield pd.DataFrame({"key": keys, "toxic": frame["toxic"].to_numpy(), "terms": terms})
+            sizes.append(len(_text_terms(text)))
+        yield frame.assign(key=keys, size=sizes)[["key", "toxic", "size", "text"]]
+
+
+def _document_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per term of every text and one with no term, ``TEXTS`` texts at a time: the terms of a
+    text take many times its size."""
+    for frame in frames:
+        for at in range(0, len(frame), TEXTS):
+            part, rows = frame.iloc[at : at + TEXTS], []
+            for toxic, text in zip(part["toxic"], part["text"], strict=True):
+                rows.append((toxic, "", "", ""))
+                rows.extend((toxic, t, lo, hi) for t, (lo, hi) in _text_terms(text).items())
+            yield pd.DataFrame(rows, columns=["toxic", "term", "lo", "hi"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
@@ -239,19 +258,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
     """Learn insult words, their stems, the factors of paths and the levels of doubtful hits.
 
     Of near copies in the sample one counts, so that a copied toxic text does not make all its
-    words toxic.  Terms are counted and tested by Spark; those that pass the likelihood ratio
+    words toxic; only texts are shuffled for that, and terms are made of those that are left.  Terms are counted and tested by Spark; those that pass the likelihood ratio
     reach the driver, all of them: the sample bounds their number.  A stem needs two words that
     carry it; a word with a doubtful stem is judged by that.  Rows with a NULL label or text
     teach nothing; a label that repeats counts once.  Reads the sample twice.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _fitted(labelled_sample(docs, labels, rows, seed).filter(F.col("text").isNotNull()))
+
+
+def _fitted(sample: DataFrame) -> ToxicityModel:
     model = seeded()
-    sample = labelled_sample(docs, labels, rows, seed).filter(F.col("text").isNotNull())
-    each = sample.mapInPandas(_document_terms, "key long, toxic int, terms array<struct<term: string, lo: string, hi: string>>")
-    one = each.groupBy("key").agg(F.min_by(F.struct("toxic", "terms"), F.struct("toxic", F.size("terms"))).alias("d"))
-    everything = F.array(F.struct(*[F.lit("").alias(c) for c in ("term", "lo", "hi")]))
+    each = sample.mapInPandas(_near_keys, "key long, toxic int, size int, text string")
+    one = each.groupBy("key").agg(F.min_by(F.struct("toxic", "text"), F.struct("toxic", "size", "text")).alias("d")).select("d.toxic", "d.text")
     counted = stored(
-        one.select("d.toxic", F.explode(F.concat("d.terms", everything)).alias("t")).groupBy("t.term")
-        .agg(F.sum("toxic").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"), F.min("t.lo").alias("lo"), F.max("t.hi").alias("hi"))
+        one.mapInPandas(_document_terms, "toxic int, term string, lo string, hi string").groupBy("term")
+        .agg(F.sum("toxic").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .filter((F.col("n") >= LEAST_ROWS) | F.col("term").isin("", *SEEDS[INSULT].split())),
         "terms",
     )
