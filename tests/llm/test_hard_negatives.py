@@ -56,6 +56,12 @@ def test_components_wider_than_their_products():
     assert H.scores(np.array([[0]], dtype=object), np.array([[0], [256]], dtype=object)).tolist() == [[0, 0]]
 
 
+def test_large_constant_components():
+    # Nothing varies, so one bit would do for a field, but the sums are beyond a long.
+    a = np.full((2, 9), 1 << 30)
+    assert H.scores(a, np.concatenate([a, -a])).tolist() == [[H.HIGHEST] * 2 + [H.LOWEST] * 2] * 2
+
+
 def test_fields_do_not_touch():
     # The largest sums that a field must hold, side by side with empty ones.
     a = np.full((2, 64), 256)

@@ -89,7 +89,8 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dim = a.shape[1]
     low_a, low_b = int(a.min()), int(b.min())
     width = field_bits(dim, int(a.max()) - low_a, int(b.max()) - low_b)
-    if width <= DOUBLE_BITS and a.dtype != object and b.dtype != object:
+    top = dim * max(int(a.max()), -low_a) * max(int(b.max()), -low_b)  # the biases fit a long below, also where a side is constant
+    if width <= DOUBLE_BITS and top < 1 << 60 and a.dtype != object and b.dtype != object:
         # sum (a - la)(b - lb) = sum a b - lb sum a - la sum b + dim la lb
         left = low_b * a.sum(axis=1)[:, None] + low_a * b.sum(axis=1)[None, :] - dim * low_a * low_b
         return _double_products(a - low_a, b - low_b, width) + left
