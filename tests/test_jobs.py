@@ -117,3 +117,15 @@ def test_whole_passages_inside_the_snapshot(spark):
     assert [r["chunk_id"] for r in by[1]] == [f"c{i:02d}" for i in range(60)] and {r["candidates_considered"] for r in by[1]} == {60}
     assert [r["chunk_id"] for r in by[2]][:2] == ["a00", "c00"] and len(by[2]) == 61
     assert len(by[3]) == 5 and "a00" not in {r["chunk_id"] for r in by[3]} and {r["method"] for r in by[3]} == {"bm25"}
+
+
+def test_splitter_travels_where_functions_were_used_before(spark):
+    from pyspark import cloudpickle
+
+    import __spark_entry__  # noqa: F401
+    from vouchspark.plans import job_queries
+
+    sums = spark.createDataFrame([(1, "1 + 1", "2")], "run_id long, expression string, result string")
+    job_queries.V.recheck_calculations(sums).collect()
+    four = cloudpickle.loads(cloudpickle.dumps(job_queries._four))
+    assert four("A b. C d. E f. G h. I j.") == ["A b.", "C d.", "E f.", "G h. I j."]

@@ -8,6 +8,7 @@ from vouchspark.functions.ids import REDACTED
 from vouchspark.operators import judges as J
 from vouchspark.operators import retrieval as R
 from vouchspark.operators import verify as V
+from vouchspark.operators.verify import MAX_ATOMS, SENTENCE_END
 from vouchspark.plans import derived as D
 from vouchspark.plans import jobs
 from vouchspark.plans.registry import query
@@ -69,9 +70,11 @@ def _without_ids(claims, hits):
 def _four(text: str) -> list[str]:
     import re
 
-    found = [s.strip(" \t\r\n\f") for s in re.split(V.SENTENCE_END, text)]
+    # Names of their own: a function that names a module takes all of it to the workers, and a module whose
+    # Python functions were used before holds Java objects.
+    found = [s.strip(" \t\r\n\f") for s in re.split(SENTENCE_END, text)]
     found = [s for s in found if s] or [text]
-    return found if len(found) <= V.MAX_ATOMS else [*found[: V.MAX_ATOMS - 1], " ".join(found[V.MAX_ATOMS - 1 :])]
+    return found if len(found) <= MAX_ATOMS else [*found[: MAX_ATOMS - 1], " ".join(found[MAX_ATOMS - 1 :])]
 
 
 IDF = "(CASE WHEN ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) > 0 THEN ln((t.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END)"
