@@ -270,6 +270,26 @@ def test_windows_of_plain_texts_are_those_of_the_pattern(spark):
     assert C._piece_starts("a 中") is None
 
 
+def test_folded_words_of_a_batch():
+    import pyarrow as pa
+
+    texts = ["x", "cafe\u0301 d\u00e9j\u00e0 9", None, "", "\u0301", "a b\u00fcn\u0303"]
+    got = R._plain_words(pa.array(texts)).to_pylist()
+    assert [[w for w in words if w] for words in got] == [["x"], ["cafe", "deja", "9"], [], [], [], ["a", "bun"]]
+
+
+def test_pieces_of_a_batch_of_bytes():
+    import pyarrow as pa
+
+    from vouchspark.operators import corpus as C
+
+    texts = ["skipped", "ab c", "d" * 130, "", "\u00e9 x\u2013y", "\u00e9" * 40, "a \u4e2d", "e"]
+    data, edges, starts, ends, chars, odd, long = C._byte_pieces(pa.array(texts).slice(1))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)][:6] == ["ab", "c", "d" * 64, "d" * 64, "dd", "\u00e9"]
+    assert odd.tolist() == [False] * 5 + [True, False] and long.tolist() == [False] * 4 + [True, False, False]
+    assert chars[edges[4]] - chars[edges[3]] == 5
+
+
 def test_repeated_chunks_count_together(spark):
     """Rows with one chunk id are one chunk, whether equal or not, and an index analyses its chunks once."""
     rows = [("a", 1, "red fox"), ("a", 1, "red fox"), ("b", 1, "red dog"), ("b", 1, "dog red"), ("c", 1, "blue")]
