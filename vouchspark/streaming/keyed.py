@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -56,59 +56,63 @@ def stream_votes(decisions: DataFrame, proposals: DataFrame, root: str, *, once:
 
 
 class Votes(StatefulProcessor):
-    """Per approval: who accepted so far, and whether it is settled."""
+    """Per approval: who accepted so far, or that it is settled, and when this ends.
+
+    Every call of a state or a timer asks the executor's JVM and waits for it, and so does a look at
+    what timers there are.  So an approval has one value, which knows its timer: a settled approval
+    costs one call, any other one three, or four where an earlier timer gives way."""
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "status string")
-        self.accepted = handle.getListState("accepted", "decided_by string")
+        self.state = handle.getValueState("votes", "status string, accepted array<string>, until_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.settled.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        status, accepted, until = self.state.get() or (None, [], None)
+        if status is not None:
             return
         # At most the accepts an approval needs and one reject for every batch.
-        votes = pd.concat(list(rows)).sort_values(["batch", "decided_at", "decision_id"])
-        names = [x[0] for x in self.accepted.get()] if self.accepted.exists() else []
-        new, settled = [], None
-        for vote in votes.itertuples():
+        votes, names, settled = sorted(rows, key=_arrival), list(accepted), None
+        for vote in votes:
             if vote.decided_by not in names:
                 names.append(vote.decided_by)
-                new.append((vote.decided_by,))
-                if vote.decision == "reject" or len(names) >= vote.approvers_required:
-                    settled = ("rejected" if vote.decision == "reject" else "approved", vote)
+                if vote.decision == "reject" or vote.approvers_required is not None and len(names) >= vote.approvers_required:
+                    settled, status = vote, "rejected" if vote.decision == "reject" else "approved"
                     break
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(votes["arrived_ms"].max()) + self.keep_ms)
+        ends = max(vote.arrived_ms for vote in votes) + self.keep_ms
+        if until != ends:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(ends)
+        self.state.update((status, [] if settled else names, ends))
         if settled:
-            status, vote = settled
-            self.settled.update((status,))
-            self.accepted.clear()
-            yield pd.DataFrame({"approval_id": [key[0]], "status": [status], "decided_at": [vote.decided_at], "decided_by": [vote.decided_by], "decision_id": [vote.decision_id]})
-        elif new:
-            self.accepted.appendList(new)
+            yield Row(approval_id=key[0], status=status, decided_at=settled.decided_at, decided_by=settled.decided_by, decision_id=settled.decision_id)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.settled.clear()
-        self.accepted.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _arrival(vote: Row) -> tuple:
+    """Order of votes: by batch, then by their own time and id; what is NULL comes last."""
+    return tuple((vote[name] is None, vote[name] or 0) for name in ("batch", "decided_at", "decision_id"))
+
+
 def keyed_status(votes: DataFrame, root: str, *, keep_ms: int = KEEP_MS, once: bool = True) -> StreamingQuery:
     """Stream of votes (the ``votes`` table, read with its ``batch``) to the ``settled`` table.
 
     A vote counts in order of arrival, and arrival is the event time here: nothing is late, and a
     run over what is there ends by itself.  State lasts ``keep_ms`` after the last vote that may
-    have counted; proposals are to be decided within that time."""
+    have counted; proposals are to be decided within that time.  Votes come as rows: a data frame
+    for each approval and its few votes takes longer than all that is done with them."""
     use_rocksdb(votes.sparkSession)
     timed = votes.withColumn("arrived_ms", F.unix_millis("arrived")).withWatermark("arrived", DELAY)
-    settled = timed.groupBy("approval_id").transformWithStateInPandas(statefulProcessor=Votes(keep_ms), outputStructType=STATUS, outputMode="Update", timeMode="EventTime")
+    settled = timed.groupBy("approval_id").transformWithState(statefulProcessor=Votes(keep_ms), outputStructType=STATUS, outputMode="Update", timeMode="EventTime")
     each = lambda batch, number: write_batch(batch, root, "settled", number)
     writer = settled.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", f"{root}/_progress/status")
     return (writer.trigger(availableNow=True) if once else writer).start()
