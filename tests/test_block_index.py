@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,42 @@ def test_reach_is_taken_for_a_few_blocks_at_once():
     local = SimpleNamespace(mapInPandas=lambda run, schema: pd.concat(run(iter([frame]))))
     found = S.survivors(local, sent, np.zeros(3))
     assert max(sizes) <= 1000 and found["block"].tolist() == list(range(5000))
+
+
+def test_a_word_is_named_once_a_page(monkeypatch):
+    """What is joined with the vocabulary is the distinct words of a page; pages are of whole blocks."""
+    monkeypatch.setattr(S, "PAGE_WORDS", 50)
+    texts = [["a"] * (i % 4) + ["b", f"w{i // 20}"] for i in range(90)] + [[], ["a"]]
+    rows = pa.table({
+        "block": pa.array([i // 8 for i in range(92)], pa.int64()), "place": pa.array([i % 8 for i in range(92)], pa.int32()), "chunk_id": [f"c{i:02d}" for i in range(92)],
+        "corpus_version": pa.array([1] * 92, pa.int64()), "dl": pa.array([len(t) for t in texts], pa.int32()), "tokens": texts, "tfs": pa.array([None] * 92, pa.list_(pa.int32())),
+    })
+    made = [r for batch in S.pages(iter(rows.to_batches(max_chunksize=30))) for r in batch.to_pylist()]
+    assert [r["block"] for r in made] == list(range(12)) and 3 < len({r["page"] for r in made}) < 12
+    named = {r["page"]: r["words"] for r in made if r["words"] is not None}
+    assert set(named) == {r["page"] for r in made} and all(len(set(words)) == len(words) for words in named.values())
+    assert sum(map(len, named.values())) < sum(map(len, texts)) / 4
+    found = {(8 * r["block"] + at, named[r["page"]][word]): tf for r in made for word, at, tf in zip(r["locals"], r["places"], r["tfs"], strict=True)}
+    assert found == {(i, word): text.count(word) for i, text in enumerate(texts) for word in text}
+    assert [c for r in made for c in r["chunk_ids"]] == rows["chunk_id"].to_pylist()
+
+
+def test_words_too_many_to_send_are_no_rows(spark, tmp_path, monkeypatch):
+    """Where the vocabulary is not broadcast, a row is still a distinct word of a page."""
+    sent, measured = [], S.fits_broadcast
+    monkeypatch.setattr(S, "fits_broadcast", lambda df: bool(measured(df)) and not {"word", "term"} & set(df.columns))
+    monkeypatch.setattr(S, "placed", lambda docs, path, batch, real=S.placed: sent.append(real(docs, path, batch)) or sent[-1])
+    remove = S.remove_folders
+    monkeypatch.setattr(S, "remove_folders", lambda spark, paths: None)
+    rows = [(f"c{i:03d}", 1, " ".join(["running", "runs"] * 20 + [f"w{i % 3}"])) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, corpus_version long, text string")
+    for batch in range(2):
+        R.write_index(R.build_index(chunks.filter(F.col("chunk_id") >= "c100" if batch else F.col("chunk_id") < "c100"), stem=True), f"{tmp_path}/parts", buckets=2, batch=batch)
+    R.compact_index(spark, f"{tmp_path}/parts", f"{tmp_path}/whole")
+    monkeypatch.setattr(S, "remove_folders", remove)
+    assert len(sent) == 3 and all(p.filter("words is not null").agg(F.sum(F.size("words"))).first()[0] <= 5 * 8 for p in sent)
+    index = R.read_index(spark, f"{tmp_path}/whole")
+    terms = {r["code"]: r["term"] for r in index.terms.collect()}
+    posts = [(c, terms[code], tf) for r in index.blocks.collect() for code, at, tf in zip(r["codes"], r["places"], r["tfs"], strict=True) for c in [r["chunk_ids"][at]]]
+    assert sorted(posts) == sorted([(c, "run", 40) for c, _, _ in rows] + [(f"c{i:03d}", f"w{i % 3}", 1) for i in range(200)])
+    assert sorted((r["term"], r["df"]) for r in index.terms.collect()) == [("run", 200), ("w0", 67), ("w1", 67), ("w2", 66)]

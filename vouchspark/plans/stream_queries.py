@@ -18,6 +18,7 @@ from vouchspark.session import checkpoint_root
 from vouchspark.streaming import approvals as SA
 from vouchspark.streaming import ingest as SI
 from vouchspark.streaming import keyed as SK
+from vouchspark.streaming.tables import remove_folders
 
 
 def _root(spark) -> str:
@@ -27,11 +28,12 @@ def _root(spark) -> str:
 def _run_parts(spark, df, root: str, parts: int, start) -> None:
     """Feed ``df`` part by part to one stream: a part is added to its input folder, the stream
     takes what is there and stops, and goes on from its checkpoint with the next part.  The parts
-    are written once, by as many tasks as the table has."""
+    are written once, by as many tasks as the table has, and a part goes once the stream has it."""
     df.write.partitionBy("_part").parquet(f"{root}/staged")
     staged, schema = spark.read.parquet(f"{root}/staged"), df.drop("_part").schema
     for part in range(parts):
         staged.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{root}/input")
+        remove_folders(spark, [f"{root}/staged/_part={part}"])
         start(spark.readStream.schema(schema).parquet(f"{root}/input")).awaitTermination()
 
 
@@ -90,7 +92,7 @@ def stored_index(spark, sf):
 def stored_stemmed_index(spark, sf):
     """A stored index of stems, made once per word of its vocabulary, grown by a second
     batch and compacted to one."""
-    root, chunks = _root(spark), D.ch(spark, sf)
+    root, chunks = _root(spark), D.stored_ch(spark, sf)
     for part in range(2):
         own = chunks.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part)
         R.write_index(R.build_index(own, stem=True), f"{root}/parts", buckets=8, batch=part)
