@@ -17,9 +17,10 @@ def read_traces(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 
 
 def write_traces(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One record per run, partitioned by year and month of ``started_at``."""
+    """One record per run, partitioned by year and month of ``started_at``.  Compressed: the field names of
+    every call are most of the text."""
     dated = df.withColumn("year", F.substring("started_at", 1, 4)).withColumn("month", F.substring("started_at", 6, 2))
-    dated.write.mode(mode).partitionBy("year", "month").json(path)
+    dated.write.mode(mode).partitionBy("year", "month").json(path, compression="gzip")
 
 
 def read_items(spark: SparkSession, path: str, source: str | None = None, n: int | None = None) -> DataFrame:
