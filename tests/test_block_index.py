@@ -153,3 +153,14 @@ def test_words_too_many_to_send_are_no_rows(spark, tmp_path, monkeypatch):
     posts = [(c, terms[code], tf) for r in index.blocks.collect() for code, at, tf in zip(r["codes"], r["places"], r["tfs"], strict=True) for c in [r["chunk_ids"][at]]]
     assert sorted(posts) == sorted([(c, "run", 40) for c, _, _ in rows] + [(f"c{i:03d}", f"w{i % 3}", 1) for i in range(200)])
     assert sorted((r["term"], r["df"]) for r in index.terms.collect()) == [("run", 200), ("w0", 67), ("w1", 67), ("w2", 66)]
+
+
+def test_rows_of_one_chunk_share_their_words_when_compacted(spark, tmp_path):
+    rows = [("a", 1, "one two"), ("a", 1, "one two"), ("b", 1, "two"), ("b", 2, "three")]
+    for batch, part in enumerate((rows[:3], rows[3:])):
+        R.write_index(R.build_index(spark.createDataFrame(part, "chunk_id string, corpus_version long, text string")), f"{tmp_path}/parts", buckets=2, batch=batch)
+    R.compact_index(spark, f"{tmp_path}/parts", f"{tmp_path}/whole")
+    index = R.read_index(spark, f"{tmp_path}/whole")
+    terms = {r["code"]: r["term"] for r in index.terms.collect()}
+    posts = [(c, v, terms[code], tf) for r in index.blocks.collect() for code, at, tf in zip(r["codes"], r["places"], r["tfs"], strict=True) for c, v in [(r["chunk_ids"][at], r["versions"][at])]]
+    assert sorted(posts) == [("a", 1, "one", 2), ("a", 1, "one", 2), ("a", 1, "two", 2), ("a", 1, "two", 2), ("b", 1, "three", 1), ("b", 1, "two", 1), ("b", 2, "three", 1), ("b", 2, "two", 1)]
