@@ -166,9 +166,9 @@ def test_checks_derive_their_evidence_once(spark):
 
 
 def test_written_traces_are_compressed(spark, tmp_path):
-    row = {"run_id": 1, "skill": "verify_claim", "status": "ok", "started_at": "2024-05-01T00:00:00.000Z", "llm_calls": [{"model": "m", "input_tokens": 3}] * 500}
+    row = {"run_id": "1", "skill": "verify_claim", "status": "ok", "started_at": "2024-05-01T00:00:00.000Z", "llm_calls": [{"model": "m", "input_tokens": 3}] * 500}
     TS.write_traces(spark.createDataFrame([row], schemas.TRACE), str(tmp_path))
     (file,) = tmp_path.glob("year=2024/month=05/part-*.json*")
     assert file.stat().st_size < 5000
     (back,) = TS.read_traces(spark, str(tmp_path)).collect()
-    assert back.run_id == 1 and len(back.llm_calls) == 500 and {c.input_tokens for c in back.llm_calls} == {3}
+    assert back.run_id == "1" and len(back.llm_calls) == 500 and {c.input_tokens for c in back.llm_calls} == {3}
